@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from askwell.llm.bpe import op6_bpe
+from askwell.llm.packing import op10_packing
+from askwell.llm.simhash import op7_simhash
 
 QUERIES = {
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
