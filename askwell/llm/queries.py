@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from askwell.llm.bpe import op6_bpe
+from askwell.llm.media import op8_media
 from askwell.llm.packing import op10_packing
 from askwell.llm.simhash import op7_simhash
+from askwell.llm.urls import op2_urls
 
 QUERIES = {
+    "op2_urls": op2_urls,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_media": op8_media,
     "op10_packing": op10_packing,
 }
 
