@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from askwell.llm.bpe import op6_bpe
+from askwell.llm.fingerprints import op4_fingerprints
 from askwell.llm.media import op8_media
 from askwell.llm.packing import op10_packing
 from askwell.llm.simhash import op7_simhash
@@ -10,6 +11,7 @@ from askwell.llm.urls import op2_urls
 
 QUERIES = {
     "op2_urls": op2_urls,
+    "op4_fingerprints": op4_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
