@@ -8,6 +8,7 @@ from askwell.llm.media import op8_media
 from askwell.llm.packing import op10_packing
 from askwell.llm.pii import op3_pii
 from askwell.llm.quality import op1_quality
+from askwell.llm.repeats import op9_repeats
 from askwell.llm.simhash import op7_simhash
 from askwell.llm.toxicity import op5_toxicity
 from askwell.llm.urls import op2_urls
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 
