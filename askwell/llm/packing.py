@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,15 @@ def default_vocabulary() -> str:
 class WordIds:
     """Ids of texts by a vocabulary that drops white space, with the ids of each white-space-separated piece kept.
 
-    Pieces are encoded by the library; its normaliser and pattern never look across white space.
+    The library's normaliser and pattern never look across white space. Pieces of plain Latin letters and ASCII signs are lower-cased
+    and cut by the pattern here, and only new parts go through the library; all other pieces go through it as they stand.
     """
 
+    #: Characters that normalise to themselves and have one lower-case letter; no white space, no mark.
+    PLAIN = regex.compile(r"[!-~\u00c0-\u012f]+")
+    # Fixed value: the vocabulary's pattern.
+    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
     #: str.split() also splits at these, which are not white space for the library.
     ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 
@@ -66,49 +73,81 @@ class WordIds:
         self.cache_entries = cache_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _plain(self, text: str | None) -> bool:
+        """Whether the library's ids are those of the text's pieces."""
+        return not ("<|" in text and any(s in text for s in self.special)) and self.ODD_SPACE.isdisjoint(text)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if "<|" in text and any(s in text for s in self.special) or not self.ODD_SPACE.isdisjoint(text):
-            return self._whole(text)
-        pieces = text.split()
-        out = [*map(self.young.get, pieces)]
-        if None in out:
-            self._learn({p for p, x in zip(pieces, out, strict=True) if x is None})
-            out = [self.young.get(p) or self._late(p) for p in pieces]
-        return b"".join(out)
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.young) >= self.cache_entries:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; pieces that are new are encoded together."""
+        found: list = []
+        gaps: list[tuple[list, list[str], list[int]]] = []
+        needed: set[str] = set()
+        for t in texts:
+            if not t:
+                found.append(b"")
+            elif not self._plain(t):
+                found.append(self._whole(t))
+            else:
+                pieces = t.split()
+                ids = [*map(self.young.get, pieces)]
+                found.append(ids)
+                if n := ids.count(None):
+                    at, k = [], -1
+                    for _ in range(n):
+                        k = ids.index(None, k + 1)
+                        at.append(k)
+                        needed.add(pieces[k])
+                    gaps.append((ids, pieces, at))
+        self._learn(needed)
+        for ids, pieces, at in gaps:
+            for k in at:
+                ids[k] = self.young[pieces[k]]
+        return [x if isinstance(x, bytes) else b"".join(x) for x in found]
+
+    def _learn(self, needed: set[str]) -> None:
+        """Puts the ids of all needed pieces into the young cache."""
+        missing = needed.difference(self.young)
+        if len(self.young) + len(missing) > self.cache_entries:
             self.old, self.young = self.young, {}
-        again = []
+            missing = needed
+        young, old, split = self.young, self.old, []
         for p in missing:
-            got = self.old.get(p)
-            if got is None:
-                again.append(p)
+            got = old.get(p)
+            if got is not None:
+                young[p] = got
+            elif self.PLAIN.fullmatch(p):
+                split.append(p)
             else:
-                self.young[p] = got
-        plain = [p for p in again if "\0" not in p]
-        if not plain:
-            return
-        # One call for all, with a mark that is a piece of its own between them.
-        ids = np.array(self.library.encode_batch_fast([" \0 ".join([*plain, ""])], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
-        if len(ends) != len(plain):
-            return
-        data, at = ids.tobytes(), 0
-        for p, end in zip(plain, ends, strict=True):
-            self.young[p] = data[at:end]
-            at = end + 4
-
-    def _late(self, piece: str) -> bytes:
-        """Pieces that hold the mark, that have no ids, or that left the cache while their own text was read."""
-        return self.young[piece] if piece in self.young else self._whole(piece)
+                young[p] = self._whole(p)
+        parts = [self.PATTERN.findall(p.lower()) for p in split]
+        if len(self.parts) > self.cache_entries:
+            self.parts.clear()
+        self._learn_parts([*set().union(*parts).difference(self.parts)])
+        get = self.parts.__getitem__
+        for p, x in zip(split, parts, strict=True):
+            young[p] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """One call for many lower-cased parts, with a mark that is a part of its own between them."""
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            ids = np.array(self.library.encode_batch_fast([" \0 ".join([*some, ""])], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not keep the mark apart")
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.parts[p] = data[begin:end]
+                begin = end + 4
 
 
 @lru_cache(maxsize=2)
@@ -128,8 +167,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, queues: int = QU
         part, before = TaskContext.get().partitionId(), {}
         for b in slices(batches):
             queue, cum, n, data = b.column(1).to_pylist(), [], [], []
-            for q, text in zip(queue, b.column(2).to_pylist(), strict=True):
-                ids = enc.encode(text) + tail
+            for q, ids in zip(queue, enc.encode_many(b.column(2).to_pylist()), strict=True):
+                ids += tail
                 cum.append(before.get(q, 0))
                 n.append(len(ids) // 4)
                 before[q] = cum[-1] + n[-1]
