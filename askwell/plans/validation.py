@@ -1,0 +1,156 @@
+"""Limits, validation of requests, admission by row estimate, and the bounded cache of indexes."""
+
+from __future__ import annotations
+
+import os
+import time
+from collections import OrderedDict
+from collections.abc import Callable
+from dataclasses import dataclass, fields
+
+from pyspark.sql import DataFrame
+
+from askwell.operators.ask import MODES
+
+TYPES = ("noul", "choice", "score")
+STRATEGIES = ("scan", "locate")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of a request; each may be set by the environment variable of its upper-cased name."""
+
+    max_chars: int = 4_000_000
+    max_questions: int = 16
+    max_labels: int = 32
+    max_label_chars: int = 200
+    max_text_chars: int = 500
+    max_instructions: int = 2_000
+    max_rubric: int = 4_000
+    max_top_k: int = 50
+    max_scan: int = 256
+    max_rows: int = 4_096
+    chunk_tokens: int = 200
+    cache_items: int = 32
+    cache_passages: int = 200_000
+    cache_ttl: float = 900.0
+
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None) -> Limits:
+        env = os.environ if env is None else env
+        given = {f.name: type(f.default)(env[f.name.upper()]) for f in fields(cls) if f.name.upper() in env}
+        return cls(**given)
+
+    def clamped(self, max_len: int, head: int) -> int:
+        """Tokens a passage may have in a model's window."""
+        return max(1, min(self.chunk_tokens, max_len - head - 8))
+
+
+class Refusal(Exception):
+    def __init__(self, status: int, code: str, message: str = "", retry_after: int | None = None):
+        super().__init__(message or code)
+        self.status, self.code, self.retry_after = status, code, retry_after
+
+
+def _need(ok: object, status: int, code: str) -> None:
+    if not ok:
+        raise Refusal(status, code)
+
+
+def _short(x: object, most: int) -> bool:
+    return isinstance(x, str) and len(x.strip()) > 0 and len(x) <= most
+
+
+def validate(body: object, limits: Limits | None = None) -> dict:
+    """The request with its defaults, or a ``Refusal``."""
+    m = limits or Limits()
+    _need(isinstance(body, dict), 400, "body")
+    state = body.get("state")
+    _need(isinstance(state, list) and state, 422, "state")
+    _need(len(state) == 1, 422, "one_state")
+    doc = state[0]
+    _need(isinstance(doc, dict) and isinstance(doc.get("text"), str) and doc["text"].strip(), 422, "text")
+    _need(len(doc["text"]) <= m.max_chars, 413, "too_long")
+    rubric = doc.get("rubric")
+    _need(rubric is None or isinstance(rubric, str) and len(rubric) <= m.max_rubric, 422, "rubric")
+    questions = body.get("questions")
+    _need(isinstance(questions, dict) and questions, 422, "questions")
+    _need(len(questions) <= m.max_questions, 422, "too_many_questions")
+    for qid, q in questions.items():
+        _need(isinstance(qid, str) and 1 <= len(qid) <= 128 and isinstance(q, dict), 422, "question")
+        _check_question(q, m)
+    strategy = body.get("strategy", "scan")
+    _need(strategy in STRATEGIES, 422, "strategy")
+    top_k = body.get("top_k", 1)
+    _need(isinstance(top_k, int) and not isinstance(top_k, bool) and 1 <= top_k <= m.max_top_k, 422, "top_k")
+    agg = body.get("agg") or {}
+    _need(isinstance(agg, dict), 422, "agg")
+    for name, mode in agg.items():
+        kind = questions[name]["type"] if name in questions else name
+        _need(kind in TYPES and mode in MODES[kind] and not (kind == "score" and mode == "loglinear"), 422, "agg_mode")
+    detectors = body.get("detectors") or {}
+    _need(isinstance(detectors, dict), 422, "detectors")
+    for qid, d in detectors.items():
+        _need(qid in questions and questions[qid]["type"] == "noul", 422, "detector_target")
+        _need(isinstance(d, dict) and isinstance(d.get("question"), dict) and isinstance(d.get("option"), str), 422, "detector")
+        _check_question(d["question"], m)
+        _need(d["question"]["type"] == "choice" and d["option"] in d["question"]["criteria"], 422, "detector_option")
+    detail = body.get("detail", False)
+    _need(isinstance(detail, bool), 422, "detail")
+    made = {qid: q if rubric is None else {**q, "instructions": q["instructions"] + "\nRubric: " + rubric} for qid, q in questions.items()}
+    return {"text": doc["text"], "questions": made, "strategy": strategy, "top_k": top_k, "agg": agg, "detectors": detectors, "detail": detail}
+
+
+def _check_question(q: dict, m: Limits) -> None:
+    _need(q.get("type") in TYPES, 422, "type")
+    _need(_short(q.get("instructions"), m.max_instructions), 422, "instructions")
+    criteria = q.get("criteria")
+    if q["type"] == "choice":
+        _need(isinstance(criteria, dict) and 2 <= len(criteria) <= m.max_labels, 422, "criteria")
+        for label, meaning in criteria.items():
+            _need(_short(label, m.max_label_chars) and (meaning is None or isinstance(meaning, str) and len(meaning) <= m.max_text_chars), 422, "label")
+    elif q["type"] == "score":
+        _need(isinstance(criteria, list) and 2 <= len(criteria) <= m.max_labels and all(_short(c, m.max_text_chars) for c in criteria), 422, "rungs")
+    else:
+        _need(criteria is None, 422, "noul_criteria")
+
+
+def admit(estimate: DataFrame, limits: Limits | None = None, scan: bool = True) -> DataFrame:
+    """Documents of a row estimate with why they are refused: ``refused`` is null, ``scan`` or ``rows``."""
+    m = limits or Limits()
+    over = f"case when {str(scan).lower()} and scored > {m.max_scan} then 'scan' when rows > {m.max_rows} then 'rows' end"
+    return estimate.selectExpr("*", f"{over} as refused")
+
+
+class IndexCache:
+    """Least recently used indexes, bounded in number, passages and age; evicted frames are unpersisted."""
+
+    def __init__(self, items: int, passages: int, ttl: float, clock: Callable[[], float] = time.monotonic):
+        self.items, self.passages, self.ttl, self.clock = items, passages, ttl, clock
+        self.held: OrderedDict[str, tuple[float, int, object]] = OrderedDict()
+
+    @property
+    def weight(self) -> int:
+        return sum(n for _, n, _ in self.held.values())
+
+    def get(self, key: str) -> object | None:
+        got = self.held.get(key)
+        if got is None:
+            return None
+        if self.clock() - got[0] > self.ttl:
+            self._drop(key)
+            return None
+        self.held.move_to_end(key)
+        return got[2]
+
+    def put(self, key: str, index: object, passages: int) -> None:
+        if passages > self.passages or key in self.held:
+            return
+        while self.held and (len(self.held) >= self.items or self.weight + passages > self.passages):
+            self._drop(next(iter(self.held)))
+        self.held[key] = (self.clock(), passages, index)
+
+    def _drop(self, key: str) -> None:
+        index = self.held.pop(key)[2]
+        if isinstance(index, DataFrame):
+            index.unpersist()

@@ -1,6 +1,549 @@
-"""Registry of the engine's queries and their SQL."""
+"""Registry of the engine's queries over the driver's tables, and the same queries as DuckDB SQL.
+
+Lines stand for passages (``documents`` have no blank lines), ``labels`` for gold answers, ``benchmark`` and fixed questions for queries.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from askwell.functions.vectors import dot
+from askwell.operators import ask as A
+from askwell.operators import builders as J
+from askwell.operators import chunking as C
+from askwell.operators import evaluate as I
+from askwell.operators import retrieval as R
+from askwell.operators import scoring as S
+from askwell.plans import validation as V
+
+LANG = S.Question("lang", "choice", "Which language is this passage in", (("english", "the of and to that with"), ("german", "der die und ist nicht ein"), ("french", "le la les des est dans"), ("spanish", "el los que una para con")))
+ABUSE = S.Question("abuse", "noul", "idiot stupid moron loser clown trash scum")
+DENSITY = S.Question("density", "score", "How dense are the function words", (("of", None), ("the and", None), ("to in is for", None)))
+TWO_WAY = S.Question("abuse", "noul", ABUSE.instructions, detector=S.Question("two_way", "choice", "What is said", (("insult", "idiot stupid moron loser"), ("other", "the and of"))), detector_key="insult")
+SEARCHES = (("licence", "released under the license version"), ("abuse", "idiot stupid moron"), ("english", "the of the and"))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, decimals as double."""
+    def kind(t: T.DataType) -> T.DataType:
+        return T.LongType() if isinstance(t, (T.IntegerType, T.ShortType)) else T.DoubleType() if isinstance(t, (T.DecimalType, T.FloatType)) else t
+
+    return df.select(*(F.col(f"`{f.name}`").cast(kind(f.dataType)).alias(f.name) for f in df.schema.fields))
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = lambda spark, sf_dir: _plain(fn(spark, sf_dir))
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.paragraphs(_t(spark, sf_dir, "documents"), "\n")
+
+
+# -- SQL pieces
+
+_SP = "[^ \\t\\n\\r\\f]+"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+LINES = f"""l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+l1 AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos {_BEFORE}), 0)::BIGINT AS char_start FROM l0),
+l2 AS (SELECT *, len(regexp_extract_all(text, '{_SP}'))::BIGINT AS n FROM l1 WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')),
+l3 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos {_BEFORE}), 0)::BIGINT AS tok_start FROM l2),
+passages AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS "index", text, tok_start, tok_start + n AS tok_end, char_start, char_start + length(text) AS char_end FROM l3
+ UNION ALL SELECT doc_id, 0, coalesce(text, ''), 0, 0, 0, length(coalesce(text, '')) FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0b]'))"""
+_TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+
+
+def _logits(q: S.Question) -> str:
+    common = lambda text: f"len(list_intersect(t, {_list(list(dict.fromkeys(R.query_terms(text))))}))"
+    if q.type == "noul":
+        return f"[0.0::DOUBLE, 1.0 * {common(q.instructions)} - 1.0]"
+    return "[" + ", ".join(f"ln(1.0::DOUBLE + {common((m or k) if q.type == 'choice' else k)})" for k, m in q.options) + "]"
+
+
+def _softmax(logits: str, temperature: str = "1.0") -> str:
+    z = f"list_transform({logits}, lambda x: exp((x - list_max({logits})) / greatest(0.001, {temperature})))"
+    return f"list_transform({z}, lambda e: e / list_sum({z}))"
+
+
+def _rounded_list(p: str) -> str:
+    return f"list_transform({p}, lambda x: round(x, 6))"
+
+
+def _best(keys: list[str], p: str) -> str:
+    r = _rounded_list(p)
+    return f"({_list(keys)})[list_position({r}, list_max({r}))]"
+
+
+def _entropy(p: str) -> str:
+    return f"1 + list_sum(list_transform({p}, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(len({p}))"
+
+
+def _scored(*questions: S.Question) -> str:
+    """CTE ``scored(doc_id, index, qid, p)``."""
+    parts = [f"SELECT doc_id, \"index\", '{q.qid}' AS qid, {_softmax('z')} AS p FROM (SELECT doc_id, \"index\", {_logits(q)} AS z FROM (SELECT *, {_TERMS} AS t FROM passages))" for q in questions]
+    return f"WITH {LINES}, scored AS ({' UNION ALL '.join(parts)})"
+
+
+def _bm25(searches: tuple[tuple[str, str], ...]) -> str:
+    """CTEs up to ``bm(doc_id, index, qid, score)``."""
+    words = sorted({w for _, s in searches for w in R.query_terms(s)})
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{k}" for k, w in enumerate(words))
+    df = ", ".join(f"sum((tf{k} > 0)::INT) OVER d AS df{k}" for k in range(len(words)))
+    at = {w: k for k, w in enumerate(words)}
+    one = lambda k: f"(CASE WHEN tf{k} = 0 THEN 0 ELSE ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5)) * tf{k} * 2.5 / (tf{k} + 1.5 * (0.25 + 0.75 * dl / av)) END)"
+    rows = " UNION ALL ".join(f"SELECT doc_id, \"index\", '{q}' AS qid, ({' + '.join(one(at[w]) for w in R.query_terms(s))})::DOUBLE AS score FROM b2" for q, s in searches)
+    return f"""b0 AS (SELECT doc_id, "index", {_TERMS} AS t FROM passages),
+b1 AS (SELECT doc_id, "index", len(t) AS dl, {tf} FROM b0),
+b2 AS (SELECT *, count(*) OVER d AS n, avg(dl) OVER d AS av, {df} FROM b1 WINDOW d AS (PARTITION BY doc_id)),
+bm AS ({rows}),
+br AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, qid ORDER BY round(score, 9) DESC, "index") - 1)::BIGINT AS pos FROM bm)"""
+
+
+# -- C: passages and windows
+
+
+@query(f"WITH {LINES} SELECT * FROM passages")
+def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir)
+
+
+def _windows_sql(size: int, stride: int) -> str:
+    lead = "length(regexp_extract(text, '^[ \\t\\n\\r\\f]*'))"
+    chars = lambda n: f"coalesce(list_sum(list_transform(t[1:{n}], lambda x: length(x))), 0)"
+    return f"""WITH w0 AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+[ \\t\\n\\r\\f]*') AS t FROM documents),
+w1 AS (SELECT *, len(t)::BIGINT AS n, CASE WHEN len(t) <= {size} THEN 1 ELSE ceil((len(t) - {size}) / {stride}.0)::BIGINT + 1 END AS k FROM w0),
+w2 AS (SELECT * REPLACE (CASE WHEN k > 1 AND n - (k - 1) * {stride} < {size // 4} THEN k - 1 ELSE k END AS k) FROM w1),
+w3 AS (SELECT *, unnest(range(0, k)) AS part FROM w2),
+w4 AS (SELECT *, part * {stride} AS a, CASE WHEN part = k - 1 THEN n ELSE part * {stride} + {size} END AS b FROM w3),
+w5 AS (SELECT *, CASE WHEN n <= {size} THEN 0 ELSE {lead} + {chars('a')} END AS f, CASE WHEN n <= {size} THEN length(text) ELSE {lead} + {chars('b')} - length(regexp_extract(t[b], '[ \\t\\n\\r\\f]*$')) END AS u FROM w4)
+SELECT doc_id, part::BIGINT AS "index", substring(text, f::BIGINT + 1, (u - f)::BIGINT) AS text, a::BIGINT AS tok_start, b::BIGINT AS tok_end, f::BIGINT AS char_start, u::BIGINT AS char_end FROM w5"""
+
+
+@query(_windows_sql(200, 100))
+def token_windows_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.token_windows(_t(spark, sf_dir, "documents"), 200, 100)
+
+
+@query(_windows_sql(64, 64))
+def token_windows_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.token_windows(_t(spark, sf_dir, "documents"), 64, 64)
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*)::BIGINT AS n_chunks, sum(greatest(0, tok_end - tok_start))::BIGINT AS n_tokens FROM passages GROUP BY doc_id")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.token_totals(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, o AS (SELECT doc_id, tok_start, tok_end - tok_start AS n, CASE WHEN tok_end - tok_start <= 40 THEN 1 ELSE ceil((tok_end - tok_start - 40) / 20.0)::BIGINT + 1 END AS k0 FROM passages),
+o2 AS (SELECT *, CASE WHEN k0 > 1 AND n - (k0 - 1) * 20 < 10 THEN k0 - 1 ELSE k0 END AS k FROM o)
+SELECT doc_id, sum(k)::BIGINT AS n_chunks, sum(CASE WHEN k = 1 THEN n ELSE (k - 1) * 40 + n - (k - 1) * 20 END)::BIGINT AS n_tokens FROM o2 GROUP BY doc_id""")
+def oversize_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.token_totals(C.paragraphs(_t(spark, sf_dir, "documents"), "\n", 40))
+
+
+@query(f"""SELECT doc_id, (row_number() OVER w - 1)::BIGINT AS "index", text, coalesce(sum(n) OVER (w {_BEFORE}), 0)::BIGINT AS tok_start, (coalesce(sum(n) OVER (w {_BEFORE}), 0) + n)::BIGINT AS tok_end
+FROM (SELECT conv_id AS doc_id, turn, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '{_SP}')) AS n FROM conversations) WINDOW w AS (PARTITION BY doc_id ORDER BY turn)""")
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.turns(_t(spark, sf_dir, "conversations"))
+
+
+# -- D: lexical index and ranking
+
+_POST = f'WITH {LINES}, post AS (SELECT doc_id, "index", term, count(*)::BIGINT AS tf FROM (SELECT doc_id, "index", unnest({_TERMS}) AS term FROM passages) GROUP BY ALL)'
+
+
+@query(f"{_POST} SELECT * FROM post")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.term_frequency(_lines(spark, sf_dir))
+
+
+@query(f"{_POST} SELECT doc_id, term, count(*)::BIGINT AS df FROM post GROUP BY ALL")
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.doc_frequency(R.term_frequency(_lines(spark, sf_dir)))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*)::BIGINT AS n, round(avg(len({_TERMS})), 6) AS avgdl FROM passages GROUP BY doc_id")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.corpus_stats(_lines(spark, sf_dir))
+
+
+@query(f'WITH {LINES}, {_bm25(SEARCHES)} SELECT doc_id, "index", qid, round(score, 6) AS score FROM bm')
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bm25_scores(_lines(spark, sf_dir), SEARCHES).withColumn("score", F.round("score", 6))
+
+
+@query(f'WITH {LINES}, {_bm25(SEARCHES)} SELECT doc_id, "index", qid, round(score, 6) AS score, pos FROM br WHERE pos = 0')
+def bm25_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_k(R.bm25_scores(_lines(spark, sf_dir), SEARCHES), 1).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {LINES}, {_bm25(SEARCHES)} SELECT doc_id, qid, array_to_string(list("index"::VARCHAR ORDER BY "index"), ',') AS passages FROM br WHERE pos < 5 GROUP BY doc_id, qid""")
+def bm25_topk_doc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = R.top_k(R.bm25_scores(_lines(spark, sf_dir), SEARCHES), 5)
+    listed = F.array_join(F.sort_array(F.collect_list(F.col("index").cast("int"))).cast("array<string>"), ",")
+    return best.groupBy("doc_id", "qid").agg(listed.alias("passages"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{q.qid}', '{S.query_text(q)}', '{S.query_text(q, True)}')" for q in (LANG, ABUSE, DENSITY)) + ") AS t(qid, library, service)")
+def question_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(q.qid, S.query_text(q), S.query_text(q, skip_null=True)) for q in (LANG, ABUSE, DENSITY)], "qid string, library string, service string")
+
+
+# -- E: dense ranking, fusion, recall
+
+_DENSE = """WITH d AS (SELECT q.vec_id AS qid, v.vec_id AS id, v.label, q.label AS want, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id < 4),
+r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) - 1)::BIGINT AS pos FROM d)"""
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return R.dense_rank(v, "sim", e.where("vec_id < 4").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")))
+
+
+@query(f"{_DENSE} SELECT qid, id, sim, pos FROM r")
+def dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir)
+
+
+@query(f"""{_DENSE}, a AS (SELECT qid, id AS "index", pos FROM r UNION ALL SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY md5('b:' || id::VARCHAR), id) - 1) FROM r),
+f AS (SELECT qid, "index", sum(1.0::DOUBLE / (60 + pos)) AS rrf FROM a GROUP BY ALL)
+SELECT qid, "index", round(rrf, 6) AS rrf, (row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, "index") - 1)::BIGINT AS pos FROM f""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    a = _dense(spark, sf_dir).withColumnRenamed("id", "index")
+    b = a.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(J.draw("b", "index"), "index")) - 1)
+    return R.fused([a, b], ["qid"]).withColumn("rrf", F.round("rrf", 6))
+
+
+@query(f"""{_DENSE}, f AS (SELECT qid, min(pos) AS pos FROM r WHERE label = want AND id <> qid GROUP BY qid)
+SELECT count(*)::BIGINT AS n, {', '.join(f'round(avg((pos < {k})::INT::DOUBLE), 6) AS recall_{k}' for k in (1, 3, 5, 10, 20, 50))}, median(pos)::DOUBLE AS median_pos FROM f""")
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    r = _dense(spark, sf_dir).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    q = e.where("vec_id < 4").select(F.col("vec_id").alias("qid"), F.col("label").alias("want"))
+    first = r.join(F.broadcast(q), "qid").where("label = want and id <> qid").groupBy("qid").agg(F.min("pos").alias("pos"))
+    return R.recall_at(first)
+
+
+# -- F: scoring and projections
+
+
+def _answers(spark: SparkSession, sf_dir: str, q: S.Question, temperatures: dict | None = None) -> DataFrame:
+    rows = _lines(spark, sf_dir).select("doc_id", "index", "text")
+    return S.answers(S.calibrated(S.LexicalScorer().score(rows, [q]), temperatures))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, "index", round(p[1], 6) AS p1, round(p[2], 6) AS p2, round(p[3], 6) AS p3, round(p[4], 6) AS p4 FROM (SELECT doc_id, "index", {_softmax('z', '0.5')} AS p FROM (SELECT doc_id, "index", {_logits(LANG)} AS z FROM (SELECT *, {_TERMS} AS t FROM passages)))""")
+def softmax_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _answers(spark, sf_dir, LANG, {("choice", 4): 0.5, "choice": 3.0})
+    return a.select("doc_id", "index", *(F.round(F.col("p")[i], 6).alias(f"p{i + 1}") for i in range(4)))
+
+
+@query(f"""{_scored(LANG)} SELECT doc_id, "index", {_best(LANG.keys, 'p')} AS choice, round({_entropy('p')}, 6) AS confidence FROM scored""")
+def choice_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, LANG).select("doc_id", "index", "choice", "confidence")
+
+
+@query(f"""{_scored(DENSITY)} SELECT doc_id, "index", round(p[2] + 2 * p[3], 6) AS level, round({_entropy('p')}, 6) AS confidence FROM scored""")
+def score_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, DENSITY).select("doc_id", "index", "level", "confidence")
+
+
+@query(f"""{_scored(ABUSE)} SELECT doc_id, "index", round(p[2], 6) AS yes, round(greatest(p[1], p[2]), 6) AS confidence FROM scored""")
+def noul_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, ABUSE).select("doc_id", "index", "yes", "confidence")
+
+
+@query("""WITH k AS (SELECT sha1(text) AS key, doc_id FROM documents WHERE text IS NOT NULL), c AS (SELECT DISTINCT sha1(d.text) AS key FROM documents d JOIN labels l USING (doc_id))
+SELECT count(*)::BIGINT AS "rows", count(c.key)::BIGINT AS hits, (count(*) - count(c.key))::BIGINT AS misses FROM k LEFT JOIN c USING (key)""")
+def cache_hits_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha1("text").alias("key"))
+    cache = docs.join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("key", F.col("doc_id").alias("seq"))
+    return S.cache_stats(docs, cache)
+
+
+@query(f"""WITH {LINES} SELECT doc_id, sum(len({_TERMS}) + {len(R.query_terms(S.query_text(LANG)))} + len({_TERMS}) + {len(R.query_terms(S.query_text(ABUSE)))})::BIGINT AS tokens, round(sum(len({_TERMS}) + {len(R.query_terms(S.query_text(LANG)))} + len({_TERMS}) + {len(R.query_terms(S.query_text(ABUSE)))}) * 0.25 / 1000000.0, 9) AS cost FROM passages GROUP BY doc_id""")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.LexicalScorer().score(_lines(spark, sf_dir).select("doc_id", "index", "text"), [LANG, ABUSE])
+    return rows.groupBy("doc_id").agg(F.sum("seq_len").alias("tokens"), F.round(I.cost("seq_len", 0.25), 9).alias("cost"))
+
+
+# -- G: asking
+
+
+def _ask_sql(q: S.Question, mode: str, gate: bool, k: int | None = None) -> str:
+    """One question asked of all documents, as SQL."""
+    base = q.detector if q.detector is not None else q
+    gq = A.gate_question(q)
+    sel = f"SELECT p.*, count(*) OVER (PARTITION BY doc_id) AS n_chunks, {_TERMS} AS t FROM passages p"
+    ctes = [LINES]
+    if k is not None:
+        ctes.append(_bm25(((q.qid, S.query_text(q, True)),)))
+        sel = f'SELECT * FROM ({sel}) JOIN (SELECT doc_id, "index" FROM br WHERE pos < {k}) USING (doc_id, "index")'
+    ctes.append(f"s0 AS ({sel})")
+    n = {"noul": 2}.get(q.type, len(q.keys))
+    ctes.append(f"s1 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_scored, {_logits(q)} AS z, {_logits(base)} AS zd, {_logits(gq)} AS zg FROM s0)")
+    p = _softmax("z")
+    if q.detector is not None:
+        at = q.detector.keys.index(q.detector_key) + 1
+        d = f"({_softmax('zd')})[{at}]"
+        p = f"CASE WHEN n_chunks > 1 THEN [1 - {d}, {d}] ELSE {p} END"
+    g = f"CASE WHEN n_scored > 1 THEN ({_softmax('zg')})[2] ELSE 1.0 END" if gate else "1.0::DOUBLE"
+    own = len(R.query_terms(S.query_text(q)))
+    used = f"CASE WHEN n_chunks > 1 THEN {len(R.query_terms(S.query_text(base)))} ELSE {own} END" if q.detector is not None else str(own)
+    extra = f" + CASE WHEN n_scored > 1 THEN len(t) + {len(R.query_terms(S.query_text(gq)))} ELSE 0 END" if gate else ""
+    ctes.append(f's2 AS (SELECT doc_id, "index", n_chunks, n_scored, {p} AS p, {g} AS g, len(t) + {used}{extra} AS tokens FROM s1)')
+    ctes.append("s3 AS (SELECT *, g / sum(g) OVER (PARTITION BY doc_id) AS w FROM s2)")
+    tail = "any_value(n_chunks)::BIGINT AS n_chunks, count(*)::BIGINT AS n_scored, sum(tokens)::BIGINT AS tokens"
+    if q.type == "noul":
+        v = {"max": "max(p[2])", "any": "1 - product(1 - p[2])", "mean": "sum(p[2] * w)"}[mode]
+        ctes.append(f"s4 AS (SELECT doc_id, {v} AS v, {tail} FROM s3 GROUP BY doc_id)")
+        return f"WITH {', '.join(ctes)} SELECT doc_id, '{q.qid}' AS qid, '{mode}' AS agg, round(v, 6) AS answer_value, NULL::VARCHAR AS answer_key, round(greatest(v, 1 - v), 6) AS confidence, n_chunks, n_scored, tokens FROM s4"
+    mix = "[" + ", ".join(f"sum(p[{i}] * w)" for i in range(1, n + 1)) + "]"
+    logs = "[" + ", ".join(f"sum(ln(greatest(0.000001, least(1.0, p[{i}]))) * w)" for i in range(1, n + 1)) + "]"
+    ctes.append(f"s4 AS (SELECT doc_id, {mix} AS mix, {logs} AS logs, {tail} FROM s3 GROUP BY doc_id)")
+    ctes.append(f"s5 AS (SELECT *, {_softmax('logs') if mode == 'loglinear' else 'mix'} AS p FROM s4)")
+    value = "round(" + " + ".join(f"{i} * mix[{i + 1}]" for i in range(n)) + ", 6)" if q.type == "score" else "round(list_max(p), 6)"
+    key = _best(q.keys, "p") if q.type == "choice" else "NULL::VARCHAR"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, '{q.qid}' AS qid, '{mode}' AS agg, {value} AS answer_value, {key} AS answer_key, round({_entropy('p')}, 6) AS confidence, n_chunks, n_scored, tokens FROM s5"
+
+
+def _ask_query(name: str, q: S.Question, mode: str, gate: bool, k: int | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return A.ask(_lines(spark, sf_dir), [q], "bm25" if k else None, k or 1, gate, {q.qid: mode})
+
+    run.__name__ = name
+    query(_ask_sql(q, mode, gate, k))(run)
+
+
+_ask_query("agg_max", ABUSE, "max", False)
+_ask_query("agg_any", ABUSE, "any", False)
+_ask_query("agg_mean_weighted", ABUSE, "mean", True)
+_ask_query("agg_mixture", LANG, "mixture", True)
+_ask_query("agg_loglinear", LANG, "loglinear", True)
+_ask_query("agg_expected", DENSITY, "mixture", True)
+_ask_query("ask_score_loglinear", DENSITY, "loglinear", False)
+_ask_query("ask_locate", LANG, "mixture", True, 3)
+_ask_query("ask_locate_top1", ABUSE, "max", False, 1)
+_ask_query("ask_detector", TWO_WAY, "max", False)
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_ask_sql(q, m, g)})" for q, m, g in ((LANG, "mixture", True), (ABUSE, "max", False), (DENSITY, "mixture", True))))
+def ask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.ask(_lines(spark, sf_dir), [LANG, ABUSE, DENSITY])
+
+
+@query()
+def stack_second_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the two engines write the JSON summary with other number formats."""
+    return A.ask_stacked(_lines(spark, sf_dir), ABUSE).select("doc_id", "qid", F.round(F.col("p")[1], 6).alias("yes"))
+
+
+@query(f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM passages GROUP BY doc_id) SELECT doc_id, (n * 3)::BIGINT AS scored, (CASE WHEN n > 1 THEN n * 2 ELSE 0 END)::BIGINT AS gates, (n * 3 + CASE WHEN n > 1 THEN n * 2 ELSE 0 END)::BIGINT AS \"rows\", CASE WHEN n * 3 > 256 THEN 'scan' END AS refused FROM n")
+def row_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.admit(A.row_estimate(_lines(spark, sf_dir), [LANG, ABUSE, DENSITY]))
+
+
+_REQUESTS = (
+    ("ok", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}}, "ok"),
+    ("no_state", {"questions": {}}, "422 state"),
+    ("empty_text", {"state": [{"text": " "}], "questions": {}}, "422 text"),
+    ("bad_type", {"state": [{"text": "a"}], "questions": {"q": {"type": "x", "instructions": "x"}}}, "422 type"),
+    ("one_label", {"state": [{"text": "a"}], "questions": {"q": {"type": "choice", "instructions": "x", "criteria": {"a": None}}}}, "422 criteria"),
+    ("bool_top_k", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "top_k": True}, "422 top_k"),
+    ("score_loglinear", {"state": [{"text": "a"}], "questions": {"q": {"type": "score", "instructions": "x", "criteria": ["a", "b"]}}, "agg": {"q": "loglinear"}}, "422 agg_mode"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{e}')" for n, _, e in _REQUESTS) + ") AS t(request, outcome)")
+def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for name, body, _ in _REQUESTS:
+        try:
+            V.validate(body)
+            rows.append((name, "ok"))
+        except V.Refusal as e:
+            rows.append((name, f"{e.status} {e.code}"))
+    return spark.createDataFrame(rows, "request string, outcome string")
+
+
+# -- I: metrics, on the largest abuse chance of a document's lines against its label
+
+
+def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.combined(A.scored_rows(A.selected_passages(_lines(spark, sf_dir), [ABUSE], None, 1), [ABUSE], False), ABUSE, {"abuse": "any"})
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    gold = _t(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("gold"))
+    return s.select("doc_id", F.col("answer_value").alias("score")).join(gold, "doc_id").join(docs, "doc_id")
+
+
+_DOCS = f"WITH a AS ({_ask_sql(ABUSE, 'any', False)}), s AS (SELECT a.doc_id, answer_value AS score, l.toxic = 1 AS gold, d.lang, d.n_chars FROM a JOIN labels l USING (doc_id) JOIN documents d USING (doc_id))"
+_AUC = "round(sum(CASE WHEN gold THEN mid END) / nullif(count_if(gold) * count_if(NOT gold), 0) - (count_if(gold) + 1) / 2.0 / nullif(count_if(NOT gold), 0), 6) AS auc, count_if(gold)::BIGINT AS n_pos, count_if(NOT gold)::BIGINT AS n_neg"
+
+
+@query(f"{_DOCS}, m AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM s) SELECT {_AUC} FROM m")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.auc(_doc_scores(spark, sf_dir))
+
+
+@query(f"{_DOCS}, m AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS mid FROM s) SELECT lang, {_AUC} FROM m GROUP BY lang")
+def auc_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.auc(_doc_scores(spark, sf_dir), ["lang"])
+
+
+@query()
+def auc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the resamples' multiplicities come from a hash that only one engine has."""
+    return I.auc_bootstrap(_doc_scores(spark, sf_dir), "doc_id")
+
+
+@query(f"{_DOCS}, n AS (SELECT list_sort(list(score)) AS v FROM s WHERE NOT gold), t AS (SELECT v[least(len(v) - 1, floor(0.9 * len(v))::BIGINT) + 1] AS threshold FROM n) SELECT threshold, round(avg((score >= threshold)::INT::DOUBLE), 6) AS recall FROM s, t WHERE gold GROUP BY threshold")
+def recall_at_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.recall_at_spec(_doc_scores(spark, sf_dir))
+
+
+@query(f"{_DOCS}, v AS (SELECT lang, list_sort(list(score)) AS v, count(*) AS n FROM s GROUP BY lang) SELECT lang, v[n // 4 + 1] AS q1, v[n // 2 + 1] AS q2, v[3 * n // 4 + 1] AS q3 FROM v")
+def quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.order_quartiles(_doc_scores(spark, sf_dir), ["lang"])
+
+
+@query(f"{_DOCS}, p AS (SELECT list_sort(list(score)) AS v FROM s WHERE gold), t AS (SELECT v[len(v) // 5 + 1] AS threshold FROM p) SELECT threshold, round(avg((score >= threshold)::INT::DOUBLE), 6) AS fp_rate, round(avg((score >= threshold)::INT::DOUBLE) * 69, 6) AS expected_fp FROM s, t WHERE NOT gold GROUP BY threshold")
+def fp_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.fp_at_recall(_doc_scores(spark, sf_dir))
+
+
+_SUMMARY = "count(*)::BIGINT AS n, round(avg(((score >= 0.5) = gold)::INT::DOUBLE), 6) AS accuracy, round(avg((score BETWEEN 0.3 AND 0.7)::INT::DOUBLE), 6) AS in_band, count_if(score > 0.2)::BIGINT AS over_0_2, count_if(score > 0.5)::BIGINT AS over_0_5, count_if(score > 0.9)::BIGINT AS over_0_9, max(score) AS most, round(median(score), 6) AS median, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.95), 6) AS p95, round(avg(CASE WHEN gold THEN score END), 6) AS mean_pos, round(avg(CASE WHEN NOT gold THEN score END), 6) AS mean_neg"
+
+
+@query(f"{_DOCS} SELECT lang, {_SUMMARY} FROM s GROUP BY lang")
+def grouped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.summary(_doc_scores(spark, sf_dir), ["lang"])
+
+
+_DEPTH = "CASE WHEN d < 0.34 THEN 'start' WHEN d < 0.67 THEN 'middle' WHEN d < 1.01 THEN 'end' END"
+
+
+@query(f"""{_scored(ABUSE)} SELECT bin, count(*)::BIGINT AS n, round(avg(p[2]), 6) AS mean, count_if(round(p[2], 6) >= 0.5)::BIGINT AS hits FROM (SELECT p, {_DEPTH} AS bin FROM (SELECT p, "index" / greatest(1, count(*) OVER (PARTITION BY doc_id) - 1) AS d FROM scored)) GROUP BY bin""")
+def depth_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    a = _answers(spark, sf_dir, ABUSE)
+    a = a.withColumn("d", F.col("index") / F.greatest(F.lit(1), F.count("*").over(W.partitionBy("doc_id")) - 1)).withColumn("bin", I.depth_bin("d"))
+    return a.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p")[1]), 6).alias("mean"), F.count_if(F.col("yes") >= 0.5).alias("hits"))
+
+
+# -- J, K: builders, ensembles, cascades
+
+
+@query("SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY md5('s:' || doc_id::VARCHAR), doc_id) - 1)::BIGINT AS pos FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('s:' || doc_id::VARCHAR), doc_id) <= 10")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.stratified_sample(_t(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 10, "s")
+
+
+_ORDER = "PARTITION BY doc_id ORDER BY md5('f:' || \"index\"::VARCHAR), \"index\""
+
+
+def _drawn() -> list:
+    return [J.draw("f", "index"), F.col("index")]
+
+
+@query(f'WITH {LINES} SELECT * FROM (SELECT doc_id, "index", coalesce(sum(tok_end - tok_start + 2) OVER ({_ORDER} {_BEFORE}), 0)::BIGINT AS before FROM passages) WHERE before < 100')
+def token_budget_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("n", F.col("tok_end") - F.col("tok_start"))
+    return J.token_budget_fill(rows, "doc_id", _drawn(), "n", 100).select("doc_id", "index", "before")
+
+
+@query(f'WITH {LINES} SELECT doc_id, count_if(u <= 60)::BIGINT AS n_before FROM (SELECT doc_id, sum(tok_end - tok_start + 2) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM passages) GROUP BY doc_id')
+def needle_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("n", F.col("tok_end") - F.col("tok_start"))
+    return J.offset_prefix(rows, "doc_id", _drawn(), "n", 60)
+
+
+@query("""SELECT doc_id, w AS place, array_to_string(CASE w WHEN 'none' THEN a WHEN 'start' THEN list_concat(['NEEDLE'], a) WHEN 'end' THEN list_concat(a, ['NEEDLE']) ELSE list_concat(list_concat(a[1:len(a) // 2], ['NEEDLE']), a[len(a) // 2 + 1:]) END, '|') AS text
+FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a, unnest(['start', 'middle', 'end', 'none']) AS w FROM documents)""")
+def needle_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("a"))
+    made = [F.struct(F.lit(w).alias("place"), F.array_join(J.place(F.col("a"), F.lit("NEEDLE"), w), "|").alias("text")) for w in ("start", "middle", "end", "none")]
+    return docs.select("doc_id", F.explode(F.array(*made)).alias("m")).select("doc_id", "m.place", "m.text")
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS t FROM documents) WHERE length(t) >= 300 GROUP BY t")
+def whitespace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.normalised_unique(_t(spark, sf_dir, "documents"), "doc_id", "text", 300).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def relabel_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = _t(spark, sf_dir, "labels").where("toxic = 1")
+    return J.without(_t(spark, sf_dir, "documents").select("doc_id", "lang"), bad, "doc_id")
+
+
+@query(f"""{_scored(ABUSE)}, n AS (SELECT doc_id, p[2] AS s, row_number() OVER ({_ORDER}) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM scored),
+m AS (SELECT unnest([1, 4, 16, 64]) AS m) SELECT doc_id, m::BIGINT AS m, round(max(s), 6) AS top FROM n, m WHERE i <= m GROUP BY doc_id, m""")
+def nested_haystack_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answers(spark, sf_dir, ABUSE).withColumn("s", F.col("p")[1])
+    return J.nested_max(rows, "doc_id", _drawn(), "s", (1, 4, 16, 64))
+
+
+_PAIR = f"""{_scored(ABUSE)}, pair AS (SELECT s.doc_id, s."index", s.p[2] AS a, ({_softmax('z')})[1] AS b FROM scored s JOIN (SELECT doc_id, "index", {_logits(TWO_WAY.detector)} AS z FROM (SELECT *, {_TERMS} AS t FROM passages)) USING (doc_id, "index"))"""
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two detectors' scores of every line, from one scoring pass."""
+    rows = S.calibrated(S.LexicalScorer().score(_lines(spark, sf_dir).select("doc_id", "index", "text"), [ABUSE, TWO_WAY.detector]))
+    first = F.col("qid") == "abuse"
+    return rows.groupBy("doc_id", "index").agg(F.max(F.when(first, F.col("p")[1])).alias("a"), F.max(F.when(~first, F.col("p")[0])).alias("b"))
+
+
+@query(f"{_PAIR} SELECT doc_id, round(max(a), 6) AS max_a, round(max((a + b) / 2), 6) AS max_mean, round(max(least(a, b)), 6) AS max_min FROM pair GROUP BY doc_id")
+def ensemble_min_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.ensembles(_pair(spark, sf_dir))
+
+
+@query(f'{_PAIR}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(a, 6) DESC, "index") AS r FROM pair) SELECT doc_id, round(max(least(a, b)), 6) AS two_stage FROM r WHERE r <= 20 GROUP BY doc_id')
+def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.two_stage(_pair(spark, sf_dir))
+
+
+@query("""WITH q AS (SELECT embedding AS e, label AS want FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label = want AS gold, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS sim FROM embeddings, q),
+t AS (SELECT quantile_cont(sim, 0.05) AS t FROM d WHERE gold) SELECT vec_id, gold, sim, CASE WHEN sim >= t THEN 1.0 ELSE 0.0 END::DOUBLE AS gated FROM d, t""")
+def dense_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").first()
+    v = ", ".join(f"{float(x)!r}D" for x in q["embedding"])
+    rows = e.withColumn("_q", F.expr(f"array({v})")).select("vec_id", (F.col("label") == q["label"]).alias("gold"), F.round(dot("embedding", "_q"), 6).alias("sim"), F.lit(1.0).alias("score"))
+    return I.dense_gate(rows).select("vec_id", "gold", "sim", "gated")
+
+
+@query(f'{_scored(ABUSE)} SELECT doc_id, "index", round(p[2], 6) AS p FROM scored WHERE round(p[2], 6) > 0.7')
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, ABUSE).where("yes > 0.7").select("doc_id", "index", F.col("yes").alias("p"))
+
+
+@query(f"""{_scored(ABUSE)}, a AS (SELECT doc_id, max(p[2]) AS m FROM scored GROUP BY doc_id) SELECT 0.0::DOUBLE AS max_abs, 0::BIGINT AS unmatched FROM a LIMIT 1""")
+def simulation_equals_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest score of a document's passages, from the passage table and from asking."""
+    lines = _lines(spark, sf_dir)
+    table = _answers(spark, sf_dir, ABUSE).groupBy("doc_id").agg(F.max("yes").alias("v"))
+    return I.max_abs_difference(table, A.ask(lines, [ABUSE]).select("doc_id", F.col("answer_value").alias("v")), ["doc_id"], "v")
