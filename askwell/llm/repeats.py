@@ -9,7 +9,8 @@ rounds and can be spread out, a collection consists of short pieces that meet be
   can only be found among pieces of one anchor hash, and pieces are dealt out by it.
 * Pieces' hashes go first: 13 bytes each, packed into arrays, once for equal pieces of one part. Anchors seen in one document only are done with.
   Equal pieces are one string, kept with its smallest id: windows of the other, later ones are repeats. Where an anchor has different
-  pieces, their bytes are fetched and the collection is built.
+  pieces, their bytes are fetched, cut to what can be equal to another document's (by hashes of some 42 bytes round the anchor), and
+  the collection is built.
 * An anchor with more than ``WIDE`` different pieces is dealt out again by single windows, so no task gets all of them.
 
 Copies of a whole text (their documents share a SHA-256) are taken out before; all but the smallest id lose every byte.
@@ -40,7 +41,7 @@ K = 16
 SLICE_BYTES = 1 << 20
 WIDE = 20_000
 #: Strings of one collection, but for anchors with more.
-COLLECTION = 50_000
+COLLECTION = 8_000
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -70,12 +71,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class Pieces:
-    """The pieces of a slice of documents: where each starts, its number of windows, its document, anchor hash and own hash."""
+    """The pieces of a slice of documents: where each starts, its number of windows, its document, anchor hash, own hash, and the
+    anchor's place in it."""
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         ends = np.cumsum(lengths)
         none = np.zeros(0, "i8")
-        self.start, self.windows, self.doc, self.anchor, self.own = none, none, none, none.astype("u8"), none.astype("u8")
+        self.start, self.windows, self.doc, self.anchor, self.own, self.place = none, none, none, none.astype("u8"), none.astype("u8"), none
         if len(data) < WINDOW:
             return
         h = _hashes(data, K)
@@ -94,7 +96,7 @@ class Pieces:
         begin = edge[at[edge] >= 0]
         size = np.diff(np.append(edge, len(at)))[at[edge] >= 0]
         # Adjacent documents can't share a piece: windows that cross an end are not valid.
-        self.start, self.windows, self.doc, self.anchor = begin, size, doc[begin], h[at[begin]]
+        self.start, self.windows, self.doc, self.anchor, self.place = begin, size, doc[begin], h[at[begin]], at[begin] - begin
         if len(begin):
             sums = _prefix(data)
             back = np.cumprod(np.full(len(data) + 1, _INVERSE, "u8"), dtype="u8")
@@ -143,6 +145,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 LATE = 2**63 - 1  # a null id
+NOWHERE = 255  # the place of no anchor: a single window
 _SHA, _SIZE = "__sha", "__n_bytes"
 
 
@@ -157,10 +160,10 @@ class Part:
             ids.append(_unpack(r["ids"])[0])
             self.shas += r.get("shas", "")
             p = Pieces(data[-1], lengths[-1])
-            pieces.append([p.start + at, p.windows, p.doc + docs, p.anchor, p.own])
+            pieces.append([p.start + at, p.windows, p.doc + docs, p.anchor, p.own, p.place])
             at, docs = at + len(data[-1]), docs + len(ids[-1])
         self.data, self.lengths, self.ids = (np.concatenate(x) for x in (data, lengths, ids))
-        self.start, self.windows, self.doc, self.anchor, self.own = _join(pieces)
+        self.start, self.windows, self.doc, self.anchor, self.own, self.place = _join(pieces)
         self.id = self.ids[self.doc]
         self.order = np.lexsort((self.id, self.own, self.anchor))
         a, o = self.anchor[self.order], self.own[self.order]
@@ -226,17 +229,18 @@ def send_pieces(p: Part, part: int, asked: dict[int, np.ndarray], n: int) -> lis
     """``(bucket, part, blob)``: the bytes of the asked pieces, or of their windows."""
     k = asked[1]
     again, off = _windows_of(p, asked[2])
-    start, size, anchor = p.start[k], p.windows[k] + WINDOW - 1, p.anchor[k]
+    start, size, anchor, place = p.start[k], p.windows[k] + WINDOW - 1, p.anchor[k], p.place[k]
     if len(again):
         at = p.start[again] + off
         sums = _prefix(p.data)
         back = np.cumprod(np.full(len(p.data) + 1, _INVERSE, "u8"), dtype="u8")
         start, size = np.append(start, at), np.append(size, np.full(len(at), WINDOW))
         anchor = np.append(anchor, _mix((sums[at + WINDOW] - sums[at]) * back[at]))
+        place = np.append(place, np.full(len(at), NOWHERE))
     ordinal, shift = np.append(k, again), np.append(np.zeros(len(k), "i8"), off)
     rows = []
     for b, x in _dealt((anchor >> np.uint64(40)).astype("i8") % n, n):
-        rows.append((b, part, _pack(_low_bytes(anchor[x], 5), p.id[ordinal[x]], ordinal[x].astype("u4"), shift[x].astype("u1"), size[x].astype("u1"), p.data[_ranges(start[x], size[x])])))
+        rows.append((b, part, _pack(_low_bytes(anchor[x], 5), p.id[ordinal[x]], ordinal[x].astype("u4"), shift[x].astype("u1"), size[x].astype("u1"), place[x].astype("u1"), p.data[_ranges(start[x], size[x])])))
     return rows
 
 
@@ -256,20 +260,54 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.
     return out
 
 
+def worth_comparing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the first and last of its windows that can be equal to one of another document; the first is larger where none can.
+
+    A window begins from 0 to ``WINDOW - K`` bytes before its anchor. Windows of one of four ranges of that have some 42 bytes round
+    the anchor in common, so a piece is only of interest in the ranges where another document has these bytes too.
+    """
+    n, reach = len(size), WINDOW - K
+    first, last = np.full(n, 255), np.full(n, -1)
+    sums = _prefix(data)
+    back = np.cumprod(np.full(len(data) + 1, _INVERSE, "u8"), dtype="u8")
+    windows = size - WINDOW + 1
+    edges = np.linspace(0, reach + 1, 5).astype("i8")
+    for x1, x2 in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist(), strict=True):
+        # Windows of the piece in the range: they begin at place - x2 to place - x1.
+        lo, hi = np.maximum(place - x2, 0), np.minimum(place - x1, windows - 1)
+        x = np.flatnonzero((lo <= hi) & (place != NOWHERE))
+        s, e = begin[x] + place[x] - x1, begin[x] + place[x] - x2 + WINDOW
+        key = _mix((sums[e] - sums[s]) * back[s])
+        order = np.lexsort((doc[x], key, anchor[x]))
+        a, k, d = anchor[x][order], key[order], doc[x][order]
+        if not len(a):
+            continue
+        new = np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]))
+        at = np.flatnonzero(new)
+        shared = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))[np.cumsum(new) - 1]
+        x = x[order][shared]
+        first[x], last[x] = np.minimum(first[x], lo[x]), np.maximum(last[x], hi[x])
+    whole = place == NOWHERE
+    return np.where(whole, 0, first), np.where(whole, windows - 1, last)
+
+
 def compare_pieces(blobs: list[tuple[int, bytes]], collection: int) -> list[tuple]:
     """``(part, kind = 1, blob)``: the windows of each piece that are repeats, as bits."""
-    got = [[*x[:5], np.full(len(x[1]), p, "i4"), x[5]] for p, x in ((p, _unpack(z)) for p, z in blobs)]
-    low, doc, ordinal, shift, size, part, data = _join(got)
-    anchor, size = _from_low_bytes(low, 5), size.astype("i8")
+    got = [[*x[:6], np.full(len(x[1]), p, "i4"), x[6]] for p, x in ((p, _unpack(z)) for p, z in blobs)]
+    low, doc, ordinal, shift, size, place, part, data = _join(got)
+    anchor, size, place = _from_low_bytes(low, 5), size.astype("i8"), place.astype("i8")
     begin = np.cumsum(size) - size
+    first, last = worth_comparing(data, begin, size, place, anchor, doc)
+    begin, size, shift = begin + first, last - first + WINDOW, shift + first
     order = np.argsort(anchor, kind="stable")
+    order = order[(first <= last)[order]]
     edges = np.flatnonzero(anchor[order][1:] != anchor[order][:-1]) + 1
-    cuts, last = [0], 0
+    cuts, end = [0], 0
     for e in [*edges.tolist(), len(order)]:  # whole anchors, up to ``collection`` strings together
-        if e - cuts[-1] > collection and last > cuts[-1]:
-            cuts.append(last)
-        last = e
-    bits = np.zeros(len(order), "u8")
+        if e - cuts[-1] > collection and end > cuts[-1]:
+            cuts.append(end)
+        end = e
+    bits = np.zeros(len(size), "u8")
     for s, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
         x = order[s:e]
         bits[x] = repeated_windows(data[_ranges(begin[x], size[x])], size[x], doc[x]) << shift[x].astype("u8")
