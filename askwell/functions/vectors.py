@@ -24,29 +24,29 @@ def terms(text: str) -> Column:
 
 
 def dot(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)")
+    return F.expr(f"aggregate(zip_with({a}, {b}, (__x, __y) -> cast(__x as double) * cast(__y as double)), 0D, (__s, __x) -> __s + __x)")
 
 
 def softmax(logits: str, temperature: str = "1D") -> Column:
     """Stable softmax of logits over a temperature of at least 0.001; an empty list stays empty."""
-    z = f"transform({logits}, l -> exp((l - array_max({logits})) / greatest(0.001D, {temperature})))"
-    return F.expr(f"transform(array({z}), z -> transform(z, e -> e / aggregate(z, 0D, (s, x) -> s + x)))[0]")
+    z = f"transform({logits}, __l -> exp((__l - array_max({logits})) / greatest(0.001D, {temperature})))"
+    return F.expr(f"transform(array({z}), __z -> transform(__z, __e -> __e / aggregate(__z, 0D, (__s, __x) -> __s + __x)))[0]")
 
 
 def rounded(p: str) -> Column:
-    return F.expr(f"transform({p}, x -> round(x, {DIGITS}))")
+    return F.expr(f"transform({p}, __x -> round(__x, {DIGITS}))")
 
 
 def best_key(keys: str, p: str) -> Column:
     """The key of the first largest probability, compared after rounding."""
-    return F.expr(f"transform(array(transform({p}, x -> round(x, {DIGITS}))), r -> element_at({keys}, cast(array_position(r, array_max(r)) as int)))[0]")
+    return F.expr(f"transform(array(transform({p}, __x -> round(__x, {DIGITS}))), __r -> element_at({keys}, cast(array_position(__r, array_max(__r)) as int)))[0]")
 
 
 def entropy_confidence(p: str) -> Column:
     """One less the entropy over its largest value; 1 where there is one option."""
-    h = f"aggregate({p}, 0D, (s, x) -> s + case when x > 0 then x * ln(x) else 0D end)"
+    h = f"aggregate({p}, 0D, (__s, __x) -> __s + case when __x > 0 then __x * ln(__x) else 0D end)"
     return F.expr(f"case when size({p}) > 1 then 1 + {h} / ln(size({p})) else 1D end")
 
 
 def expected_level(p: str) -> Column:
-    return F.expr(f"aggregate(zip_with(sequence(0, size({p}) - 1), {p}, (i, x) -> i * x), 0D, (s, x) -> s + x)")
+    return F.expr(f"aggregate(zip_with(sequence(0, size({p}) - 1), {p}, (__i, __x) -> __i * __x), 0D, (__s, __x) -> __s + __x)")

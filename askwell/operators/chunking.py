@@ -45,7 +45,7 @@ def paragraphs(docs: DataFrame, sep: str = "\n\n", max_tokens: int | None = None
         ).withColumnRenamed("piece", "text")
     order = W.partitionBy("doc_id").orderBy("pos", "part")
     kept = kept.withColumn("index", F.row_number().over(order) - 1).select("doc_id", "index", "text", "tok_start", "tok_end", "char_start", "char_end")
-    blank = whole.where(~F.expr(f"exists(split(whole, '{_sql(quoted)}', -1), p -> p rlike '\\\\S')"))
+    blank = whole.where(~F.expr(f"exists(split(whole, '{_sql(quoted)}', -1), __p -> __p rlike '\\\\S')"))
     zero = F.lit(0).cast("long")
     return kept.union(blank.select("doc_id", F.lit(0), "whole", zero, zero, zero, F.length("whole").cast("long")))
 
@@ -70,7 +70,7 @@ def _windows(rows: DataFrame, size: int, stride: int) -> DataFrame:
     rows = rows.withColumn("b", F.expr(f"cast(case when part = _k - 1 then _n else part * {stride} + {size} end as long)"))
     # Characters before the first token, then those of the tokens with their white space.
     lead = "length(regexp_extract(text, '^[ \\\\t\\\\n\\\\r\\\\f]*', 0))"
-    chars = "aggregate(slice(_t, 1, cast({0} as int)), 0, (s, x) -> s + length(x))"
+    chars = "aggregate(slice(_t, 1, cast({0} as int)), 0, (__s, __x) -> __s + length(__x))"
     last = "length(regexp_extract(element_at(_t, cast(b as int)), '[ \\\\t\\\\n\\\\r\\\\f]*$', 0))"
     whole = f"_n <= {size}"
     rows = rows.withColumn("from_char", F.expr(f"cast(case when {whole} then 0 else {lead} + {chars.format('a')} end as long)"))

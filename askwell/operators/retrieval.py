@@ -49,7 +49,7 @@ def bm25_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFr
     if not vocabulary:
         vocabulary = [""]
     listed = ", ".join(f"'{t}'" for t in vocabulary)
-    rows = rows.withColumn("_tf", F.expr(f"transform(array({listed}), q -> size(filter(_t, t -> t = q)))")).drop("_t", "text")
+    rows = rows.withColumn("_tf", F.expr(f"transform(array({listed}), __q -> size(filter(_t, __t -> __t = __q)))")).drop("_t", "text")
     doc = W.partitionBy("doc_id")
     rows = rows.withColumn("_n", F.count("*").over(doc)).withColumn("_avg", F.avg("_len").over(doc))
     for k in range(len(vocabulary)):
