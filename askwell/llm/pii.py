@@ -221,7 +221,8 @@ def pseudonyms(key: bytes) -> Pseudonyms:
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
-    """All columns of ``df``, the text with its pseudonyms; with ``count_col``, how many each text got."""
+    """All columns of ``df``, the text with its pseudonyms; with ``count_col``, how many each text got, in place of a column of that name."""
+    df = df.drop(count_col) if count_col else df
     names = df.columns
     at = names.index(text_col)
     schema = T.StructType([*df.schema.fields, *([T.StructField(count_col, T.LongType())] if count_col else [])])

@@ -137,11 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain
     return fit_chain(texts, both, ("repeated", "toxic"))
 
 
-def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with a chance ``p_<category>`` for each category."""
+def score_documents(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
+    """``docs`` with a chance ``<prefix><category>`` for each category, in place of columns of that name."""
+    add = [prefix + c for c in chain.categories]
+    docs = docs.drop(*add)
     names = docs.columns
     at = names.index("text")
-    add = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

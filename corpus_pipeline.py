@@ -18,8 +18,8 @@ ORACLE_SQL = None
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain does not reject."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, chain)
-    return scored.where(F.col("p_toxic") <= toxicity.REJECT).select(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = toxicity.score_documents(docs, chain, prefix="__p_")
+    return scored.where(F.col("__p_toxic") <= toxicity.REJECT).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
