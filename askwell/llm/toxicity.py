@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from askwell.llm.common import map_batches, slices, table
 from askwell.llm.linear import fit_logistic, out_of_fold, sigmoid
 
-PER_CLASS = 3000
+PER_CLASS = 1500
+#: Features counted at once while choosing; beyond that those seen once so far are forgotten.
+COUNTED = 400_000
 FEATURES = 1024
 FOLDS = 5
 MARKED = 3
@@ -46,6 +48,10 @@ def word_features(word: str) -> set[str]:
     return {word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)}
 
 
+def _bag(text: str) -> set[str]:
+    return {f for w in set(_WORDS.findall(text.lower())) for f in word_features(w)}
+
+
 @dataclass(frozen=True)
 class Chain:
     """The features, and the weights of each category in order: of the features, of the logits before, and the constant."""
@@ -76,16 +82,17 @@ class Chain:
 def choose_features(texts: Sequence[str], y: np.ndarray, most: int = FEATURES) -> list[str]:
     """Features that positive texts have far more often, best first."""
     have: Counter = Counter()
-    bags = [{f for w in set(_WORDS.findall(t.lower())) for f in word_features(w)} for t in texts]
-    for bag, is_ in zip(bags, y, strict=True):
+    for t, is_ in zip(texts, y, strict=True):
         if is_:
-            have.update(bag)
+            have.update(_bag(t))
+            if len(have) > COUNTED:
+                have = Counter({f: n for f, n in have.items() if n > 1})
     least = 2 if y.sum() < 200 else 4
     often = {f for f, n in have.items() if n >= least}
     lack: Counter = Counter()
-    for bag, is_ in zip(bags, y, strict=True):
+    for t, is_ in zip(texts, y, strict=True):
         if not is_:
-            lack.update(bag & often)
+            lack.update(_bag(t) & often)
     pos, neg = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     score = {}
     for f in often:
@@ -132,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain
     sample = labelled_sample(docs, labels, "toxic", per_class)
     texts, y = [t for t, _ in sample], np.array([y for _, y in sample], "i8")
     feats = set(choose_features(texts, y)) if len(y) else set()
-    marked = np.array([sum(1 for w in _WORDS.findall(t.lower()) if feats & word_features(w)) >= MARKED for t in texts], bool) if len(y) else np.zeros(0, bool)
+    starts = {f.rstrip("*")[:4] for f in feats}
+    marked = np.array([sum(1 for w in _WORDS.findall(t.lower()) if w[:4] in starts and feats & word_features(w)) >= MARKED for t in texts], bool)
     both = np.stack([(y == 1) & marked, y == 1], 1).astype("i8") if len(y) else np.zeros((0, 2), "i8")
     return fit_chain(texts, both, ("repeated", "toxic"))
 
