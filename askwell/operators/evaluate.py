@@ -34,33 +34,42 @@ def auc_bootstrap(scores: DataFrame, key: str, rounds: int = 200, seed: int = 7)
     return one.agg(F.round(F.expr("percentile(a, 0.025)"), 6).alias("lo"), F.round(F.expr("percentile(a, 0.975)"), 6).alias("hi"))
 
 
-def _ordered(scores: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Adds the position ``i`` from 0 in ascending order and the number ``n`` of the group."""
+def _counted(scores: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Each different score ``s`` once, with the places ``lo`` to ``hi`` - 1 that it takes in ascending order, and the number ``n``.
+
+    Rows are counted before they are ordered: scores of six digits have at most a million values, however many rows there are.
+    """
+    by = scores.groupBy(*group, F.round("score", 6).alias("s")).agg(F.count("*").alias("c"))
     g = W.partitionBy(*([F.col(c) for c in group] or [F.lit(0)]))
-    return scores.withColumn("i", F.row_number().over(g.orderBy("s")) - 1).withColumn("n", F.count("*").over(g))
+    by = by.withColumn("hi", F.sum("c").over(g.orderBy("s").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(g))
+    return by.withColumn("lo", F.col("hi") - F.col("c"))
+
+
+def _at(place: str) -> Column:
+    return F.expr(f"lo <= {place} and {place} < hi")
 
 
 def recall_at_spec(scores: DataFrame, spec: float = 0.9, group: Sequence[str] = ()) -> DataFrame:
     """Share of positives at or above the ascending negatives' element ``min(n - 1, int(spec n))``: ``(threshold, recall)``."""
-    s = scores.withColumn("s", F.round("score", 6))
-    neg = _ordered(s.where(~F.col("gold")), group).where(F.expr(f"i = least(n - 1, cast(floor({spec} * n) as int))")).select(*group, F.col("s").alias("threshold"))
-    pos = s.where("gold")
-    rows = pos.join(F.broadcast(neg), list(group)) if group else pos.withColumn("_k", F.lit(1)).join(neg.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    neg = _counted(scores.where(~F.col("gold")), group).where(_at(f"least(n - 1, cast(floor({spec} * n) as long))")).select(*group, F.col("s").alias("threshold"))
+    pos = scores.where("gold").select(*group, F.round("score", 6).alias("s"))
+    key = list(group) or ["_k"]
+    rows = pos.join(neg, key) if group else pos.withColumn("_k", F.lit(1)).join(neg.withColumn("_k", F.lit(1)), key)
     return rows.groupBy(*group, "threshold").agg(F.round(F.avg((F.col("s") >= F.col("threshold")).cast("double")), 6).alias("recall"))
 
 
 def order_quartiles(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Elements n // 4, n // 2 and 3 n // 4 of the ascending scores, without interpolation."""
-    r = _ordered(scores.withColumn("s", F.round("score", 6)), group)
-    pick = lambda e: F.max(F.when(F.expr(f"i = {e}"), F.col("s")))
+    r = _counted(scores, group)
+    pick = lambda e: F.max(F.when(_at(e), F.col("s")))
     return r.groupBy(*group).agg(pick("n div 4").alias("q1"), pick("n div 2").alias("q2"), pick("(3 * n) div 4").alias("q3"))
 
 
 def fp_at_recall(scores: DataFrame, per_doc: int = 69) -> DataFrame:
     """Share of negatives at or above the positives' element ``n // 5``, and such passages expected in a document of ``per_doc``."""
-    s = scores.withColumn("s", F.round("score", 6)).withColumn("_k", F.lit(1))
-    thr = _ordered(s.where("gold"), []).where("i = n div 5").select("_k", F.col("s").alias("threshold"))
-    out = s.where(~F.col("gold")).join(thr, "_k").groupBy("threshold").agg(F.avg((F.col("s") >= F.col("threshold")).cast("double")).alias("fp"))
+    thr = _counted(scores.where("gold"), []).where(_at("n div 5")).select(F.lit(1).alias("_k"), F.col("s").alias("threshold"))
+    neg = scores.where(~F.col("gold")).select(F.lit(1).alias("_k"), F.round("score", 6).alias("s"))
+    out = neg.join(thr, "_k").groupBy("threshold").agg(F.avg((F.col("s") >= F.col("threshold")).cast("double")).alias("fp"))
     return out.select("threshold", F.round("fp", 6).alias("fp_rate"), F.round(F.col("fp") * per_doc, 6).alias("expected_fp"))
 
 
