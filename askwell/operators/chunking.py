@@ -65,17 +65,18 @@ def _windows(rows: DataFrame, size: int, stride: int) -> DataFrame:
     rows = rows.withColumn("_k", F.expr(count))
     tail = f"(_n - (_k - 1) * {stride})"
     rows = rows.withColumn("_k", F.expr(f"case when _k > 1 and {tail} < {size // 4} then _k - 1 else _k end"))
+    # Characters before the first token, then those of the strides before the window; each token is read once for its stride, once a window.
+    rows = rows.withColumn("_b", F.expr(f"transform(sequence(0, _k - 1), __i -> length(array_join(slice(_t, __i * {stride} + 1, {stride}), '')))"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     rows = rows.withColumn("a", (F.col("part") * stride).cast("long"))
     rows = rows.withColumn("b", F.expr(f"cast(case when part = _k - 1 then _n else part * {stride} + {size} end as long)"))
-    # Characters before the first token, then those of the tokens with their white space.
-    lead = "length(regexp_extract(text, '^[ \\\\t\\\\n\\\\r\\\\f]*', 0))"
-    chars = "aggregate(slice(_t, 1, cast({0} as int)), 0, (__s, __x) -> __s + length(__x))"
-    last = "length(regexp_extract(element_at(_t, cast(b as int)), '[ \\\\t\\\\n\\\\r\\\\f]*$', 0))"
-    whole = f"_n <= {size}"
-    rows = rows.withColumn("from_char", F.expr(f"cast(case when {whole} then 0 else {lead} + {chars.format('a')} end as long)"))
-    rows = rows.withColumn("to_char", F.expr(f"cast(case when {whole} then length(text) else {lead} + {chars.format('b')} - {last} end as long)"))
-    return rows.withColumn("piece", F.expr("substring(text, cast(from_char as int) + 1, cast(to_char - from_char as int))")).drop("_t", "_n", "_k")
+    space, whole = "[ \\\\t\\\\n\\\\r\\\\f]", f"_n <= {size}"
+    window = "array_join(slice(_t, cast(a as int) + 1, cast(b - a as int)), '')"
+    rows = rows.withColumn("piece", F.expr(f"case when {whole} then text else regexp_replace({window}, '{space}+$', '') end"))
+    lead = f"length(regexp_extract(text, '^{space}*', 0))"
+    rows = rows.withColumn("from_char", F.expr(f"cast(case when {whole} then 0 else {lead} + aggregate(slice(_b, 1, part), 0, (__s, __x) -> __s + __x) end as long)"))
+    rows = rows.withColumn("to_char", F.col("from_char") + F.length("piece"))
+    return rows.drop("_t", "_n", "_k", "_b")
 
 
 def token_windows(docs: DataFrame, chunk_tokens: int = 750, stride: int | None = None) -> DataFrame:
