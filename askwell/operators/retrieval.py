@@ -7,17 +7,21 @@ each passage counts just those terms, in its own row, and one shuffle by ``doc_i
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askwell.functions.vectors import dot, terms
+from askwell.functions.vectors import terms
 
 # Fixed values of the ranking function.
 K1, B = 1.5, 0.75
 FUSE = 60
+#: Query vectors compared at once.
+QUERY_BLOCK = 1024
 
 
 def query_terms(text: str) -> list[str]:
@@ -78,17 +82,49 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return ranked(scores).where(F.col("pos") < k)
 
 
-def dense_rank(vectors: DataFrame, query_label: str, query: DataFrame) -> DataFrame:
-    """``(qid, id, sim, pos)``: rank of every vector ``(id, v)`` for each of the few queries ``(qid, v)``, gathered into one row."""
-    listed = query.agg(F.sort_array(F.collect_list(F.struct("qid", "v"))).alias("qs")).first()["qs"]
-    df = None
-    made = [f"struct({r['qid']!r} as qid, array({', '.join(f'{float(x)!r}D' for x in r['v'])}) as q)" for r in listed]
-    if made:
-        df = vectors.select("id", "v", F.explode(F.expr(f"array({', '.join(made)})")).alias("q")).select(F.col("q.qid").alias("qid"), "id", F.round(dot("v", "q.q"), 6).alias("sim"))
-    else:
-        df = vectors.select(F.lit(None).cast(query.schema["qid"].dataType).alias("qid"), "id", F.lit(0.0).alias("sim")).limit(0)
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """``(qid, id, sim, pos)``: the k vectors ``(id, v)`` nearest to each query ``(qid, v)`` by inner product, ties by id.
+
+    Queries go out in blocks of ``QUERY_BLOCK``, each a broadcast of fixed size against all vectors; a batch keeps its own k best of
+    each query, so what is shuffled is k rows a query and batch, not all pairs. Null vectors are left out.
+    """
+    spark = vectors.sparkSession
+    ids, qids = vectors.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    rows = vectors.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
+    asked = queries.where("qid is not null and v is not null").select("qid", F.col("v").cast("array<double>").alias("v")).orderBy("qid")
+    out, block = None, []
+
+    def against(block: list) -> DataFrame:
+        names, matrix = [r["qid"] for r in block], spark.sparkContext.broadcast(np.array([r["v"] for r in block]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = np.array(b.column(0).to_pylist())
+                v = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                sims = np.round(v @ matrix.value.T, 6)
+                order = np.argsort(own, kind="stable")
+                q, i, x = [], [], []
+                for j, name in enumerate(names):
+                    best = order[np.argsort(-sims[order, j], kind="stable")[:k]]
+                    q += [name] * len(best)
+                    i += own[best].tolist()
+                    x += sims[best, j].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(x)], ["qid", "id", "sim"])
+
+        return rows.mapInArrow(run, f"qid {qids}, id {ids}, sim double")
+
+    for r in asked.toLocalIterator():  # one partition of the queries at a time
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            part = against(block)
+            out, block = part if out is None else out.union(part), []
+    if block or out is None:
+        part = against(block) if block else rows.limit(0).selectExpr(f"cast(null as {qids}) as qid", "id", "0D as sim")
+        out = part if out is None else out.union(part)
     order = W.partitionBy("qid").orderBy(F.col("sim").desc(), "id")
-    return df.withColumn("pos", F.row_number().over(order) - 1).withColumnRenamed("sim", query_label)
+    return out.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k)
 
 
 def fused(rankings: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -103,6 +139,6 @@ def fused(rankings: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def recall_at(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5, 10, 20, 50), group: Sequence[str] = ()) -> DataFrame:
-    """Share of targets at a ``pos`` below each k, and the median position."""
-    cols = [F.round(F.avg((F.col("pos") < k).cast("double")), 6).alias(f"recall_{k}") for k in ks]
+    """Share of targets at a ``pos`` below each k, and the median position of those that have one (a null ``pos`` was not found)."""
+    cols = [F.round(F.avg(F.coalesce(F.col("pos") < k, F.lit(False)).cast("double")), 6).alias(f"recall_{k}") for k in ks]
     return ranks.groupBy(*group).agg(F.count("*").alias("n"), *cols, F.median("pos").cast("double").alias("median_pos"))
