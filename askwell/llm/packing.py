@@ -60,7 +60,9 @@ class WordIds:
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     #: str.split() also splits at these, which are not white space for the library.
-    ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+    ODD_SPACE = "\x1c\x1d\x1e\x1f"
+    #: What may end a word as a part of its own.
+    ENDS = frozenset(".,;:!?|)]}\"*%$&#")
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
@@ -80,7 +82,7 @@ class WordIds:
 
     def _plain(self, text: str | None) -> bool:
         """Whether the library's ids are those of the text's pieces."""
-        return not ("<|" in text and any(s in text for s in self.special)) and self.ODD_SPACE.isdisjoint(text)
+        return not ("<|" in text and any(s in text for s in self.special) or any(c in text for c in self.ODD_SPACE))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -119,16 +121,21 @@ class WordIds:
         if len(self.young) + len(missing) > self.cache_entries:
             self.old, self.young = self.young, {}
             missing = needed
-        young, old, split = self.young, self.old, []
+        young, old, split, parts = self.young, self.old, [], []
         for p in missing:
             got = old.get(p)
             if got is not None:
                 young[p] = got
-            elif self.PLAIN.fullmatch(p):
-                split.append(p)
-            else:
+            elif not (p.isascii() and "\0" not in p or self.PLAIN.fullmatch(p)):
                 young[p] = self._whole(p)
-        parts = [self.PATTERN.findall(p.lower()) for p in split]
+            else:
+                split.append(p)
+                if p.isalpha():
+                    parts.append((p.lower(),))
+                elif p[-1] in self.ENDS and p[:-1].isalpha():
+                    parts.append((p[:-1].lower(), p[-1]))
+                else:
+                    parts.append(self.PATTERN.findall(p.lower()))
         if len(self.parts) > self.cache_entries:
             self.parts.clear()
         self._learn_parts([*set().union(*parts).difference(self.parts)])
