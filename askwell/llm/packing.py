@@ -116,13 +116,11 @@ class WordIds:
         return [x if isinstance(x, bytes) else b"".join(x) for x in found]
 
     def _learn(self, needed: set[str]) -> None:
-        """Puts the ids of all needed pieces into the young cache."""
-        missing = needed.difference(self.young)
-        if len(self.young) + len(missing) > self.cache_entries:
+        """Puts the ids of the needed pieces, none of which it has, into the young cache."""
+        if len(self.young) + len(needed) > self.cache_entries:
             self.old, self.young = self.young, {}
-            missing = needed
         young, old, split, parts = self.young, self.old, [], []
-        for p in missing:
+        for p in needed:
             got = old.get(p)
             if got is not None:
                 young[p] = got
