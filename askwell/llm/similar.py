@@ -1,24 +1,23 @@
-"""Near-duplicate groups of documents by word shingles, for similarities well below those that a 64-bit fingerprint separates.
+"""Near-duplicate groups of documents: all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what they join.
 
-Golay-code fuzzy hashing as in ``simhash.py``, with longer fingerprints: a SimHash of a document's different words has
-``PARTS`` parts of 16 + 23 bits. A key is a part's 16 bits with an index of a codeword near its 23 bits, so documents meet where they
-agree in 16 bits and differ by two or so in the other 23, in any part. With a similarity of 0.8 in shingles of five words, about
-one word in 45 differs and one bit in fifteen: a part leads such a pair together with a chance of 0.29, one of twelve with 0.98.
-Pairs that meet are verified by a second SimHash, of the five-word shingles: two sets of similarity J differ in a share
-acos(2 J / (1 + J)) / pi of its 512 bits, and pairs at or below the share of J = 0.8 are links.
+Documents with equal sets are one first. Then prefix filtering: in any one order of all shingles, two sets of n and m shingles with a similarity
+of t share a shingle among the first ``n - ceil(t n) + 1`` of the one and the first ``m - ceil(t m) + 1`` of the other. These shingles are
+the keys, so every such pair meets. The order puts shingles that are common in some stretch of the input last, which keeps keys small; it
+changes the time and not the result. Pairs that meet have to pass two tests, of what their places leave to share under the first key they have in
+common, and of 64 one-bit min-hashes: at t = 0.8 they differ in 6.4 bits, and ``BITS`` allows for over six standard deviations more.
+The rest is verified by the exact similarity of the two sets.
 
-Documents that share a key are linked all with all up to ``SMALL``; of more, each with the first and with the one before it, which
-joins copies through one another without all pairs. Keys are thinned so before the shuffle too: a batch sends at most ``SMALL``
-documents of a key, so no key gathers more rows than there are batches.
+A key with more than ``SMALL`` documents goes twice: first each is compared with the first and the one before it; then all with all that
+the links so far leave in different groups, since a link within a group joins nothing. No pair that could join two groups is left out.
 
-Defined results: null texts are empty ones; empty texts are equal; a null id is linked to nothing; rows of one id are one document; an empty
-table has no links.
+Defined results: null texts are empty ones; empty texts are equal; a null id is linked to nothing; rows of one id are one document, that with the
+smallest digest; an empty table has no links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -26,153 +25,251 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwell.llm.common import checkpointed, map_batches, slices
+from askwell.llm.common import checkpointed, map_batches, slices, written
 from askwell.llm.components import connected_components
-from askwell.llm.simhash import golay_indices, shingle_hashes
+from askwell.llm.simhash import shingle_hashes
 
-PARTS, EXACT, CODED = 12, 16, 23
-LANES = 8
 SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of more documents go by groups.
 SMALL = 8
+#: Most differing min-hash bits of 64: at a similarity of 0.8 more come up three times in 10^8.
+BITS = 22
+#: Shingles are called common if they are in ``OFTEN`` documents of a stretch of ``STRETCH`` shingles; the ``COMMON`` most frequent are known. All three
+#: bear on the time only.
+STRETCH, OFTEN, COMMON = 2_000_000, 4, 100_000
 
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype("f4")
-_OFFSETS = (np.arange(8 * LANES) * 256).astype("i4")
-_SALTS = ((np.arange(1, LANES + 1, dtype="u8")) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+_SLACK = 1e-9
+_XOR = (np.arange(1, 65, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_ODD = (np.arange(1, 65, dtype="u8") * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(0x94D049BB133111EB) | np.uint64(1))[:, None]
 
 
-def wide_simhash(hashes: np.ndarray) -> np.ndarray:
-    """512 bits: each is one if it is set in over half of the hashes' mixes."""
-    if not len(hashes):
-        return np.zeros(64 * LANES, bool)
-    x = hashes[:, None] + _SALTS
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    seen = np.bincount((x.view("u1") + _OFFSETS).ravel(), minlength=2048 * LANES).reshape(8 * LANES, 256)
-    return (2 * (seen.astype("f4") @ _BITS) > len(hashes)).ravel()
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different shingles' hashes in order."""
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def allowed_bits(similarity: float) -> int:
-    """Bits of 512 in which sets of this Jaccard similarity differ."""
-    return int(64 * LANES * acos(min(1.0, 2 * similarity / (1 + similarity))) / pi)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets in order; empty ones are equal."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common) if len(both) else 1.0
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, words binary, shingles binary)``: both fingerprints."""
+def min_bits(hashes: np.ndarray) -> int:
+    """One bit of each of 64 min-hashes, as a signed number."""
+    least = np.full(64, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096] ^ _XOR) * _ODD).min(1))
+    return int.from_bytes(np.packbits((least >> np.uint64(31) & np.uint64(1)).astype(bool)).tobytes(), "little", signed=True)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order, and their levels (logarithms of how often they were counted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, size = [], 0
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                open_.append(shingle_set(text))
+                size += len(open_[-1])
+                if size >= STRETCH:
+                    yield counted(open_)
+                    open_, size = [], 0
+        if open_:
+            yield counted(open_)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(shingle[often].view("i8")), pa.array(n[often])], ["shingle", "n"])
+
+    rows = map_batches(_texts(docs).select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    got = rows.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, n = got.column(0).to_numpy().view("u8"), got.column(1).to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], np.log2(np.maximum(n[order], 1)).astype("u1") + np.uint8(1)
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of all shingles: by level, then by hash."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, level[at], 0), kind="stable")]
+    return hashes[: n - max(1, ceil(similarity * n - _SLACK)) + 1]
+
+
+def _signatures(docs: DataFrame, similarity: float) -> DataFrame:
+    """``(doc_id, digest, n, bits, prefix)`` of every row."""
+    known = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
+        common, level = known.value
         for b in slices(batches):
-            words, shingles = [], []
-            for text in b.column(1).to_pylist():
-                own = {*(text or "").encode().lower().split()}
-                words.append(np.packbits(wide_simhash(np.array([*map(h, own)], "u8"))).tobytes())
-                shingles.append(np.packbits(wide_simhash(np.unique(shingle_hashes(text, SHINGLE)))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array(shingles, pa.binary())], ["doc_id", "words", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return map_batches(rows, run, "doc_id long, words binary, shingles binary")
-
-
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)`` of fingerprints given as bits (n, 512)."""
-    rows, keys = [], []
-    w16, w23 = 1 << np.arange(EXACT), 1 << np.arange(CODED)
-    for i in range(PARTS):
-        at = i * (EXACT + CODED)
-        exact = fps[:, at : at + EXACT] @ w16
-        index, counts = golay_indices(fps[:, at + EXACT : at + EXACT + CODED] @ w23)
-        row, col = np.nonzero(counts)
-        rows.append(row)
-        keys.append(i << 28 | exact[row] << 12 | index[row, col])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _pairs(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Pairs (n, 2) of documents to verify, of rows sorted by key and document."""
-    out = [np.zeros((0, 2), "i8")]
-    if len(key):
-        new = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(key)))
-        head = np.repeat(first, size)
-        rank = np.arange(len(key)) - head
-        small = np.repeat(size <= SMALL, size)
-        for gap in range(1, SMALL):
-            at = np.flatnonzero((rank >= gap) & (small | (gap == 1)))
-            out.append(np.stack([doc[at], doc[at - gap]], 1))
-        at = np.flatnonzero(~small & (rank > 1))
-        out.append(np.stack([doc[at], doc[head[at]]], 1))
-    pairs = np.concatenate(out)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0) if len(pairs) else pairs
-
-
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """``(a, b)``: pairs that meet under a key."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            doc = b.column(0).to_numpy()
-            fps = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), "u1").reshape(len(doc), -1), axis=1).astype("i8")
-            row, key = keys_of(fps)
-            order = np.lexsort((doc[row], key))
-            key, who = key[order], doc[row][order]
-            near = _pairs(key, who)
-            yield batch(np.full(len(near), -1), near)
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            cols = [
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([*map(len, sets)], pa.int32()),
+                pa.array([*map(min_bits, sets)], pa.int64()),
+                pa.array([prefix_of(s, common, level, similarity).tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "digest", "n", "bits", "prefix"])
+
+    return map_batches(_texts(docs), run, "doc_id long, digest binary, n int, bits long, prefix binary")
+
+
+_ROW = ("key", "doc", "n", "pos", "bits")
+
+
+def _keys(signatures: DataFrame) -> DataFrame:
+    """A row for each shingle of each prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            prefix = b.column(3).to_pylist()
+            size = np.array([len(p) // 8 for p in prefix], "i8")
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            doc, n, bits = (np.repeat(b.column(k).to_numpy(), size) for k in range(3))
+            cols = [np.frombuffer(b"".join(prefix), "i8"), doc, n.astype("i4"), pos.astype("i4"), bits]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], [*_ROW])
+
+    return map_batches(signatures.select("doc_id", "n", "bits", "prefix"), run, "key long, doc long, n int, pos int, bits long")
+
+
+def _may_link(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether rows ``(n, pos, bits)`` of one key can belong to a pair of that similarity whose first common shingle it is."""
+    left = np.minimum(x[0] - x[1], y[0] - y[1])
+    ok = left >= similarity / (1 + similarity) * (x[0] + y[0]) - _SLACK
+    return ok & (np.bitwise_count((x[2] ^ y[2]).view("u8")) <= _most_bits(similarity))
+
+
+def _most_bits(similarity: float) -> int:
+    """``BITS`` at 0.8; at others as many standard deviations more than expected."""
+    p = (1 - similarity) / 2
+    return BITS if similarity == SIMILARITY else min(64, ceil(64 * p + 6.5 * (64 * p * (1 - p)) ** 0.5) + 1)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole keys, from rows sorted by key (the first column)."""
+    open_: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [c.to_numpy() for c in b.columns]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if open_ and (cut or now[0][0] != open_[-1][0][-1]):
+            whole = int(np.searchsorted(now[0], open_[-1][0][-1], "right")) if not cut else cut
+            open_.append([c[:whole] for c in now])
+            yield [np.concatenate(c) for c in zip(*open_, strict=True)]
+            open_, now = [], [c[whole:] for c in now]
+        elif not open_ and cut:
+            yield [c[:cut] for c in now]
+            now = [c[cut:] for c in now]
+        open_.append([c.copy() for c in now])
+    if open_:
+        yield [np.concatenate(c) for c in zip(*open_, strict=True)]
+
+
+def _meet(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(doc, other)`` to verify, and the rows of crowded keys, whose ``other`` is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _by_key(batches):
+            fresh = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))  # repeated rows of an id
+            key, doc, *rest = (c[fresh] for c in cols)
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-            keep = rank < SMALL
-            yield batch(key[keep], np.stack([who[keep], who[keep]], 1))
-
-    def batch(key: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "a", "b"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if rest is not None:
-                key, doc = np.append(rest[0], key), np.append(rest[1], doc)
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            if len(key) - cut > 100_000:  # a crowded key goes on: its pairs so far, its first and its last document stay
-                p = _pairs(key, doc)
-                yield edges(p)
-                rest = (key[[cut, -1]], doc[[cut, -1]])
-                continue
-            rest = (key[cut:].copy(), doc[cut:].copy())
-            yield edges(_pairs(key[:cut], doc[:cut]))
-        if rest is not None:
-            yield edges(_pairs(*rest))
-
-    def edges(p: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-    spread_ = map_batches(sketches.select("doc_id", "words"), spread, "key long, a long, b long")
-    # Read twice: once for the pairs within batches (key -1), once for what goes by key.
-    local = spread_.where("key < 0").select("a", "b")
-    dealt = spread_.where("key >= 0").select("key", "a").repartition("key").sortWithinPartitions("key", "a")
-    return local.union(map_batches(dealt, meet, "a long, b long")).distinct()
+            size = np.diff(np.append(first, len(key)))
+            head = np.repeat(first, size)
+            rank, crowd = np.arange(len(key)) - head, np.repeat(size > SMALL, size)
+            found = [np.zeros((0, 2), "i8")]
+
+            def take(at: np.ndarray, other: np.ndarray, found=found, doc=doc, rest=rest) -> None:
+                ok = _may_link([c[at] for c in rest], [c[other] for c in rest], similarity)
+                found.append(np.stack([doc[at[ok]], doc[other[ok]]], 1))
+
+            for gap in range(1, SMALL):
+                at = np.flatnonzero((rank >= gap) & (~crowd | (gap == 1)))
+                take(at, at - gap)
+            at = np.flatnonzero(crowd & (rank > 1))
+            take(at, head[at])
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = pa.nulls(len(pairs), pa.int64())
+            small = none.cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), small, small, none, pa.array(pairs[:, 1])], [*_ROW, "other"])
+            if crowd.any():
+                held = [pa.array(c[crowd]) for c in (key, doc, *rest)]
+                yield pa.RecordBatch.from_arrays([*held, pa.nulls(len(held[0]), pa.int64())], [*_ROW, "other"])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "doc")
+    return map_batches(dealt, run, "key long, doc long, n int, pos int, bits long, other long")
+
+
+def _between_groups(crowds: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of documents of different groups under a crowded key, all with all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *cols in _by_key(batches):
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                doc, n, pos, bits, group = (c[s:e] for c in cols)
+                if group.min() == group.max():
+                    continue
+                step = max(1, 2_000_000 // len(doc))
+                for at in range(0, len(doc), step):
+                    own, all_ = slice(at, at + step), slice(at, None)
+                    ok = group[own, None] != group[None, all_]
+                    ok &= _may_link([c[own, None] for c in (n, pos, bits)], [c[None, all_] for c in (n, pos, bits)], similarity)
+                    x, y = np.nonzero(ok)
+                    x, y = doc[own][x], doc[all_][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    grouped = crowds.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select(*_ROW, F.coalesce("component", "doc").alias("group"))
+    return map_batches(grouped.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have the similarity."""
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(chosen, "doc_id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            data = [shingle_set(t).tobytes() for t in b.column(1).to_pylist()]
+            own = [xxhash.xxh3_128_digest(x) == d for x, d in zip(data, b.column(2).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "hashes"])
+            yield out.filter(pa.array(own, pa.bool_()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            x, y = ([np.frombuffer(v.as_buffer(), "u8") for v in b.column(k)] for k in (2, 3))
+            near = [jaccard(p, q) >= similarity - _SLACK for p, q in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    table = written(map_batches(_texts(docs).join(wanted, "doc_id"), sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "shingles")
+    both = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    return checkpointed(map_batches(both, compare, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, component_id)`` of the documents that are linked to another; ``component_id`` is their group's smallest id."""
-    sketches = checkpointed(_sketches(docs).dropDuplicates(["doc_id"]))
-    most, side = allowed_bits(similarity), sketches.select("doc_id", "shingles")
-    pairs = _candidates(sketches).join(side.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    pairs = pairs.join(side.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "u8").reshape(b.num_rows, LANES) for k in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(1, dtype="i8") <= most if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
-
-    links = map_batches(pairs, verify, "a long, b long")
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    signatures = written(_signatures(docs, similarity), "signatures")
+    chosen = checkpointed(signatures.groupBy("doc_id").agg(F.min("digest").alias("digest")))
+    firsts = checkpointed(chosen.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    copies = chosen.withColumnRenamed("doc_id", "a").join(firsts.withColumnRenamed("doc_id", "b"), "digest").where("a <> b").select("a", "b")
+    met = written(_meet(_keys(signatures.join(firsts, ["doc_id", "digest"])), similarity), "met")
+    links = _verified(met.where("other is not null").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct(), docs, firsts, similarity)
+    crowds = met.where("other is null").select(*_ROW)
+    if not crowds.isEmpty():
+        links = links.union(_verified(_between_groups(crowds, connected_components(links), similarity), docs, firsts, similarity))
+    return connected_components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
