@@ -37,6 +37,18 @@ def words(n):
     return ["".join(random.choices("abcdefgh", k=7)) for _ in range(n)]
 
 
+def test_appended_and_truncated_copies(spark):
+    random.seed(1)
+    rows = []
+    for k in range(100):
+        base = words(150 + k)
+        extra = words(int((len(base) - 4) * random.uniform(0.0, 0.24)))
+        copy = base + extra if k % 3 == 0 else extra + base if k % 3 == 1 else base[: len(base) - len(extra) * 4 // 5]
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(copy))]
+    want = brute_groups(rows)
+    assert groups(spark, rows) == want and sum(a != b for a, b in want.items()) == 100
+
+
 def test_crowded_keys(spark):
     """Different texts that share common lines stand between the copies in order of ids."""
     random.seed(3)
