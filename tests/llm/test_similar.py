@@ -49,6 +49,20 @@ def test_appended_and_truncated_copies(spark):
     assert groups(spark, rows) == want and sum(a != b for a, b in want.items()) == 100
 
 
+def test_similarities_round_the_threshold(spark):
+    random.seed(2)
+    rows = []
+    for k in range(150):
+        base = words(random.choice((4, 8, 9, 60, 200)))
+        n = len(base)
+        copy = base + words(max(1, round(n * random.uniform(0.05, 0.42)))) if k % 2 else list(base)
+        for at in random.sample(range(n), max(1, n // 60)) if k % 2 == 0 else ():
+            copy[at] = words(1)[0]
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(copy))]
+    want = brute_groups(rows)
+    assert groups(spark, rows) == want and 40 < sum(a != b for a, b in want.items()) < 120
+
+
 def test_crowded_keys(spark):
     """Different texts that share common lines stand between the copies in order of ids."""
     random.seed(3)
