@@ -10,6 +10,9 @@ numbers (North American plan, or a plus and 8 to 15 digits), social security num
 before the year, valid in the calendar), and, as numbers over their alphabets, the local parts of mail addresses and
 credentials (access keys, values after ``password=`` or ``token =`` and the like).
 
+A card or bank account number may be read together with the groups behind it (a code, a year, a currency). If a find is not valid, its
+shorter readings are tried, the longest first, which end where a group ends; if none is valid, search goes on behind the find's first character.
+
 Defined results: null texts stay null, empty ones empty; whole texts are read; texts without finds are returned as they are; a value
 whose pseudonym would be itself is permuted once more under another tweak; all other columns pass through, whatever their names.
 """
@@ -49,6 +52,29 @@ _FINDS = re.compile(
     re.X,
 )
 
+#: Lengths of bank account numbers by country.
+_IBAN_LENGTHS = {
+    country: int(part[:2])
+    for part in """15 NO|16 BE|18 DK FI FO GL NL SD FK|19 MK SI|20 AT BA EE KZ LT LU XK MN|21 CH HR LI LV|22 BG BH CR DE GB GE IE ME RS VA
+        |23 AE GI IL IQ OM TL SO|24 AD CZ ES MD PK RO SA SE SK TN VG|25 PT LY ST|26 IS TR|27 FR GR IT MC MR SM BI DJ|28 AL AZ BY CY DO GT HU LB NI PL SV
+        |29 BR EG PS QA UA|30 JO KW MU YE|31 MT SC|32 LC|33 RU""".split("|")
+    for country in part.split()[1:]
+}
+
+
+def _readings(kind: str, text: str) -> Iterator[str]:
+    """A find, then what it starts with and may be instead."""
+    yield text
+    if kind == "card":
+        for end in reversed([i for i, c in enumerate(text) if c in " -"]):
+            if sum(map(str.isdigit, text[:end])) >= 13:
+                yield text[:end]
+    elif kind == "iban":
+        for end in reversed([i for i, c in enumerate(text) if c == " "]):
+            n = end - text.count(" ", 0, end)
+            if n == _IBAN_LENGTHS.get(text[:2], n) and n >= 15:
+                yield text[:end]
+
 
 class Feistel:
     """A keyed permutation of the integers from 0 to n - 1 for each tweak and n."""
@@ -190,23 +216,21 @@ class Pseudonyms:
         """The text with its pseudonyms, and how many it got."""
         if not text or not _HINT.search(text):
             return text, 0
-        count = 0
-
-        def one(m: re.Match) -> str:
-            nonlocal count
-            whole = m[0]
-            if m["value"] is not None:
-                new = self.known("value", m["value"])
-                new = None if new is None else m["secret"] + new
-            else:
-                kind = next(k for k in ("mail", "access", "iban", "ip", "day", "ssn", "card", "phone") if m[k] is not None)
-                new = self.known(kind, whole)
+        count, done, at, out = 0, 0, 0, []
+        while m := _FINDS.search(text, at):
+            kind = next(k for k in ("value", "mail", "access", "iban", "ip", "day", "ssn", "card", "phone") if m[k] is not None)
+            start, new = m.start(kind), None
+            for reading in _readings(kind, m[kind]):
+                new = self.known(kind, reading)
+                if new is not None:
+                    break
             if new is None:
-                return whole
+                at = m.start() + 1
+                continue
+            out += text[done:start], new
+            done = at = start + len(reading)
             count += 1
-            return new
-
-        return _FINDS.sub(one, text), count
+        return "".join([*out, text[done:]]) if count else text, count
 
 
 def _in_places(text: str, new: str, place: Callable[[str], bool] = str.isdigit) -> str:

@@ -130,6 +130,23 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("card", ("4111 1111 1111 1111", "4041894974608795"))
+@pytest.mark.parametrize("before,behind", (("", " 12/27"), ("", " 123"), ("", " 12 27"), ("77 ", ""), ("77 ", " 123 of it"), ("", "")))
+def test_cards_between_other_digits(card, before, behind):
+    new, n = pii.Pseudonyms().replace(before + card + behind)
+    own = new[len(before) : len(new) - len(behind)]
+    assert n == 1 and new == before + own + behind and own != card and pii.luhn_digit(own.replace(" ", "")[:-1]) == own[-1]
+
+
+@pytest.mark.parametrize("plain", ("AT611904300234573201", "BE68539007547034", "ES9121000418450200051332", "SE4550000000058398257466", "PL61109010140000071219812874", "DE89370400440532013000"))
+@pytest.mark.parametrize("behind", (" EUR", " 2024", " GIBAATWW", " EUR 2024", ""))
+def test_bank_accounts_before_other_groups(plain, behind):
+    for iban in (plain, " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))):
+        new, n = pii.Pseudonyms().replace(iban + behind)
+        own = new[: len(iban)].replace(" ", "")
+        assert n == 1 and new[len(iban) :] == behind and own != plain and pii.iban_check(own[:2], own[4:]) == own[2:4]
+
+
 def corpus(spark, n=600):
     random.seed(5)
     words = ["".join(random.choices("aeioulnrst", k=random.randint(3, 9))) for _ in range(400)]
