@@ -12,7 +12,8 @@ runs dry ends a phase and the others share on by their targets.
 The last two windows take what is left in order of the queues; the last, incomplete one is cut into sequences whose lengths
 are powers of two, which need no padding.
 
-At most ``QUEUES`` queues: where there are more sources, hashed groups of sources share a queue.
+Each source is a queue, however many there are. Of more than ``QUEUES``, windows take the differences of the rounded cumulative sums of the
+shares; sources with less than a token a window share a place in it, which they fill in the same way over stretches of 64 windows, or 64 times that.
 
 Defined results: a null text is an empty one, whose ids are the end id alone; a null source is a queue of its own; an empty
 table packs to no pieces; repeated rows are packed once each.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from askwell.llm.common import map_batches, slices, table, written
 
-#: Most queues; the largest queue then always has room for what the others' fractions leave.
+#: With as many queues at most, the largest always has room for what the others' fractions leave.
 QUEUES = 64
 WINDOW = 4096
 END_ID = 2
@@ -160,12 +161,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, queues: int = QUEUES) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, queue, part, cum, n, ids)``: ids with the end id; ``cum`` tokens of the queue lie before it in its part."""
-    sources = [r[0] for r in docs.select("source").distinct().limit(queues + 1).collect()]
     key = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if len(sources) > queues:
-        key = F.pmod(F.xxhash64(key), F.lit(queues)).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = word_ids(path), np.array([end_id], "<u4").tobytes()
@@ -240,12 +238,58 @@ class Mixture:
             x = most
 
 
+class Nested:
+    """As ``Mixture``, for any number of queues: window w takes of queue s what lies between the rounded cumulative sums of the shares
+    before and after it, within one token of its share. ``order`` and ``totals`` go by the queues' names.
+    """
+
+    def __init__(self, totals: dict[str, int], window: int = WINDOW):
+        self.window, self.total, self.totals = window, sum(totals.values()), totals
+        self.order = {q: q for q in totals}
+        self.last = max(0, self.total // window - 1)
+        small = {q: n for q, n in totals.items() if n * window < self.total}
+        self.inner = Nested(small, 64 * window) if small else None
+        # What shares a place comes first, where its sums never fall; all others have a token a window at least.
+        self.place, self.cum = dict.fromkeys(small, 0), [0, *([self.inner.total] if small else [])]
+        for n, q in sorted((n, q) for q, n in totals.items() if q not in small):
+            self.place[q] = len(self.cum) - 1
+            self.cum.append(self.cum[-1] + n)
+
+    def _before(self, k: int, w: int) -> int:
+        """Tokens of the first k places before window w."""
+        return self.cum[k] if w > self.last else w * self.window * self.cum[k] // self.total
+
+    def _taken(self, k: int, w: int) -> int:
+        return self._before(k + 1, w) - self._before(k, w)
+
+    def _window_of(self, k: int, x: int) -> int:
+        size = self.cum[k + 1] - self.cum[k]
+        if k == 0:
+            return min(self.last, ((x + 1) * self.total - 1) // (self.window * size))
+        w = min(self.last, x * self.total // (self.window * size))
+        while w > 0 and self._taken(k, w) > x:
+            w -= 1
+        while w < self.last and self._taken(k, w + 1) <= x:
+            w += 1
+        return w
+
+    def pieces(self, queue: str, x: int, n: int) -> Iterator[tuple[int, int]]:
+        k = self.place[queue]
+        for p, m in self.inner.pieces(queue, x, n) if k == 0 and self.inner else ((x, n),):
+            end = p + m
+            while p < end:
+                w = self._window_of(k, p)
+                most = min(end, self._taken(k, w + 1))
+                yield w * self.window + self._before(k, w + 1) - self._before(k, w) + p - self._taken(k, w), most - p
+                p = most
+
+
 class Layout:
     """Phases one after another, and the sequences that their positions fall into."""
 
     def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW):
         self.window = window
-        self.phases: list[tuple[int, dict[str, int], Mixture]] = []
+        self.phases: list[tuple[int, dict[str, int], Mixture | Nested]] = []
         left, done, at = {q: n for q, n in totals.items() if n}, dict.fromkeys(totals, 0), 0
         while left:
             now = dict(left)
@@ -259,7 +303,7 @@ class Layout:
                         largest = max(now, key=lambda q: (now[q], q))
                         now[largest] -= min(over, now[largest])
                 now = {q: n for q, n in now.items() if n}
-            mix = Mixture(now, window)
+            mix = (Mixture if len(now) <= QUEUES else Nested)(now, window)
             self.phases.append((at, {q: done[q] for q in now}, mix))
             at += mix.total
             for q, n in now.items():
@@ -313,7 +357,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, targets: dict[str,
     carried = written(
         parts.selectExpr("queue", "part", "sum(tokens) over (partition by queue order by part) - tokens as base", "tokens"), "carried"
     )
-    totals = {r["queue"]: r["t"] for r in carried.groupBy("queue").agg(F.sum("tokens").alias("t")).collect()}  # at most QUEUES rows
+    sums = carried.groupBy("queue").agg(F.sum("tokens").alias("t")).toArrow()  # a row a source
+    totals = dict(zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True))
     layout = spark.sparkContext.broadcast((totals, targets, window))
     placed = rows.join(carried.select("queue", "part", "base"), ["queue", "part"])
 

@@ -227,3 +227,50 @@ def test_packing(spark):
         assert at == 4096 or at & (at - 1) == 0
     assert ids[2] == ids[3] == 1 and ids[1] == 2701 and ids[4] == 2 * 5001
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("named", (False, True))
+@pytest.mark.parametrize("sizes", ([900] * 100, [20_000] + [40] * 300 + [1] * 50, [3] * 9000, [70_000, 1, 5] + [*range(1, 200)]))
+def test_layout_of_many_sources(sizes, named):
+    totals = {f"s{i}": n for i, n in enumerate(sizes)}
+    if named and len(sizes) > 400:
+        pytest.skip("one phase a source")
+    targets = {q: 1 / (1 + i % 3) for i, q in enumerate(totals)} if named else None
+    plan, windows = packing.Layout(totals, targets), defaultdict(list)
+    for q, n in totals.items():
+        x = 0
+        while x < n:
+            m = min(n - x, 611)
+            got = [*plan.pieces(q, x, m)]
+            assert sum(k for *_, k in got) == m
+            for w, o, k in got:
+                windows[w].append((o, k, q))
+            x += m
+    assert sorted(windows) == list(range(len(windows)))
+    for pieces in windows.values():
+        at = 0
+        for o, k, _ in sorted(pieces):
+            assert o == at
+            at += k
+        assert at == packing.WINDOW or at & (at - 1) == 0
+    total, have = sum(sizes), Counter()
+    for w in range(total // packing.WINDOW - 1 if targets is None else 0):
+        for _, k, q in windows[w]:
+            have[q] += k
+        for q, n in totals.items():
+            if n * packing.WINDOW >= total:
+                assert abs(have[q] - (w + 1) * packing.WINDOW * n / total) <= 1
+    if targets and sizes == [900] * 100:
+        for _, k, q in windows[0]:
+            have[q] += k
+        assert have["s0"] > 1.8 * have["s1"] > 0 and have["s1"] > 1.3 * have["s2"] > 0
+
+
+def test_packing_keeps_each_source(spark):
+    docs = spark.createDataFrame([(i, "z " * 400, f"s{i % 80}") for i in range(320)], "doc_id long, text string, source string")
+    rows = packing.pack_documents(docs, targets={f"s{i}": 3.0 if i < 20 else 1.0 for i in range(80)}).collect()
+    first = Counter()
+    for r in rows:
+        if r["sequence_id"] < 5:
+            first[r["doc_id"] % 80 < 20] += r["length"]
+    assert sum(r["length"] for r in rows) == 320 * 401 and abs(first[True] / sum(first.values()) - 0.5) < 0.02
