@@ -5,8 +5,8 @@ Each has a logistic model. In every round either model labels the unlabelled tex
 ``PER_ROUND`` of each class and only beyond ``SURE``, and they join the *other* view's training rows. Then each view's logits are
 calibrated on rows held out from its model (out of fold), and a logistic model of the calibrated logits combines the views.
 
-The models are fitted on at most ``LABELLED`` labelled rows of each class and ``UNLABELLED`` unlabelled ones (smallest hashes of the
-id); all documents are scored, whole.
+The models are fitted on at most ``LABELLED`` labelled rows of each class (smallest hashes of the id). Mean and scale of the text
+features are those of all documents, and in every round all unlabelled documents are judged; all documents are scored, whole.
 
 Defined results: null and empty texts have zero features; unknown sources share hashed slots; without labels, or with labels of one
 class, the chance is that of the smoothed rate; repeated rows are scored alike; extra columns are left alone.
@@ -15,7 +15,7 @@ class, the chance is that of the smoothed rate; repeated rows are scored alike;
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import map_batches, slices, table
+from askwell.llm.common import map_batches, slices, table, written
 from askwell.llm.linear import calibration, fit_logistic, out_of_fold, sigmoid
 
-LABELLED, UNLABELLED = 3000, 4000
+LABELLED = 3000
 CO_ROUNDS, PER_ROUND, SURE = 4, 200, 0.97
 FOLDS = 5
 KEEP = 0.5
@@ -87,27 +87,27 @@ class Views:
         return sigmoid(np.concatenate([z, (z @ self.combined[:-1] + self.combined[-1])[:, None]], axis=1))
 
 
-def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, ux: np.ndarray, um: np.ndarray, rounds: int = CO_ROUNDS) -> Views:
-    """``x``, ``m``: labelled rows' views; ``ux``, ``um``: unlabelled ones'."""
-    every = np.concatenate([x, ux])
-    mean, scale = (every.mean(0), every.std(0) + 1e-6) if len(every) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+#: An unlabelled document that a view is given: its id, label and both views' features.
+Given = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def co_train(
+    x: np.ndarray, m: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, surest: Callable[[int, np.ndarray, list[int]], list[Given]], rounds: int = CO_ROUNDS
+) -> Views:
+    """``x``, ``m``: labelled rows' views; ``surest(k, weights, but)``: those of all unlabelled documents that view k is surest of, without some ids."""
     base = Views(mean, scale, np.zeros(0), np.zeros(0), ((1, 0), (1, 0)), np.zeros(0), (0, 0))
-    views, pools = [base.spread(x), m], [base.spread(ux), um]
-    taken: list[dict[int, int]] = [{}, {}]  # unlabelled rows that each view was given, with their labels
+    views = [base.spread(x), m]
+    taken: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]  # unlabelled rows that each view was given: label and the view's features
 
     def model(k: int) -> np.ndarray:
-        at = [*taken[k]]
-        rows = np.concatenate([views[k], pools[k][at]])
-        return fit_logistic(rows, np.concatenate([y, [*taken[k].values()]]), shrink=1e-3, weight=np.append(np.ones(len(y)), np.full(len(at), 0.5)))
+        given = [*taken[k].values()]
+        rows = np.concatenate([views[k], *(f[None] for _, f in given)])
+        return fit_logistic(rows, np.concatenate([y, [label for label, _ in given]]), shrink=1e-3, weight=np.append(np.ones(len(y)), np.full(len(given), 0.5)))
 
-    for _ in range(rounds if len(ux) and len(y) and y.min() < y.max() else 0):
+    for _ in range(rounds if len(y) and y.min() < y.max() else 0):
         for k in (0, 1):
-            w = model(k)
-            p = sigmoid(pools[k] @ w[:-1] + w[-1])
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                new = [i for i in order.tolist() if sure[i] > SURE and i not in taken[1 - k]][:PER_ROUND]
-                taken[1 - k].update(dict.fromkeys(new, label))
+            for i, label, fx, fm in surest(k, model(k), [*taken[1 - k]]):
+                taken[1 - k][i] = label, fm if k == 0 else base.spread(fx[None])[0]
     held = [out_of_fold(v, y.astype(float), FOLDS, shrink=1e-3) if len(y) else np.zeros(0) for v in views]
     ways = [calibration(z, y) if len(y) else (1.0, 0.0) for z in held]
     z = np.stack([a * h + b for h, (a, b) in zip(held, ways, strict=True)], 1) if len(y) else np.zeros((0, 2))
@@ -124,28 +124,98 @@ def _views(batch: pa.RecordBatch, at: list[int]) -> tuple[np.ndarray, np.ndarray
     return x, np.array([metadata_features(*r) for r in zip(source, lang, n, strict=True)]).reshape(len(text), SLOTS + 40)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Views:
-    """Both views from bounded samples; their features are made on the executors."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").dropna().dropDuplicates(["doc_id"])
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna()
-    parts = [rows.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for y in (0, 1)]
-    # As many ids more as can have labels, so that enough remain.
-    others = ids.join(rows, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    some = parts[0].union(parts[1]).union(others.select("doc_id", F.lit(-1).alias("y")))
+_WIDTHS = (len(_PUNCTUATION) + 15, SLOTS + 40)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "f8").reshape(len(column), width)
+
+
+def _features(docs: DataFrame) -> DataFrame:
+    """``(doc_id, x binary, m binary)`` of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x, m = _views(b, [2, 3, 4, 5])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], ["doc_id", "y", "x", "m"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    chosen = chosen.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text", *_META)  # at most 2 * labelled + unlabelled rows
-    got = sorted(map_batches(chosen, run, "doc_id long, y int, x array<double>, m array<double>").collect())
-    width = len(_PUNCTUATION) + 15
-    x = np.array([r["x"] for r in got]).reshape(len(got), width)
-    m = np.array([r["m"] for r in got]).reshape(len(got), SLOTS + 40)
-    y = np.array([r["y"] for r in got], "i8")
-    return co_train(x[y >= 0], m[y >= 0], y[y >= 0], x[y < 0], m[y < 0])
+            x, m = _views(b, [1, 2, 3, 4])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in v.astype("f8")], pa.binary()) for v in (x, m))], ["doc_id", "x", "m"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).cast(t) for c, t in zip(_META, ("string", "string", "long"), strict=True)))
+    return map_batches(rows, run, "doc_id long, x binary, m binary")
+
+
+def _mean_and_scale(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of the text features of all documents, from one row of sums a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, np.zeros(_WIDTHS[0]), np.zeros(_WIDTHS[0])
+        for b in batches:
+            x = _matrix(b.column(0), _WIDTHS[0])
+            n, one, two = n + len(x), one + x.sum(0), two + (x * x).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([v.tobytes()], pa.binary()) for v in (one, two))], ["n", "one", "two"])
+
+    got = sorted((tuple(r) for r in map_batches(rows.select("x"), run, "n long, one binary, two binary").collect()))
+    n = sum(r[0] for r in got)
+    if not n:
+        return np.zeros(_WIDTHS[0]), np.ones(_WIDTHS[0])
+    mean, square = (np.sum([np.frombuffer(r[k]) for r in got], axis=0) / n for k in (1, 2))
+    return mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-6
+
+
+def _surest(pool: DataFrame, mean: np.ndarray, scale: np.ndarray) -> Callable[[int, np.ndarray, list[int]], list[Given]]:
+    """For ``co_train``: each task names its surest of either class, and the surest of those are taken, at most ``PER_ROUND`` of each class."""
+    base = Views(mean, scale, np.zeros(0), np.zeros(0), ((1, 0), (1, 0)), np.zeros(0), (0, 0))
+
+    def of(k: int, w: np.ndarray, but: list[int]) -> list[Given]:
+        gone = np.array(but, "i8")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, dict[int, tuple[float, bytes, bytes]]] = {0: {}, 1: {}}
+            for b in batches:
+                ids, f = b.column(0).to_numpy(), _matrix(b.column(1 + k), _WIDTHS[k])
+                p = sigmoid((f if k else base.spread(f)) @ w[:-1] + w[-1])
+                for label, sure in ((1, p), (0, 1 - p)):
+                    at, held = np.flatnonzero((sure > SURE) & ~np.isin(ids, gone)), best[label]
+                    at = at[np.lexsort((ids[at], -sure[at]))]
+                    taken = set()
+                    for i in at.tolist():
+                        d = int(ids[i])
+                        if d not in taken:
+                            taken.add(d)
+                            new = (float(sure[i]), b.column(1)[i].as_py(), b.column(2)[i].as_py())
+                            held[d] = max(held.get(d, new), new)
+                            if len(taken) == PER_ROUND:
+                                break
+                    best[label] = dict(sorted(held.items(), key=lambda r: (-r[1][0], r[0]))[:PER_ROUND])
+            rows = [(label, d, *v) for label, held in best.items() for d, v in held.items()]
+            cols = [[r[j] for r in rows] for j in range(5)]
+            types = (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["label", "doc_id", "sure", "x", "m"])
+
+        found = map_batches(pool.select("doc_id", "x", "m"), run, "label int, doc_id long, sure double, x binary, m binary")
+        # An id with rows in several tasks counts by its surest.
+        found = found.groupBy("label", "doc_id").agg(F.max(F.struct("sure", "x", "m")).alias("v")).select("label", "doc_id", "v.*")
+        top = None
+        for label in (1, 0):
+            some = found.where(f"label = {label}").orderBy(F.desc("sure"), "doc_id").limit(PER_ROUND)
+            top = some if top is None else top.union(some)
+        got = sorted(top.collect(), key=lambda r: (-r["label"], -r["sure"], r["doc_id"]))
+        return [(r["doc_id"], r["label"], np.frombuffer(r["x"]), np.frombuffer(r["m"])) for r in got]
+
+    return of
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Views:
+    """Both views, from a bounded sample of the labelled rows and all unlabelled documents; the features of all are written once."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").dropna().dropDuplicates(["doc_id"])
+    every = written(_features(docs), "quality")
+    parts = [rows.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for y in (0, 1)]
+    chosen = every.join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most 2 * labelled ids
+    got = sorted(tuple(r) for r in chosen.select("doc_id", "y", "x", "m").collect())
+    x, m = (np.frombuffer(b"".join(r[k] for r in got), "f8").reshape(len(got), w) for k, w in zip((2, 3), _WIDTHS, strict=True))
+    y = np.array([r[1] for r in got], "i8")
+    mean, scale = _mean_and_scale(every)
+    pool = written(every.where("doc_id is not null").join(rows, "doc_id", "left_anti"), "quality-pool")
+    return co_train(x, m, y, mean, scale, _surest(pool, mean, scale))
 
 
 def score_documents(docs: DataFrame, views: Views) -> DataFrame:

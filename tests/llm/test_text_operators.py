@@ -184,3 +184,18 @@ def test_quality_on_unlabelled(spark):
     held = [(r["quality_score"] > 0.5, r["doc_id"] % 3 != 0) for r in got if r["doc_id"] < 600 and r["doc_id"] % 2 == 0]
     assert sum(a == b for a, b in held) / len(held) > 0.95 and len(got) == 602
     assert quality.score_documents(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_quality_gives_every_unlabelled_document_a_chance(spark):
+    """More than 4,000 unlabelled documents, of which a rare source without labels is the surest."""
+    docs, labels = corpus(spark, 400)
+    texts_ = [r["text"] for r in docs.where("doc_id < 400").orderBy("doc_id").collect()]
+    good, bad = ([t for i, t in enumerate(texts_) if (i % 3 != 0) == k] for k in (True, False))
+    more = [(1000 + i, good[i % len(good)], "en", "src1", 0) for i in range(6000)]
+    rare = [(9000 + i, bad[i], "en", "rare", 0) for i in range(5)]
+    docs = docs.union(spark.createDataFrame(more + rare, docs.schema))
+    views = quality.fit(docs, labels)
+    slot = zlib.crc32(b"rare") % quality.SLOTS
+    assert slot not in {zlib.crc32(f"src{i}".encode()) % quality.SLOTS for i in range(7)} and views.meta[slot] < 0
+    x = np.array([quality.text_features(r["text"]) for r in docs.collect()])
+    assert np.allclose(views.mean, x.mean(0)) and np.allclose(views.scale, x.std(0) + 1e-6, atol=1e-6)
