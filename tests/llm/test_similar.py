@@ -1,9 +1,14 @@
 """Near-duplicate groups against the Jaccard similarity of all pairs."""
 
+import os
 import random
 
+import pytest
+
 from askwell.llm import similar
 
+DATA = "/root/testdata/sf0.001"
+
 
 def shingles(text):
     words = (text or "").encode().lower().split()
@@ -78,3 +83,13 @@ def test_crowded_keys(spark):
     rows += [(3000 + k, " ".join(common[20:] + rows[190 + k][1].split()[51:])) for k in range(60)]
     random.shuffle(rows)
     assert groups(spark, rows) == brute_groups(rows)
+
+
+def test_stage_on_the_smallest_table(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("needs the test tables")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = brute_groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, DATA).select("doc_id").collect()}
+    assert kept == {d for d, g in want.items() if d == g}
