@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where a session on one machine (tests) names no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
@@ -18,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
+
+    A session with executors of their own must name one, since a local folder would be another on each machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return named or LOCAL_SHARED
 
 
@@ -31,15 +36,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; for wide tables.
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A folder under ``<shared>/tables`` that no other run uses."""
+    return f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
 
-    The files are small enough to survive as intermediate state of one run; they lie under ``<shared>/tables``.
-    """
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; for wide tables. ``removed`` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t._written)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

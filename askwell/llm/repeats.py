@@ -7,14 +7,17 @@ rounds and can be spread out, a collection consists of short pieces that meet be
 * Each window of ``WINDOW`` bytes has an anchor, its ``K``-byte string of the smallest hash (the leftmost of several). Windows
   in a row with the same anchor are a piece of at most ``2 * WINDOW - K`` bytes. Equal windows have equal anchors, so a repeat
   can only be found among pieces of one anchor hash, and pieces are dealt out by it.
-* Pieces' hashes go first: 13 bytes each, packed into arrays, once for equal pieces of one part. Anchors seen in one document only are done with.
-  Equal pieces are one string, kept with its smallest id: windows of the other, later ones are repeats. Where an anchor has different
-  pieces, their bytes are fetched, cut to what can be equal to another document's (by hashes of some 42 bytes round the anchor), and
-  the collection is built.
-* An anchor with more than ``WIDE`` different pieces is dealt out again by single windows, so no task gets all of them.
+* Pieces' hashes go first, packed into arrays, once for equal pieces of one slice. Anchors seen in one document only are done with.
+  Equal pieces (by 88 bits of hashes of anchor and piece) are one string, kept with its smallest id: windows of the other, later ones
+  are repeats. Where an anchor has different pieces, their bytes are fetched, cut to what can be equal to another document's (by hashes
+  of some 48 bytes round the anchor), and the collection is built of the different ones.
+* An anchor with more than ``WIDE`` different pieces is dealt out again by single windows, so no task gets the bytes of all.
 
 Copies of a whole text (their documents share a SHA-256) are taken out before; all but the smallest id lose every byte.
-The texts are kept once, compressed, in a bucketed table that the three passes over them read without another shuffle.
+
+The texts lie once, compressed, in slices of some ``SLICE_BYTES`` in a table bucketed by part, which the three passes over them read
+without a shuffle. There is a part for every ``PART_BYTES`` of text, however large the table, and a pass opens one slice
+at a time and hashes it in blocks; so what a task holds is bounded by ``PART_BYTES`` and by the longest text.
 
 Defined results: a null text is an empty one; texts shorter than a window are kept; rows of one id are never repeats of each other; a
 null id counts as larger than all; an empty table gives no rows; other columns don't matter, whatever their names.
@@ -29,21 +32,30 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askwell.llm.collection import collection_lcp
-from askwell.llm.common import map_batches, slices, table, written
+from askwell.llm.common import map_batches, new_path, remove_path, removed, slices, table, written
 
 WINDOW = 50
 K = 16
-SLICE_BYTES = 1 << 20
+REACH = WINDOW - K
+#: Bytes of text in a slice, in a part (all of it, before copies are taken out), and hashed at once.
+SLICE_BYTES, PART_BYTES, BLOCK = 1 << 20, 1 << 24, 1 << 16
 WIDE = 20_000
 #: Strings of one collection, but for anchors with more.
 COLLECTION = 8_000
+#: Ranges of windows round an anchor that are tested for being shared.
+RANGES = 12
 
 _BASE = 0x9E3779B97F4A7C15
+_LONGEST = BLOCK + 2 * WINDOW + REACH + 2
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full(_LONGEST, _BASE, "u8")), dtype="u8")
+_BACK = np.cumprod(np.append(np.uint64(1), np.full(_LONGEST, pow(_BASE, -1, 1 << 64), "u8")), dtype="u8")
+#: The low bits of a window's key hold the place of its anchor in the block.
+_PLACE = np.uint64((1 << (2 * BLOCK).bit_length()) - 1)
+_PLACES = np.arange(_LONGEST, dtype="u8")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,55 +64,78 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k-byte string (k a power of two)."""
-    h, n = data.astype("u8") + np.uint64(1), 1
-    while n < k:
-        h = h[:-n] * np.uint64(pow(_BASE, n, 1 << 64)) + h[n:]
-        n *= 2
-    return _mix(h)
-
-
-def _prefix(data: np.ndarray) -> np.ndarray:
-    """Sums of the first 0, 1, 2, ... bytes, each times a power of the base, and so of any string by subtraction."""
-    powers = np.cumprod(np.full(len(data), _BASE, "u8"), dtype="u8")
-    return np.concatenate([np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * powers, dtype="u8")])
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... bytes, each times a power of the base; ``(s[b] - s[a]) * _BACK[a]`` is a hash of bytes a to b."""
+    out = np.zeros(len(data) + 1, "u8")
+    part = data.astype("u8")
+    part += np.uint64(1)
+    part *= _POWERS[: len(data)]
+    np.cumsum(part, out=out[1:])
+    return out
 
 
-_INVERSE = pow(_BASE, -1, 1 << 64)
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each short string of ``data``, as ``_sums`` has it; the starts ascend."""
+    out = np.zeros(len(start), "u8")
+    for lo in range(0, len(data), BLOCK):
+        a, b = np.searchsorted(start, (lo, lo + BLOCK))
+        if a < b:
+            s, x, n = _sums(data[lo : lo + BLOCK + 2 * WINDOW]), start[a:b] - lo, size[a:b]
+            out[a:b] = (s[x + n] - s[x]) * _BACK[x]
+    return _mix(out)
 
 
 class Pieces:
-    """The pieces of a slice of documents: where each starts, its number of windows, its document, anchor hash, own hash, and the
+    """The pieces of a slice of documents in order: where each starts, its number of windows, its document, anchor hash, own hash, and the
     anchor's place in it."""
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
-        ends = np.cumsum(lengths)
-        none = np.zeros(0, "i8")
-        self.start, self.windows, self.doc, self.anchor, self.own, self.place = none, none, none, none.astype("u8"), none.astype("u8"), none
-        if len(data) < WINDOW:
-            return
-        h = _hashes(data, K)
-        bits = np.uint64(max(24, len(h).bit_length()))
-        key = (h >> bits << bits) | np.arange(len(h), dtype="u8")  # hash, then the leftmost place
-        low, s, w = key, 1, WINDOW - K + 1
-        while 2 * s <= w:
-            low = np.minimum(low[:-s], low[s:])
-            s *= 2
-        if s < w:
-            low = np.minimum(low[: len(low) - (w - s)], low[w - s :])
-        doc = np.repeat(np.arange(len(lengths)), lengths)[: len(low)]
-        valid = np.arange(len(low)) + WINDOW <= ends[doc]
-        at = np.where(valid, (low & ((np.uint64(1) << bits) - np.uint64(1))).astype("i8"), -1)
-        edge = np.flatnonzero(np.diff(at, prepend=-2))
-        begin = edge[at[edge] >= 0]
-        size = np.diff(np.append(edge, len(at)))[at[edge] >= 0]
-        # Adjacent documents can't share a piece: windows that cross an end are not valid.
-        self.start, self.windows, self.doc, self.anchor, self.place = begin, size, doc[begin], h[at[begin]], at[begin] - begin
-        if len(begin):
-            sums = _prefix(data)
-            back = np.cumprod(np.full(len(data) + 1, _INVERSE, "u8"), dtype="u8")
-            self.own = _mix((sums[begin + size + WINDOW - 1] - sums[begin]) * back[begin] + size.astype("u8"))
+        ends, n = np.cumsum(lengths), len(data)
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for begin in range(0, n, BLOCK):
+            stop = min(n, begin + BLOCK)
+            # One window before, to see whether a piece starts at ``begin``; as many bytes behind as the last piece may reach.
+            lo, hi = max(0, begin - 1), min(n, stop + REACH + WINDOW)
+            if hi - lo < WINDOW:
+                continue
+            sums = _sums(data[lo:hi])
+            h = sums[K:] - sums[:-K]
+            h *= _BACK[: len(h)]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            low = h & ~_PLACE
+            low |= _PLACES[: len(h)]
+            w = 1
+            while 2 * w <= REACH + 1:
+                low = np.minimum(low[:-w], low[w:])
+                w *= 2
+            if w < REACH + 1:
+                low = np.minimum(low[: w - REACH - 1], low[REACH + 1 - w :])
+            at = low & _PLACE
+            a, b = np.searchsorted(ends, (lo, hi), "right")
+            for end in ends[a:b].tolist():  # no window crosses a document's end
+                at[max(0, end - WINDOW + 1 - lo) : end - lo] = _PLACE
+            edge = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+            x, size, p = edge[:-1], np.diff(edge), at[edge[:-1]]
+            own = (p != _PLACE) & (x >= begin - lo) & (x < stop - lo)
+            x, size, p = x[own], size[own], p[own].astype("i8")
+            hashes = _mix((sums[x + size + WINDOW - 1] - sums[x]) * _BACK[x] + size.astype("u8"))
+            for k, v in enumerate((x + lo, size, p - x, _mix(h[p]), hashes)):
+                out[k].append(v)
+        kinds = ("i8", "i8", "i8", "u8", "u8")
+        self.start, self.windows, self.place, self.anchor, self.own = (np.concatenate([np.zeros(0, k), *o]).astype(k, copy=False) for o, k in zip(out, kinds, strict=True))
+        self.doc = np.searchsorted(ends, self.start, "right")
+
+    def first_equal(self) -> np.ndarray:
+        """For each piece the first one of the slice that is equal to it."""
+        n = len(self.own)
+        order = np.argsort(self.own)
+        o = self.own[order]
+        new = np.append(True, o[1:] != o[:-1])[:n]
+        out = np.empty(n, "i8")
+        if n:
+            out[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+        return out
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -149,35 +184,33 @@ NOWHERE = 255  # the place of no anchor: a single window
 _SHA, _SIZE = "__sha", "__n_bytes"
 
 
-class Part:
-    """The texts of one part in order, their pieces, and for each piece the equal one of the part with the smallest id."""
-
-    def __init__(self, slices_: pa.Table):
-        opened, self.shas, data, lengths, ids, pieces, at, docs = zstandard.ZstdDecompressor(), "", [], [], [], [], 0, 0
-        for r in sorted(slices_.to_pylist(), key=lambda r: r["number"]):
-            data.append(np.frombuffer(opened.decompress(r["z"]), "u1"))
-            lengths.append(_unpack(r["lengths"])[0].astype("i8"))
-            ids.append(_unpack(r["ids"])[0])
-            self.shas += r.get("shas", "")
-            p = Pieces(data[-1], lengths[-1])
-            pieces.append([p.start + at, p.windows, p.doc + docs, p.anchor, p.own, p.place])
-            at, docs = at + len(data[-1]), docs + len(ids[-1])
-        self.data, self.lengths, self.ids = (np.concatenate(x) for x in (data, lengths, ids))
-        self.start, self.windows, self.doc, self.anchor, self.own, self.place = _join(pieces)
-        self.id = self.ids[self.doc]
-        self.order = np.lexsort((self.id, self.own, self.anchor))
-        a, o = self.anchor[self.order], self.own[self.order]
-        self.new_anchor = np.append(True, a[1:] != a[:-1])[: len(a)]
-        self.new_piece = self.new_anchor | np.append(True, o[1:] != o[:-1])[: len(a)]
-        self.first = self.order[self.new_piece]
-        self.rep = np.empty(len(a), "i8")
-        self.rep[self.order] = self.first[np.cumsum(self.new_piece) - 1]
-
-
-def _windows_of(p: Part, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces ``k`` once for each of their windows, and which window it is."""
-    n = p.windows[k]
-    return np.repeat(k, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+class Slice:
+    """An opened slice: its texts in ascending order of ids, and their pieces, numbered from ``base`` within the part."""
+
+    def __init__(self, row: dict, base: int):
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["z"]), "u1")
+        self.lengths, self.ids = _unpack(row["lengths"])[0].astype("i8"), _unpack(row["ids"])[0]
+        self.shas, self.base = row.get("shas"), base
+        self.pieces = Pieces(self.data, self.lengths)
+        self.id = self.ids[self.pieces.doc]
+
+    @property
+    def end(self) -> int:
+        return self.base + len(self.pieces.start)
+
+    def own(self, ordinals: np.ndarray) -> tuple[np.ndarray, slice]:
+        """Those of the part's sorted ordinals that are the slice's, counted from its first piece, and where they are."""
+        a, b = np.searchsorted(ordinals, (self.base, self.end))
+        return ordinals[a:b] - self.base, slice(int(a), int(b))
+
+
+def _opened(rows: pa.Table) -> Iterator[Slice]:
+    """The slices of a part, one at a time."""
+    base = 0
+    for at in np.argsort(rows["number"].to_numpy()).tolist():
+        s = Slice(rows.slice(at, 1).to_pylist()[0], base)
+        base = s.end
+        yield s
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -185,62 +218,69 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _dealt(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    by = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[by], np.arange(n + 1))
-    for k in range(n):
-        if ends[k] < ends[k + 1]:
-            yield k, by[ends[k] : ends[k + 1]]
+def _dealt(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets and who goes there, in order."""
+    to = (hashes >> np.uint64(40)).astype("i8") % n
+    by = np.argsort(to.astype("u2") if n <= 1 << 16 else to, kind="stable")
+    to = to[by]
+    cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist() + [len(to)]
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        yield int(to[s]), by[s:e]
 
 
-def send_hashes(p: Part, part: int, n: int) -> list[tuple]:
-    """``(bucket, part, blob)``: every different piece of the part once, with its smallest id."""
-    if not len(p.order):
+def send_hashes(opened: Iterator[Slice], part: int, n: int) -> list[tuple]:
+    """``(bucket, part, blob)``: every different piece of each slice once, with its smallest id."""
+    got = []
+    for s in opened:
+        first = np.unique(s.pieces.first_equal())
+        got.append([s.pieces.anchor[first], s.pieces.own[first], s.id[first], (first + s.base).astype("u4")])
+    if not got:
         return []
-    rows = []
-    for k, x in _dealt((p.anchor[p.first] >> np.uint64(40)).astype("i8") % n, n):
-        o = p.first[x]
-        o = o[np.argsort(o)]
-        rows.append((k, part, _pack(_low_bytes(p.anchor[o], 5), _low_bytes(p.own[o], 6), p.id[o], o.astype("u4"))))
-    return rows
+    anchor, own, ids, ordinal = _join(got)
+    return [(k, part, _pack(_low_bytes(anchor[x], 5), _low_bytes(own[x], 6), ids[x], ordinal[x])) for k, x in _dealt(anchor, n)]
 
 
 def compare_hashes(blobs: list[tuple[int, bytes]], wide_from: int) -> list[tuple]:
     """``(part, kind, blob)`` of pieces: kind 0, all windows are repeats; 1, its bytes are asked for; 2, by single windows."""
     got = [(_from_low_bytes(x[0], 5), _from_low_bytes(x[1], 6), x[2], x[3], np.full(len(x[2]), p, "i4")) for p, x in ((p, _unpack(z)) for p, z in blobs)]
     a, o, d, ordinal, part = _join(got)
-    order = np.lexsort((d, o, a))
+    key = a << np.uint64(24) | o >> np.uint64(24)
+    order = np.argsort(key)
+    if ((key[order][1:] == key[order][:-1]) & (o[order][1:] != o[order][:-1])).any():  # different pieces that share these 64 bits
+        order = np.lexsort((o, a))
     a, o, d, ordinal, part = (x[order] for x in (a, o, d, ordinal, part))
     group = np.append(True, a[1:] != a[:-1])
     piece = group | np.append(True, o[1:] != o[:-1])
     at, which = np.flatnonzero(group), np.cumsum(group) - 1
     shared = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
     kinds = np.add.reduceat(piece.astype("i8"), at)
-    full = d > d[np.flatnonzero(piece)][np.cumsum(piece) - 1]
+    full = d > np.minimum.reduceat(d, np.flatnonzero(piece))[np.cumsum(piece) - 1]
     kind = np.where(full, 0, np.where((shared & (kinds > wide_from))[which], 2, np.where((shared & (kinds > 1))[which], 1, 3)))
     keep = np.flatnonzero(kind < 3)
-    by = keep[np.lexsort((kind[keep], part[keep]))]
-    code = part[by].astype("i8") * 4 + kind[by]
+    code = part[keep].astype("i8") * 4 + kind[keep]
+    by = np.argsort(code, kind="stable")
+    keep, code = keep[by], code[by]
     cuts = np.append(np.flatnonzero(np.diff(code, prepend=-9)), len(code)).tolist()
-    return [(int(part[by[s]]), int(kind[by[s]]), _pack(np.sort(ordinal[by[s:e]]).astype("u4"))) for s, e in zip(cuts, cuts[1:], strict=False)]
+    return [(int(code[s] >> 2), int(code[s] & 3), _pack(np.sort(ordinal[keep[s:e]]))) for s, e in zip(cuts, cuts[1:], strict=False)]
 
 
-def send_pieces(p: Part, part: int, asked: dict[int, np.ndarray], n: int) -> list[tuple]:
+def send_pieces(opened: Iterator[Slice], part: int, asked: dict[int, np.ndarray], n: int) -> list[tuple]:
     """``(bucket, part, blob)``: the bytes of the asked pieces, or of their windows."""
-    k = asked[1]
-    again, off = _windows_of(p, asked[2])
-    start, size, anchor, place = p.start[k], p.windows[k] + WINDOW - 1, p.anchor[k], p.place[k]
-    if len(again):
-        at = p.start[again] + off
-        sums = _prefix(p.data)
-        back = np.cumprod(np.full(len(p.data) + 1, _INVERSE, "u8"), dtype="u8")
-        start, size = np.append(start, at), np.append(size, np.full(len(at), WINDOW))
-        anchor = np.append(anchor, _mix((sums[at + WINDOW] - sums[at]) * back[at]))
-        place = np.append(place, np.full(len(at), NOWHERE))
-    ordinal, shift = np.append(k, again), np.append(np.zeros(len(k), "i8"), off)
     rows = []
-    for b, x in _dealt((anchor >> np.uint64(40)).astype("i8") % n, n):
-        rows.append((b, part, _pack(_low_bytes(anchor[x], 5), p.id[ordinal[x]], ordinal[x].astype("u4"), shift[x].astype("u1"), size[x].astype("u1"), place[x].astype("u1"), p.data[_ranges(start[x], size[x])])))
+    for s in opened:
+        p = s.pieces
+        k, again = s.own(asked[1])[0], s.own(asked[2])[0]
+        start, size, anchor, place = p.start[k], p.windows[k] + WINDOW - 1, p.anchor[k], p.place[k]
+        off = np.arange(p.windows[again].sum()) - np.repeat(np.cumsum(p.windows[again]) - p.windows[again], p.windows[again])
+        again = np.repeat(again, p.windows[again])
+        if len(again):
+            at, wide = p.start[again] + off, np.full(len(again), WINDOW)
+            start, size, place = np.append(start, at), np.append(size, wide), np.append(place, np.full(len(at), NOWHERE))
+            anchor = np.append(anchor, _hashed(s.data, at, wide))
+        ordinal, shift = np.append(k, again), np.append(np.zeros(len(k), "i8"), off)
+        for b, x in _dealt(anchor, n):
+            blob = _pack(_low_bytes(anchor[x], 5), s.id[ordinal[x]], (ordinal[x] + s.base).astype("u4"), shift[x].astype("u1"), size[x].astype("u1"), place[x].astype("u1"), s.data[_ranges(start[x], size[x])])
+            rows.append((b, part, blob))
     return rows
 
 
@@ -260,29 +300,26 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.
     return out
 
 
-def worth_comparing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def worth_comparing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, anchor: np.ndarray, doc: np.ndarray, ranges: int = RANGES) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the first and last of its windows that can be equal to one of another document; the first is larger where none can.
 
-    A window begins from 0 to ``WINDOW - K`` bytes before its anchor. Windows of one of four ranges of that have some 42 bytes round
+    A window begins from 0 to ``WINDOW - K`` bytes before its anchor. Windows of one of some ranges of that have the bytes round
     the anchor in common, so a piece is only of interest in the ranges where another document has these bytes too.
     """
-    n, reach = len(size), WINDOW - K
+    n = len(size)
     first, last = np.full(n, 255), np.full(n, -1)
-    sums = _prefix(data)
-    back = np.cumprod(np.full(len(data) + 1, _INVERSE, "u8"), dtype="u8")
     windows = size - WINDOW + 1
-    edges = np.linspace(0, reach + 1, 5).astype("i8")
+    edges = np.linspace(0, REACH + 1, ranges + 1).astype("i8")
     for x1, x2 in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist(), strict=True):
         # Windows of the piece in the range: they begin at place - x2 to place - x1.
         lo, hi = np.maximum(place - x2, 0), np.minimum(place - x1, windows - 1)
         x = np.flatnonzero((lo <= hi) & (place != NOWHERE))
-        s, e = begin[x] + place[x] - x1, begin[x] + place[x] - x2 + WINDOW
-        key = _mix((sums[e] - sums[s]) * back[s])
-        order = np.lexsort((doc[x], key, anchor[x]))
-        a, k, d = anchor[x][order], key[order], doc[x][order]
-        if not len(a):
+        if not len(x):
             continue
-        new = np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]))
+        key = _hashed(data, begin[x] + place[x] - x1, np.full(len(x), x1 - x2 + WINDOW)) ^ anchor[x] * np.uint64(_BASE)
+        order = np.argsort(key)
+        k, d = key[order], doc[x][order]
+        new = np.append(True, k[1:] != k[:-1])
         at = np.flatnonzero(new)
         shared = (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))[np.cumsum(new) - 1]
         x = x[order][shared]
@@ -291,6 +328,13 @@ def worth_comparing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place
     return np.where(whole, 0, first), np.where(whole, windows - 1, last)
 
 
+def _equal_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string the smallest number of one that is equal to it, byte for byte."""
+    seen: dict[bytes, int] = {}
+    raw = data.tobytes()
+    return np.array([seen.setdefault(raw[s:e], k) for k, (s, e) in enumerate(zip(begin.tolist(), (begin + size).tolist(), strict=True))], "i8")
+
+
 def compare_pieces(blobs: list[tuple[int, bytes]], collection: int) -> list[tuple]:
     """``(part, kind = 1, blob)``: the windows of each piece that are repeats, as bits."""
     got = [[*x[:6], np.full(len(x[1]), p, "i4"), x[6]] for p, x in ((p, _unpack(z)) for p, z in blobs)]
@@ -299,61 +343,74 @@ def compare_pieces(blobs: list[tuple[int, bytes]], collection: int) -> list[tupl
     begin = np.cumsum(size) - size
     first, last = worth_comparing(data, begin, size, place, anchor, doc)
     begin, size, shift = begin + first, last - first + WINDOW, shift + first
-    order = np.argsort(anchor, kind="stable")
-    order = order[(first <= last)[order]]
+    bits = np.zeros(len(size), "u8")
+    # In order of ids, so that the first of equal strings has the smallest; the later ones are repeats from end to end.
+    order = np.flatnonzero(first <= last)
+    order = order[np.argsort(doc[order], kind="stable")]
+    same = order[_equal_strings(data, begin[order], size[order])]
+    later = order[doc[order] > doc[same]]
+    bits[later] = (np.uint64(1) << (size[later] - WINDOW + 1).astype("u8")) - np.uint64(1) << shift[later].astype("u8")
+    twin, rep = order[(same != order) & (doc[order] == doc[same])], same[(same != order) & (doc[order] == doc[same])]
+    order = order[same == order]
+    order = order[np.argsort(anchor[order], kind="stable")]
     edges = np.flatnonzero(anchor[order][1:] != anchor[order][:-1]) + 1
     cuts, end = [0], 0
     for e in [*edges.tolist(), len(order)]:  # whole anchors, up to ``collection`` strings together
         if e - cuts[-1] > collection and end > cuts[-1]:
             cuts.append(end)
         end = e
-    bits = np.zeros(len(size), "u8")
     for s, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
         x = order[s:e]
         bits[x] = repeated_windows(data[_ranges(begin[x], size[x])], size[x], doc[x]) << shift[x].astype("u8")
+    bits[twin] = bits[rep] >> shift[rep].astype("u8") << shift[twin].astype("u8")
     hit = np.flatnonzero(bits)
     by = hit[np.argsort(part[hit], kind="stable")]
     cuts = np.append(np.flatnonzero(np.diff(part[by], prepend=-9)), len(by)).tolist()
-    return [(int(part[by[s]]), 1, _pack(ordinal[by[s:e]].astype("u4"), bits[by[s:e]])) for s, e in zip(cuts, cuts[1:], strict=False)]
+    return [(int(part[by[s]]), 1, _pack(ordinal[by[s:e]], bits[by[s:e]])) for s, e in zip(cuts, cuts[1:], strict=False)]
 
 
-def kept_texts(p: Part, full: np.ndarray, some: np.ndarray, bits: np.ndarray, with_text: bool) -> list[tuple]:
-    """``(sha, least id, n_removed, n_spans, kept_sha256[, kept])`` of each text of the part."""
+def kept_texts(s: Slice, full: np.ndarray, some: np.ndarray, bits: np.ndarray, with_text: bool) -> list[tuple]:
+    """``(sha, least id, n_removed, n_spans, kept_sha256[, kept])`` of each text of the slice; ``full`` and ``some`` count from its first piece."""
+    p, n = s.pieces, len(s.data)
+    rep = p.first_equal()
     rep_full, rep_bits = np.zeros(len(p.start), bool), np.zeros(len(p.start), "u8")
     rep_full[full] = True
     np.bitwise_or.at(rep_bits, some, bits)
-    whole = rep_full[p.rep] | (p.id > p.id[p.rep])
-    mask = np.where(whole, 0, rep_bits[p.rep])
-    change = np.zeros(len(p.data) + 1, "i8")
-    x = np.flatnonzero(whole)
-    np.add.at(change, p.start[x], 1)
-    np.add.at(change, p.start[x] + p.windows[x] + WINDOW - 1, -1)
+    whole = rep_full[rep] | (s.id > s.id[rep])
+    bad = np.zeros(n + 1, bool)  # windows that are repeats, by where they start
+    bad[_ranges(p.start[whole], p.windows[whole])] = True
+    mask = np.where(whole, 0, rep_bits[rep])
     x = np.flatnonzero(mask)
-    for b in range(WINDOW - K + 1 if len(x) else 0):
-        y = p.start[x[mask[x] >> np.uint64(b) & np.uint64(1) > 0]] + b
-        np.add.at(change, y, 1)
-        np.add.at(change, y + WINDOW, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    ends = np.cumsum(p.lengths)
-    first = ends - p.lengths
+    for b in range(REACH + 1 if len(x) else 0):
+        bad[p.start[x[mask[x] >> np.uint64(b) & np.uint64(1) > 0]] + b] = True
+    edge = np.flatnonzero(bad[1:] != bad[:-1]) + 1
+    if bad[0]:
+        edge = np.append(0, edge)
+    change = np.zeros(n + 1, "i1")  # at most WINDOW runs of windows reach over a byte
+    change[edge[::2]] += 1
+    change[edge[1::2] + WINDOW - 1] -= 1
+    gone = np.cumsum(change[:-1], dtype="i1") > 0
+    ends = np.cumsum(s.lengths)
+    first = ends - s.lengths
     rises = gone.copy()
     rises[1:] &= ~gone[:-1]
     rises[first] = gone[first]
-    removed, spans = np.add.reduceat(gone, first, dtype="i8"), np.add.reduceat(rises, first, dtype="i8")
+    gone_before, rises_before = (np.append(0, np.cumsum(v, dtype="i8")) for v in (gone, rises))
+    gone_n, rises_n = gone_before[ends] - gone_before[first], rises_before[ends] - rises_before[first]
     out = []
-    for k, (s, e, n) in enumerate(zip(first.tolist(), ends.tolist(), removed.tolist(), strict=True)):
-        sha = own = p.shas[64 * k : 64 * k + 64]
+    for k, (a, b, m) in enumerate(zip(first.tolist(), ends.tolist(), gone_n.tolist(), strict=True)):
+        sha = own = s.shas[64 * k : 64 * k + 64]
         kept = None
-        if n:
-            kept = p.data[s:e][~gone[s:e]].tobytes()
+        if m:
+            kept = s.data[a:b][~gone[a:b]].tobytes()
             own = hashlib.sha256(kept).hexdigest()
         elif with_text:
-            kept = p.data[s:e].tobytes()
-        out.append((sha, int(p.ids[k]), n, int(spans[k]), own) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
+            kept = s.data[a:b].tobytes()
+        out.append((sha, int(s.ids[k]), m, int(rises_n[k]), own) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
     return out
 
 
-def _tables(fn: Callable[..., list[tuple]], schema: pa.Schema) -> Callable[..., pa.Table]:
+def _grouped(fn: Callable[..., list[tuple]], schema: pa.Schema) -> Callable[..., pa.Table]:
     """A function of one or two groups' tables that returns rows, as Spark calls it."""
 
     def run(*tables: pa.Table) -> pa.Table:
@@ -363,25 +420,26 @@ def _tables(fn: Callable[..., list[tuple]], schema: pa.Schema) -> Callable[...,
     return (lambda a: run(a)) if fn.__code__.co_argcount == 1 else (lambda a, b: run(a, b))
 
 
-def _buckets(fn: Callable[[int, list], list[tuple]], schema: pa.Schema) -> Callable:
+def _buckets(fn: Callable[[list], list[tuple]], schema: pa.Schema) -> Callable:
     """A function of all blobs of a bucket; the batches are sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for bucket, part, blob in _rows(batches):
             if bucket != now and blobs:
-                yield _batch(fn(now, blobs), schema.names, schema.types)
+                yield _batch(fn(blobs), schema.names, schema.types)
                 blobs = []
             now = bucket
             blobs.append((part, blob))
         if blobs:
-            yield _batch(fn(now, blobs), schema.names, schema.types)
+            yield _batch(fn(blobs), schema.names, schema.types)
 
     return run
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 _TOLD = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+_SLICE = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("ids", pa.binary()), ("shas", pa.string()), ("lengths", pa.binary()), ("z", pa.binary())])
 _SENT_SQL, _TOLD_SQL = "bucket int, part int, blob binary", "part int, kind int, blob binary"
 
 
@@ -394,30 +452,38 @@ def _asked(told: pa.Table) -> dict[int, np.ndarray]:
 
 
 class Repeats:
-    """The plan for one table with the columns ``doc_id`` and ``text``."""
-
-    def __init__(self, docs: DataFrame, wide: int = WIDE, collection: int = COLLECTION):
-        self.spark = docs.sparkSession
-        self.n = n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.docs = docs
-        self.digests = written(self._digests(), "digests")
-        self.name = f"askwell_slices_{uuid.uuid4().hex}"
-        self._write_slices()
-        self.slices = self.spark.table(self.name)
-        texts = self.slices.select("part", "number", "ids", "lengths", "z").groupBy("part")
-
-        def hashes(t: pa.Table) -> list[tuple]:
-            return send_hashes(Part(t), t["part"][0].as_py(), n)
-
-        def pieces(t: pa.Table, told: pa.Table) -> list[tuple]:
-            asked = _asked(told)
-            return send_pieces(Part(t), t["part"][0].as_py(), asked, n) if len(asked[1]) + len(asked[2]) else []
-
-        sent = texts.applyInArrow(_tables(hashes, _SENT), _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
-        self.shared = written(map_batches(sent, _buckets(lambda k, blobs: compare_hashes(blobs, wide), _TOLD), _TOLD_SQL), "shared")
-        asks = self.shared.where("kind > 0").groupBy("part")
-        sent = texts.cogroup(asks).applyInArrow(_tables(pieces, _SENT), _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
-        self.masks = written(map_batches(sent, _buckets(lambda k, blobs: compare_pieces(blobs, collection), _TOLD), _TOLD_SQL), "masks")
+    """The plan for one table with the columns ``doc_id`` and ``text``; ``close`` deletes what it has written."""
+
+    def __init__(self, docs: DataFrame, wide: int = WIDE, collection: int = COLLECTION, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES):
+        self.spark, self.docs = docs.sparkSession, docs
+        self.name, self.path, self.made = f"askwell_slices_{uuid.uuid4().hex}", new_path(docs.sparkSession, "slices"), []
+        try:
+            self.digests = self._written(self._digests(), "digests")
+            size = self.digests.where(f"{_SIZE} >= {WINDOW}").agg(F.sum(_SIZE)).first()[0]
+            self.n = n = max(1, -(-(size or 0) // part_bytes))
+            self._write_slices(slice_bytes)
+            self.slices = self.spark.table(self.name)
+            texts = self.slices.select("part", "number", "ids", "lengths", "z").groupBy("part")
+
+            def hashes(t: pa.Table) -> list[tuple]:
+                return send_hashes(_opened(t), t["part"][0].as_py(), n)
+
+            def pieces(t: pa.Table, told: pa.Table) -> list[tuple]:
+                asked = _asked(told)
+                return send_pieces(_opened(t), t["part"][0].as_py(), asked, n) if len(asked[1]) + len(asked[2]) else []
+
+            sent = texts.applyInArrow(_grouped(hashes, _SENT), _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
+            self.shared = self._written(map_batches(sent, _buckets(lambda blobs: compare_hashes(blobs, wide), _TOLD), _TOLD_SQL), "shared")
+            asks = self.shared.where("kind > 0").groupBy("part")
+            sent = texts.cogroup(asks).applyInArrow(_grouped(pieces, _SENT), _SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
+            self.masks = self._written(map_batches(sent, _buckets(lambda blobs: compare_pieces(blobs, collection), _TOLD), _TOLD_SQL), "masks")
+        except BaseException:
+            self.close()
+            raise
+
+    def _written(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made.append(written(df, tag))
+        return self.made[-1]
 
     def _digests(self) -> DataFrame:
         """All columns but the text, with the text's SHA-256 and its length in bytes."""
@@ -433,58 +499,58 @@ class Repeats:
 
         return rows.mapInArrow(run, schema)
 
-    def _part_names(self) -> list[int]:
-        """For each of the n hash partitions an integer that falls into it."""
-        rows = self.spark.range(64 * self.n).selectExpr("cast(id as int) as v", f"pmod(hash(cast(id as int)), {self.n}) as p")
-        got = {r["p"]: r["v"] for r in rows.groupBy("p").agg(F.min("v").alias("v")).collect()}
-        return [got.get(p, p) for p in range(self.n)]
+    def _write_slices(self, slice_bytes: int) -> None:
+        """Every different text of a window or more, with its smallest id, in slices: a table bucketed by ``part``.
 
-    def _write_slices(self) -> None:
-        """Every different text of a window or more, with its smallest id, in slices: a table bucketed by ``part``."""
-        n, names = self.n, self._part_names()
-        docs = self.docs.select(F.col("text").cast("string").alias("text"))
+        Copies of a text are dealt to the parts by their ids, too, and only the one with the smallest id is met by its row of ``least`` there.
+        """
+        n = self.n
+        part = F.expr(f"cast(pmod(xxhash64(sha, id), {n}) as int)").alias("part")
+        docs = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("id"), F.col("text").cast("string").alias("text"))
 
         def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[bytes] = set()  # of one task: it sends a text once
-            z = zstandard.ZstdCompressor(level=3)
+            sent: dict[bytes, int] = {}  # of one task: a text goes again only with a smaller id
+            z = zstandard.ZstdCompressor(level=1)
             for b in slices(batches, 256):
                 out = []
-                for t in b.column(0).to_pylist():
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     data = (t or "").encode()
-                    digest = hashlib.sha256(data)
-                    if len(data) >= WINDOW and digest.digest() not in seen:
-                        seen.add(digest.digest())
-                        out.append((digest.hexdigest(), z.compress(data)))
-                yield _batch(out, ["sha", "z"], [pa.string(), pa.binary()])
-
-        texts = map_batches(docs, press, "sha string, z binary")
-        least = self.digests.where(f"{_SIZE} >= {WINDOW}").groupBy(F.col(_SHA).alias("sha")).agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE))).alias("least"))
-        rows = texts.join(least, "sha").repartition(n, "sha").sortWithinPartitions("sha")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, opened = names[TaskContext.get().partitionId()], zstandard.ZstdDecompressor()
-            z = zstandard.ZstdCompressor(level=3)
-            last, ids, data, shas, size, number = None, [], [], [], 0, 0
-
-            def done() -> pa.RecordBatch:
-                row = (part, number, _pack(np.array(ids, "i8")), "".join(shas), _pack(np.array([*map(len, data)], "u4")), z.compress(b"".join(data)))
-                return _batch([row], cols, kinds)
-
-            for sha, blob, first in _rows(batches):
-                if sha == last:
-                    continue
-                last = sha
-                ids.append(first), shas.append(sha), data.append(opened.decompress(blob))
-                size += len(data[-1])
-                if size >= SLICE_BYTES:
-                    yield done()
-                    ids, data, shas, size, number = [], [], [], 0, number + 1
-            if ids:
-                yield done()
-
-        cols, kinds = ["part", "number", "ids", "shas", "lengths", "z"], [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.binary()]
-        made = map_batches(rows, cut, "part int, number int, ids binary, shas string, lengths binary, z binary")
-        made.write.bucketBy(n, "part").format("parquet").saveAsTable(self.name)
+                    if len(data) >= WINDOW:
+                        digest = hashlib.sha256(data)
+                        if i < sent.get(digest.digest(), LATE + 1):
+                            sent[digest.digest()] = i
+                            out.append((digest.hexdigest(), i, z.compress(data)))
+                yield _batch(out, ["sha", "id", "z"], [pa.string(), pa.int64(), pa.binary()])
+
+        texts = map_batches(docs, press, "sha string, id long, z binary").select(part, "sha", "id", "z")
+        least = self.digests.where(f"{_SIZE} >= {WINDOW}").groupBy(F.col(_SHA).alias("sha")).agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE))).alias("id"))
+
+        def cut(t: pa.Table, least: pa.Table) -> list[tuple]:
+            want, here = dict(zip(least["sha"].to_pylist(), least["id"].to_pylist(), strict=True)), {}
+            for k, (sha, i) in enumerate(zip(t["sha"].to_pylist(), t["id"].to_pylist(), strict=True)):
+                if want.get(sha) == i:
+                    here[sha] = k
+            z, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+            rows, texts, number = [], [], t["part"][0].as_py()
+
+            def done() -> None:
+                ids, shas, data = zip(*texts, strict=True)
+                rows.append((number, len(rows), _pack(np.array(ids, "i8")), "".join(shas), _pack(np.array([*map(len, data)], "u4")), z.compress(b"".join(data))))
+                texts.clear()
+
+            size = 0
+            for i, sha in sorted((want[sha], sha) for sha in here):
+                texts.append((i, sha, opened.decompress(t["z"][here[sha]].as_py())))
+                size += len(texts[-1][2])
+                if size >= slice_bytes:
+                    done()
+                    size = 0
+            if texts:
+                done()
+            return rows
+
+        made = texts.groupBy("part").cogroup(least.select(part, "sha", "id").groupBy("part")).applyInArrow(_grouped(cut, _SLICE), "part int, number int, ids binary, shas string, lengths binary, z binary")
+        made.write.bucketBy(n, "part").format("parquet").option("path", self.path).saveAsTable(self.name)
 
     def kept(self, with_text: bool = False) -> DataFrame:
         """``(sha, least, n_removed, n_spans, kept_sha256[, kept])`` of every different text of a window or more."""
@@ -497,15 +563,23 @@ class Repeats:
                     full.append(got[0])
                 else:
                     some.append(got[0]), bits.append(got[1])
-            return kept_texts(Part(t), np.concatenate(full).astype("i8"), np.concatenate(some).astype("i8"), np.concatenate(bits), with_text)
+            full, some, bits = (np.concatenate(x) for x in (full, some, bits))
+            order, full = np.argsort(some, kind="stable"), np.sort(full).astype("i8")
+            some, bits, out = some[order].astype("i8"), bits[order], []
+            for s in _opened(t):
+                own, where = s.own(some)
+                out += kept_texts(s, s.own(full)[0], own, bits[where], with_text)
+            return out
 
         fields = [(_SHA, pa.string()), ("__least", pa.int64()), ("__removed", pa.int64()), ("__spans", pa.int64()), ("__kept_sha", pa.string())] + [("__kept", pa.string())] * with_text
         sql = f"{_SHA} string, __least long, __removed long, __spans long, __kept_sha string" + ", __kept string" * with_text
         told = self.shared.where("kind = 0").union(self.masks).groupBy("part")
-        return self.slices.groupBy("part").cogroup(told).applyInArrow(_tables(cut, pa.schema(fields)), sql)
+        return self.slices.groupBy("part").cogroup(told).applyInArrow(_grouped(cut, pa.schema(fields)), sql)
 
     def close(self) -> None:
         self.spark.sql(f"drop table if exists {self.name}")
+        remove_path(self.spark, self.path)
+        removed(*self.made)
 
 
 def _is_copy() -> F.Column:
@@ -515,32 +589,34 @@ def _is_copy() -> F.Column:
 def repeated_passages(docs: DataFrame, **how: int) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row."""
     plan = Repeats(docs.select("doc_id", "text"), **how)
-    rows = plan.digests.join(plan.kept(), _SHA, "left")
-    nothing = hashlib.sha256(b"").hexdigest()
-    out = rows.select(
-        "doc_id",
-        F.col(_SIZE).alias("n_bytes"),
-        F.when(_is_copy(), F.col(_SIZE)).otherwise(F.coalesce("__removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(_is_copy(), 1).otherwise(F.coalesce("__spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(_is_copy(), nothing).otherwise(F.coalesce("__kept_sha", F.col(_SHA))).alias("kept_sha256"),
-    )
-    out = written(out, "repeats")
-    plan.close()
-    return out
+    try:
+        rows = plan.digests.join(plan.kept(), _SHA, "left")
+        nothing = hashlib.sha256(b"").hexdigest()
+        out = rows.select(
+            "doc_id",
+            F.col(_SIZE).alias("n_bytes"),
+            F.when(_is_copy(), F.col(_SIZE)).otherwise(F.coalesce("__removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(_is_copy(), 1).otherwise(F.coalesce("__spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(_is_copy(), nothing).otherwise(F.coalesce("__kept_sha", F.col(_SHA))).alias("kept_sha256"),
+        )
+        return written(out, "repeats")
+    finally:
+        plan.close()
 
 
 def without_repeats(docs: DataFrame, **how: int) -> DataFrame:
     """``docs`` with the bytes that stay as text (parts of characters are dropped); ``n_chars``, where there is one, counts them."""
     plan = Repeats(docs, **how)
-    short = docs.select(F.sha2(F.encode(F.col("text").cast("string"), "UTF-8"), 256).alias(_SHA), F.col("text").alias("__own")).where(f"octet_length(__own) < {WINDOW}").dropDuplicates([_SHA])
-    rows = plan.digests.join(plan.kept(with_text=True), _SHA, "left").join(short, _SHA, "left")
-    text = F.when(_is_copy(), "").otherwise(F.coalesce("__kept", "__own"))
-    out = rows.withColumn("__text", text).select(*(F.col("__text" if c == "text" else f"`{c}`").alias(c) for c in docs.columns))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    out = written(out, "unrepeated")
-    plan.close()
-    return out
+    try:
+        short = docs.select(F.sha2(F.encode(F.col("text").cast("string"), "UTF-8"), 256).alias(_SHA), F.col("text").alias("__own")).where(f"octet_length(__own) < {WINDOW}").dropDuplicates([_SHA])
+        rows = plan.digests.join(plan.kept(with_text=True), _SHA, "left").join(short, _SHA, "left")
+        text = F.when(_is_copy(), "").otherwise(F.coalesce("__kept", "__own"))
+        out = rows.withColumn("__text", text).select(*(F.col("__text" if c == "text" else f"`{c}`").alias(c) for c in docs.columns))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return written(out, "unrepeated")
+    finally:
+        plan.close()
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("how", ({}, {"wide": 1, "collection": 10}))
+@pytest.mark.parametrize("how", ({}, {"wide": 1, "collection": 10}, {"part_bytes": 4000, "slice_bytes": 700}))
 def test_repeats(spark, how):
     random.seed(0)
     base = ["".join(random.choices("ab \né", k=random.randint(0, 300))) for _ in range(12)]
@@ -148,6 +148,38 @@ def test_repeats(spark, how):
     assert sorted((tuple(r) for r in repeats.repeated_passages(docs, **how).collect()), key=str) == brute_repeats(rows)
 
 
+def test_repeats_across_blocks_slices_and_parts():
+    """Texts longer than a block and a slice, cut into pieces as a window-by-window loop cuts them."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 101, n).astype("u1") for n in (50, 49, 3, 200_000, 60, 131_100)] + [np.full(70_000, 120, "u1"), np.zeros(0, "u1")]
+    data, lengths = np.concatenate(texts), np.array([*map(len, texts)])
+    p = repeats.Pieces(data, lengths)
+    windows = [s + k for s, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True) for k in range(n - 49)]
+    assert np.repeat(p.start, p.windows).tolist() == [a for a, n in zip(p.start.tolist(), p.windows.tolist(), strict=True) for _ in range(n)]
+    assert repeats._ranges(p.start, p.windows).tolist() == windows and p.windows.max() <= 35 and (p.place < 35).all()
+    # Equal bytes round the anchor give equal hashes, wherever in the block they stand.
+    assert (p.anchor == repeats._mix(np.array([_anchor_hash(data[a : a + 16]) for a in (p.start + p.place).tolist()], "u8"))).all()
+    first = p.first_equal()
+    raw = data.tobytes()
+    pieces = [raw[s : s + n + 49] for s, n in zip(p.start.tolist(), p.windows.tolist(), strict=True)]
+    seen = {}
+    assert first.tolist() == [seen.setdefault(x, k) for k, x in enumerate(pieces)]
+
+
+def _anchor_hash(data):
+    h = sum((int(b) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(data)) % (1 << 64)
+    return (h ^ h >> 32) * 0xBF58476D1CE4E5B9 % (1 << 64)
+
+
+def test_repeats_in_long_texts(spark):
+    random.seed(8)
+    words = ["".join(random.choices("abcdefgh", k=5)) for _ in range(400)]
+    long = [" ".join(random.choices(words, k=40_000)) for _ in range(3)]
+    rows = [(1, long[0]), (2, long[1] + long[0][100_000:100_300]), (3, long[2][:70_000] + long[1][10:90_000] + long[2][70_000:]), (4, long[2]), (5, long[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in repeats.repeated_passages(docs, slice_bytes=100_000, part_bytes=300_000).collect()), key=str) == brute_repeats(rows)
+
+
 def test_without_repeats(spark):
     p = "the same passage of more than fifty bytes stands in both of them, word for word"
     docs = spark.createDataFrame([(1, p + " one", "a", 0), (2, "two " + p, "b", 0), (3, "short", "c", 0), (4, p + " one", "d", 0)], "doc_id long, text string, source string, n_chars int")
