@@ -66,8 +66,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows, so that Python objects of few rows live at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, column: int | None = None, most: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows, so that Python objects of few rows live at a time; with ``column``, to rows with about ``most``
+    bytes there, or a single row."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            part = batch.slice(at, rows)
+            if column is None or part.column(column).nbytes <= most:
+                yield part
+            else:
+                each = max(1, rows * most // (2 * part.column(column).nbytes))
+                yield from (part.slice(k, each) for k in range(0, part.num_rows, each))

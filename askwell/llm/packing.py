@@ -28,18 +28,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askwell.llm.common import map_batches, slices, table, written
+from askwell.llm.words import WordIds
 
 #: With as many queues at most, the largest always has room for what the others' fractions leave.
 QUEUES = 64
 WINDOW = 4096
 END_ID = 2
-CACHE_ENTRIES = 500_000
 
 
 def default_vocabulary() -> str:
@@ -48,140 +47,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of texts by a vocabulary that drops white space, with the ids of each white-space-separated piece kept.
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
-    The library's normaliser and pattern never look across white space. Pieces of plain Latin letters and ASCII signs are lower-cased
-    and cut by the pattern here, and only new parts go through the library; all other pieces go through it as they stand.
-    """
 
-    #: Characters that normalise to themselves and have one lower-case letter; no white space, no mark.
-    PLAIN = regex.compile(r"[!-~\u00c0-\u012f]+")
-    # Fixed value: the vocabulary's pattern.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-    #: str.split() also splits at these, which are not white space for the library.
-    ODD_SPACE = "\x1c\x1d\x1e\x1f"
-    #: What may end a word as a part of its own.
-    ENDS = frozenset(".,;:!?|)]}\"*%$&#")
-
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        (self.mark,) = self.library.encode("\0", add_special_tokens=False).ids
-        self.cache_entries = cache_entries
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _plain(self, text: str | None) -> bool:
-        """Whether the library's ids are those of the text's pieces."""
-        return not ("<|" in text and any(s in text for s in self.special) or any(c in text for c in self.ODD_SPACE))
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; pieces that are new are encoded together."""
-        found: list = []
-        gaps: list[tuple[list, list[str], list[int]]] = []
-        needed: set[str] = set()
-        for t in texts:
-            if not t:
-                found.append(b"")
-            elif not self._plain(t):
-                found.append(self._whole(t))
-            else:
-                pieces = t.split()
-                ids = [*map(self.young.get, pieces)]
-                found.append(ids)
-                if n := ids.count(None):
-                    at, k = [], -1
-                    for _ in range(n):
-                        k = ids.index(None, k + 1)
-                        at.append(k)
-                        needed.add(pieces[k])
-                    gaps.append((ids, pieces, at))
-        self._learn(needed)
-        for ids, pieces, at in gaps:
-            for k in at:
-                ids[k] = self.young[pieces[k]]
-        return [x if isinstance(x, bytes) else b"".join(x) for x in found]
-
-    def _learn(self, needed: set[str]) -> None:
-        """Puts the ids of the needed pieces, none of which it has, into the young cache."""
-        if len(self.young) + len(needed) > self.cache_entries:
-            self.old, self.young = self.young, {}
-        young, old, split, parts = self.young, self.old, [], []
-        for p in needed:
-            got = old.get(p)
-            if got is not None:
-                young[p] = got
-            elif not (p.isascii() and "\0" not in p or self.PLAIN.fullmatch(p)):
-                young[p] = self._whole(p)
-            else:
-                split.append(p)
-                if p.isalpha():
-                    parts.append((p.lower(),))
-                elif p[-1] in self.ENDS and p[:-1].isalpha():
-                    parts.append((p[:-1].lower(), p[-1]))
-                else:
-                    parts.append(self.PATTERN.findall(p.lower()))
-        if len(self.parts) > self.cache_entries:
-            self.parts.clear()
-        self._learn_parts([*set().union(*parts).difference(self.parts)])
-        get = self.parts.__getitem__
-        for p, x in zip(split, parts, strict=True):
-            young[p] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        """One call for many lower-cased parts, with a mark that is a part of its own between them."""
-        for at in range(0, len(parts), 5000):
-            some = parts[at : at + 5000]
-            ids = np.array(self.library.encode_batch_fast([" \0 ".join([*some, ""])], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
-            if len(ends) != len(some):
-                raise ValueError("the vocabulary does not keep the mark apart")
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                self.parts[p] = data[begin:end]
-                begin = end + 4
+#: The queue of null sources; those of others begin with another letter.
+NO_SOURCE = "0"
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def queue_of(source: str | None) -> str:
+    return NO_SOURCE if source is None else "s" + source
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, queue, part, cum, n, ids)``: ids with the end id; ``cum`` tokens of the queue lie before it in its part."""
-    key = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    source = F.col("source").cast("string")
+    key = F.when(source.isNull(), NO_SOURCE).otherwise(F.concat(F.lit("s"), source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = word_ids(path), np.array([end_id], "<u4").tobytes()
-        part, before = TaskContext.get().partitionId(), {}
-        for b in slices(batches):
-            queue, cum, n, data = b.column(1).to_pylist(), [], [], []
-            for q, ids in zip(queue, enc.encode_many(b.column(2).to_pylist()), strict=True):
-                ids += tail
+        enc, part, before = word_ids(path), TaskContext.get().partitionId(), {}
+        for b in slices(batches, column=2):
+            ids, begins = enc.encode_many(b.column(2), end_id)
+            n, cum = np.diff(begins), []
+            for q, m in zip(b.column(1).to_pylist(), n.tolist(), strict=True):
                 cum.append(before.get(q, 0))
-                n.append(len(ids) // 4)
-                before[q] = cum[-1] + n[-1]
-                data.append(ids)
+                before[q] = cum[-1] + m
+            data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((4 * begins).astype("<i4")), pa.py_buffer(ids.astype("<i4"))])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([part] * b.num_rows, pa.int32()), pa.array(cum, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
+                [b.column(0), b.column(1), pa.array([part] * b.num_rows, pa.int32()), pa.array(cum, pa.int64()), pa.array(n, pa.int64()), data],
                 ["doc_id", "queue", "part", "cum", "n", "ids"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("queue"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("queue"), F.col("text").cast("string").alias("text"))
     return written(map_batches(rows, run, "doc_id long, queue string, part int, cum long, n long, ids binary"), "tokens")
 
 
@@ -346,7 +244,7 @@ class Layout:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, targets: dict[str, float] | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` of all documents.
+    """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])`` of all documents; ``targets`` by source.
 
     Tokenised once into a written table; the queues' totals and the carry of each part are sums over (part, queue). The
     pieces of a sequence, in order of ``offset``, are its tokens.
@@ -359,6 +257,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, targets: dict[str,
     )
     sums = carried.groupBy("queue").agg(F.sum("tokens").alias("t")).toArrow()  # a row a source
     totals = dict(zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True))
+    targets = targets and {queue_of(source): share for source, share in targets.items()}
     layout = spark.sparkContext.broadcast((totals, targets, window))
     placed = rows.join(carried.select("queue", "part", "base"), ["queue", "part"])
 

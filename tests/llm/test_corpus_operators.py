@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,6 +14,8 @@ from askwell.llm import fingerprints, packing, repeats, similar, simhash
 from askwell.llm.collection import collection_lcp
 from askwell.llm.components import connected_components
 
+tokenizers = pytest.importorskip("tokenizers")
+
 
 def test_components(spark):
     random.seed(0)
@@ -243,22 +247,51 @@ def test_layout():
                 assert all(abs(have[q] - packing.WINDOW * totals[q] / total) < 1 for q in small)
 
 
+def test_layout_is_a_deficit_round_robin():
+    """Counters run step by step: a quantum each, the whole part into the window, the rest carried."""
+    random.seed(9)
+    for _ in range(20):
+        totals = {f"s{i}": random.randint(1, 30_000) for i in range(random.randint(2, 20))}
+        mix, total = packing.Mixture(totals), sum(totals.values())
+        queues = sorted(totals, key=lambda q: (totals[q], q))
+        deficit, taken = dict.fromkeys(queues, Fraction(0)), dict.fromkeys(queues, 0)
+        for w in range(mix.last):
+            room = packing.WINDOW
+            for q in queues[:-1]:
+                deficit[q] += Fraction(packing.WINDOW * totals[q], total)
+                n = int(deficit[q])
+                deficit[q] -= n
+                taken[q] += n
+                room -= n
+            taken[queues[-1]] += room
+            assert mix.taken(w + 1) == [taken[q] for q in queues]
+            assert all(0 <= d < 1 for d in deficit.values())
+
+
 def test_packing(spark):
-    docs = spark.createDataFrame([(1, "a b c " * 900, "x"), (2, None, None), (3, "", "y"), (4, "z " * 5000, "y"), (4, "z " * 5000, "y")], "doc_id long, text string, source string").selectExpr("*", "1 as queue")
+    docs = spark.createDataFrame([(1, "a b c " * 900, "x"), (2, None, None), (3, "", "y"), (4, "z " * 5000, "y"), (4, "z " * 5000, "y"), (5, "a", "")], "doc_id long, text string, source string").selectExpr("*", "1 as queue")
     rows = packing.pack_documents(docs, with_ids=True).collect()
-    windows, ids = defaultdict(dict), defaultdict(int)
+    library = tokenizers.Tokenizer.from_file(packing.default_vocabulary())
+    windows, got = defaultdict(dict), defaultdict(list)
     for r in rows:
         windows[r["sequence_id"]][r["offset"]] = r["length"]
-        assert len(r["ids"]) == 4 * r["length"]
-        ids[r["doc_id"]] += r["length"]
+        assert len(r["ids"]) == 4 * r["length"] and r["ids_crc32"] == zlib.crc32(r["ids"])
+        got[r["doc_id"], r["doc_tokens"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
     for pieces in windows.values():
         at = 0
         for o in sorted(pieces):
             assert o == at
             at += pieces[o]
         assert at == 4096 or at & (at - 1) == 0
-    assert ids[2] == ids[3] == 1 and ids[1] == 2701 and ids[4] == 2 * 5001
+    ids = {t: [*library.encode(t, add_special_tokens=False).ids, 2] for t in ("a b c " * 900, "", "z " * 5000, "a")}
+    for d, t, copies in ((1, "a b c " * 900, 1), (2, "", 1), (3, "", 1), (4, "z " * 5000, 2), (5, "a", 1)):
+        pieces = got[d, len(ids[t])]
+        # Each id is in one piece, at its place; a repeated row is there twice.
+        assert sorted(s + k for s, x in pieces for k in range(len(x))) == sorted([*range(len(ids[t]))] * copies)
+        assert all(x == ids[t][s : s + len(x)] for s, x in pieces)
     assert packing.pack_documents(docs.limit(0)).count() == 0
+    queues = {r["queue"] for r in packing.tokenised(docs, packing.default_vocabulary()).select("queue").collect()}
+    assert queues == {packing.queue_of(q) for q in ("x", "y", "", None)} and len(queues) == 4
 
 
 @pytest.mark.parametrize("named", (False, True))

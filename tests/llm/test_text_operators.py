@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from askwell.llm import media, packing, pii, quality, toxicity, urls
+from askwell.llm import media, packing, pii, quality, toxicity, urls, words
 from askwell.llm.bpe import ByteBpe, decode_documents, default_vocabulary, encode_documents, round_trip_digests
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -42,13 +43,27 @@ def test_bpe_frames(spark):
     assert round_trip_digests(docs.limit(0)).count() == 0
 
 
-def test_word_ids_are_the_library():
-    own, library = packing.WordIds(packing.default_vocabulary(), cache_entries=700), tokenizers.Tokenizer.from_file(packing.default_vocabulary())
-    many = texts()
-    for at in range(0, len(many), 100):
-        some = many[at : at + 100]
-        for t, got in zip(some, own.encode_many(some), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+def word_texts():
+    random.seed(2)
+    alphabet = list("abcdeABCDE'''  \n\tstmdrevl0123!?.,-_ÉéÜß×÷ñŁłĮįİĐ\u0301\u00a0\u2003漢😀\x1c\0ſΣ")
+    alphabet += ["'s", "'re", "<|", "|>", "<|endoftext|>", "   ", "word", "THE", "don't", "x'll", "''s"]
+    return ["".join(random.choices(alphabet, k=random.randint(0, 60))) for _ in range(4000)]
+
+
+def test_word_ids_are_the_library(monkeypatch):
+    library = tokenizers.Tokenizer.from_file(packing.default_vocabulary())
+    many = [None, *texts(), *word_texts(), "=" * 100, "é" * 40, "a" * 17 + " " + "b" * 16, "'"]
+    for chunk, bits in ((words.CHUNK, 20), (300, 12)):  # the second table is cleared time and again
+        monkeypatch.setattr(words, "CHUNK", chunk)
+        own = words.WordIds(packing.default_vocabulary(), bits)
+        assert own.known
+        for at in range(0, len(many), 500):
+            some = many[at : at + 500]
+            ids, begins = own.encode_many(pa.array(some, pa.string()), 2)
+            for k, t in enumerate(some):
+                assert ids[begins[k] : begins[k + 1]].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2], t
+    own.known = False
+    assert own.encode("It's a test") == library.encode("It's a test", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("kind", media.FILTERS)
