@@ -16,8 +16,8 @@ rounds and can be spread out, a collection consists of short pieces that meet be
 Copies of a whole text (their documents share a SHA-256) are taken out before; all but the smallest id lose every byte.
 
 The texts lie once, compressed, in slices of some ``SLICE_BYTES`` in a table bucketed by part, which the three passes over them read
-without a shuffle. There is a part for every ``PART_BYTES`` of text, however large the table, and a pass opens one slice
-at a time and hashes it in blocks; so what a task holds is bounded by ``PART_BYTES`` and by the longest text.
+without a shuffle. A part has at most ``PART_BYTES[1]`` of text, however large the table, and a pass opens one slice
+at a time and hashes it in blocks; so what a task holds is bounded by that and by the longest text.
 
 Defined results: a null text is an empty one; texts shorter than a window are kept; rows of one id are never repeats of each other; a
 null id counts as larger than all; an empty table gives no rows; other columns don't matter, whatever their names.
@@ -41,8 +41,9 @@ from askwell.llm.common import map_batches, new_path, remove_path, removed, slic
 WINDOW = 50
 K = 16
 REACH = WINDOW - K
-#: Bytes of text in a slice, in a part (all of it, before copies are taken out), and hashed at once.
-SLICE_BYTES, PART_BYTES, BLOCK = 1 << 20, 1 << 24, 1 << 16
+#: Bytes of text in a slice, in a part (before copies are taken out; from the first to the second number, a 4096th of the table between them), and
+#: hashed at once.
+SLICE_BYTES, PART_BYTES, BLOCK = 1 << 20, (1 << 22, 1 << 24), 1 << 16
 WIDE = 20_000
 #: Strings of one collection, but for anchors with more.
 COLLECTION = 8_000
@@ -454,13 +455,14 @@ def _asked(told: pa.Table) -> dict[int, np.ndarray]:
 class Repeats:
     """The plan for one table with the columns ``doc_id`` and ``text``; ``close`` deletes what it has written."""
 
-    def __init__(self, docs: DataFrame, wide: int = WIDE, collection: int = COLLECTION, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE_BYTES):
+    def __init__(self, docs: DataFrame, wide: int = WIDE, collection: int = COLLECTION, part_bytes: int | None = None, slice_bytes: int = SLICE_BYTES):
         self.spark, self.docs = docs.sparkSession, docs
         self.name, self.path, self.made = f"askwell_slices_{uuid.uuid4().hex}", new_path(docs.sparkSession, "slices"), []
         try:
             self.digests = self._written(self._digests(), "digests")
             size = self.digests.where(f"{_SIZE} >= {WINDOW}").agg(F.sum(_SIZE)).first()[0]
-            self.n = n = max(1, -(-(size or 0) // part_bytes))
+            size = size or 0
+            self.n = n = max(1, -(-size // (part_bytes or min(PART_BYTES[1], max(PART_BYTES[0], size // 4096)))))
             self._write_slices(slice_bytes)
             self.slices = self.spark.table(self.name)
             texts = self.slices.select("part", "number", "ids", "lengths", "z").groupBy("part")
