@@ -2,25 +2,29 @@
 
 Every find is validated, read as a number in its kind's domain, permuted there by a Feistel network keyed by the kind, and written
 back in the same format: separators, letter case and length stay, check digits and dates stay valid. A permutation is one to one,
-so equal values have equal pseudonyms in all documents and different values different ones; walking the cycle keeps results in the
-domain. The network's round function is BLAKE2b with a secret key; the default key is public and only fit for tests.
+so equal values have equal pseudonyms in all documents and different values of one format different ones; walking the cycle keeps results in the
+format. The network's round function is BLAKE2b with a secret key: that of the session's setting ``spark.askwell.pseudonym.key``, or else one
+that is drawn for the application and known to no one, so that its pseudonyms are linked with one another but with no other run's.
 
 Kinds: payment card numbers (13 to 19 digits with a valid Luhn digit), bank account numbers (IBAN, valid check), telephone
 numbers (North American plan, or a plus and 8 to 15 digits), social security numbers, IPv4 addresses, dates (ISO, or day and month
-before the year, valid in the calendar), and, as numbers over their alphabets, the local parts of mail addresses and
-credentials (access keys, values after ``password=`` or ``token =`` and the like).
+before the year, valid in the calendar, days and months of one digit or two; each of these forms is a format of its own), and, as numbers over
+their alphabets, the local parts of mail addresses and credentials (access keys, values after ``password=`` or ``token =`` and the like; of
+letters alone only behind an equals sign).
 
 A card or bank account number may be read together with the groups behind it (a code, a year, a currency). If a find is not valid, its
 shorter readings are tried, the longest first, which end where a group ends; if none is valid, search goes on behind the find's first character.
 
-Defined results: null texts stay null, empty ones empty; whole texts are read; texts without finds are returned as they are; a value
-whose pseudonym would be itself is permuted once more under another tweak; all other columns pass through, whatever their names.
+Defined results: null texts stay null, empty ones empty; whole texts are read; texts without finds are returned as they are; of up to
+``SMALL`` values none is its own pseudonym, of more one may be, by a chance of one in their number; repeated rows and equal values get equal
+pseudonyms; an empty table gives no rows; all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -32,12 +36,14 @@ from pyspark.sql import types as T
 
 from askwell.llm.common import slices, table
 
-DEFAULT_KEY = b"askwell: a public key, for tests only"
+KEY_SETTING = "spark.askwell.pseudonym.key"
 ROUNDS = 8
+#: Permutations of as many numbers at most are tables, without a fixed point.
+SMALL = 4096
 FIRST_DAY, DAYS = date(1900, 1, 1), 73_049  # to the end of 2099
 
 #: Nothing of any kind lacks all of these.
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@=]")
 _FINDS = re.compile(
     r"""(?P<mail>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
     |(?P<access>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)
@@ -81,6 +87,22 @@ class Feistel:
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self.table = lru_cache(maxsize=256)(self._table)
+
+    def _table(self, n: int, tweak: str) -> list[int]:
+        """The permutation of a small domain, its fixed points moved: round among themselves, a single one in exchange with the next number."""
+        out = [self.permute(x, n, tweak) for x in range(n)]
+        fixed = [x for x in range(n) if out[x] == x]
+        if len(fixed) == 1 and n > 1:
+            fixed.append((fixed[0] + 1) % n)
+        moved = [out[x] for x in fixed[1:] + fixed[:1]]
+        for x, y in zip(fixed, moved, strict=True):
+            out[x] = y
+        return out
+
+    def moved(self, x: int, n: int, tweak: str) -> int:
+        """As ``permute``; in small domains never ``x`` itself (but where there is nothing else)."""
+        return self.table(n, tweak)[x] if n <= SMALL else self.permute(x, n, tweak)
 
     def permute(self, x: int, n: int, tweak: str, back: bool = False) -> int:
         if n < 2:
@@ -117,7 +139,7 @@ def iban_check(country: str, rest: str) -> str:
 class Pseudonyms:
     """Replaces the finds of a text; keeps a bounded number of values it has seen."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.feistel = Feistel(key)
         self.known = lru_cache(maxsize=100_000)(self._of)
 
@@ -126,7 +148,7 @@ class Pseudonyms:
         own = "".join(c for c in text if c.isdigit())
         new = own
         while True:
-            new = f"{self.feistel.permute(int(new), 10 ** len(own), tweak):0{len(own)}d}"
+            new = f"{self.feistel.moved(int(new), 10 ** len(own), tweak):0{len(own)}d}"
             if fits(new):
                 break
         return _in_places(text, new)
@@ -138,7 +160,7 @@ class Pseudonyms:
         for c, b in zip(text, bases, strict=True):
             if b > 1:
                 x, n = x * b + (int(c) if b == 10 else ord(c.lower()) - 97), n * b
-        x, out = self.feistel.permute(x, n, tweak), []
+        x, out = self.feistel.moved(x, n, tweak), []
         for c, b in zip(reversed(text), reversed(bases), strict=True):
             if b > 1:
                 x, d = divmod(x, b)
@@ -148,19 +170,14 @@ class Pseudonyms:
 
     def _of(self, kind: str, text: str) -> str | None:
         """The pseudonym of a find, or None if it is not valid."""
-        out = self._once(kind, text, kind)
-        return self._once(kind, text, kind + "'") if out == text else out
-
-    def _once(self, kind: str, text: str, tweak: str) -> str | None:
+        tweak = kind
         if kind == "mail":
             local, at, host = text.rpartition("@")
             return self._letters(local, tweak) + at + host
         if kind == "access":
             return text[:4] + self._letters(text[4:], tweak)
         if kind == "value":
-            if not any(map(str.isdigit, text)):
-                return None
-            if re.fullmatch("[0-9a-f]+", text):
+            if re.fullmatch("[0-9a-f]+", text) and any(map(str.isdigit, text)):
                 return f"{self.feistel.permute(int(text, 16), 16 ** len(text), tweak):0{len(text)}x}"
             return self._letters(text, tweak)
         if kind == "iban":
@@ -196,6 +213,7 @@ class Pseudonyms:
         return _in_places(text, plain[:2] + self._digits(plain[2:], tweak)) if 8 <= len(plain) <= 15 else None
 
     def _day(self, text: str, tweak: str) -> str | None:
+        """Another day, written as this one is: so many digits, the month or the day first."""
         sep = next(c for c in text if not c.isdigit())
         parts = text.split(sep)
         y, m, d = parts if sep == "-" else (parts[2], parts[1], parts[0])
@@ -208,8 +226,12 @@ class Pseudonyms:
             return None
         if not 0 <= x < DAYS:
             return None
-        new = FIRST_DAY + timedelta(days=self.feistel.permute(x, DAYS, tweak))
-        day, month = f"{new.day:02d}", f"{new.month:02d}"
+        while True:
+            x = self.feistel.permute(x, DAYS, f"{tweak}{len(m)}{len(d)}{swapped}")
+            new = FIRST_DAY + timedelta(days=x)
+            if (new.month < 10 or len(m) == 2) and (new.day < 10 or len(d) == 2) and (new.day > 12 or not swapped):
+                break
+        day, month = f"{new.day:0{len(d)}d}", f"{new.month:0{len(m)}d}"
         return f"{new.year:04d}-{month}-{day}" if sep == "-" else sep.join((*((month, day) if swapped else (day, month)), f"{new.year:04d}"))
 
     def replace(self, text: str | None) -> tuple[str | None, int]:
@@ -221,6 +243,8 @@ class Pseudonyms:
             kind = next(k for k in ("value", "mail", "access", "iban", "ip", "day", "ssn", "card", "phone") if m[k] is not None)
             start, new = m.start(kind), None
             for reading in _readings(kind, m[kind]):
+                if kind == "value" and not any(map(str.isdigit, reading)) and "=" not in m["secret"]:
+                    continue  # behind a colon it may be a word of the text
                 new = self.known(kind, reading)
                 if new is not None:
                     break
@@ -244,8 +268,18 @@ def pseudonyms(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting, or one drawn once for the application."""
+    named = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    return named.encode() if named else _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes | None = None, count_col: str | None = None) -> DataFrame:
     """All columns of ``df``, the text with its pseudonyms; with ``count_col``, how many each text got, in place of a column of that name."""
+    key = session_key(df.sparkSession) if key is None else key
     df = df.drop(count_col) if count_col else df
     names = df.columns
     at = names.index(text_col)
