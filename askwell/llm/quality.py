@@ -1,15 +1,19 @@
 """Quality by co-training a text view and a metadata view.
 
-Text view: shares of character classes, of repeated words and lines, word lengths. Metadata view: source, language, length.
-Each has a logistic model. In every round either model labels the unlabelled texts that it is most sure of, at most
-``PER_ROUND`` of each class and only beyond ``SURE``, and they join the *other* view's training rows. Then each view's logits are
-calibrated on rows held out from its model (out of fold), and a logistic model of the calibrated logits combines the views.
+Text view: shares of character classes, of repeated words, word lengths. Metadata view: source, language, length, and the page's layout: how
+many lines it has, how long they are, how many are alike. Each has a logistic model. In every round either model labels the unlabelled texts
+that it is most sure of, at most ``PER_ROUND`` of each class and only beyond ``SURE``, and they join the *other* view's training rows.
+
+Then each view is judged on labelled rows held out from its model, which is fitted as the final one is, with the rows it was given: a
+view keeps these only if they don't make its loss there worse. On the held-out logits the views are calibrated, and a logistic
+model with weights that aren't negative combines them; it is fitted on logits whose calibration has not seen the row's fold.
 
 The models are fitted on at most ``LABELLED`` labelled rows of each class (smallest hashes of the id). Mean and scale of the text
 features are those of all documents, and in every round all unlabelled documents are judged; all documents are scored, whole.
 
-Defined results: null and empty texts have zero features; unknown sources share hashed slots; without labels, or with labels of one
-class, the chance is that of the smoothed rate; repeated rows are scored alike; extra columns are left alone.
+Defined results: null and empty texts have zero text features; unknown sources share hashed slots; without labels, or with labels of one
+class, the chance is that of the smoothed rate; of several labels of an id the largest counts; repeated rows are scored alike; documents of equal
+chances are taken by their ids; an empty table gives no rows; only the named columns are returned, whatever others there are.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import map_batches, slices, table, written
-from askwell.llm.linear import calibration, fit_logistic, out_of_fold, sigmoid
+from askwell.llm.common import map_batches, removed, slices, table, written
+from askwell.llm.linear import calibration, combination, fit_logistic, sigmoid
 
 LABELLED = 3000
 CO_ROUNDS, PER_ROUND, SURE = 4, 200, 0.97
@@ -35,31 +39,43 @@ SLOTS = 64
 _PUNCTUATION = b"|!%*$&#<>{}[]()=_~^+/\\;:.,?-'\""
 
 
+#: Numbers of features of the views.
+TEXT, LAYOUT = len(_PUNCTUATION) + 11, 6
+META = SLOTS + 16 + 24 + LAYOUT
+
+
 def text_features(text: str | None) -> list[float]:
     """The text view of one whole text."""
     data = (text or "").encode()
     n = len(data)
     if not n:
-        return [0.0] * (len(_PUNCTUATION) + 15)
-    seen = np.bincount(np.frombuffer(data, "u1"), minlength=256)
-    words, lines = text.split(), text.split("\n")
+        return [0.0] * TEXT
+    share = np.bincount(np.frombuffer(data, "u1"), minlength=256) / n
+    words = text.split()
     k = len(words) or 1
-    share = seen / n
     out = [*np.sqrt(share[list(_PUNCTUATION)])]
-    out += [np.sqrt(share[48:58].sum()), np.sqrt(share[65:91].sum()), share[97:123].sum(), share[128:].sum(), np.sqrt(share[10]), share[32]]
-    out += [len(set(words)) / k, len(set(lines)) / len(lines), np.sqrt(sum(map(str.__eq__, words, words[1:])) / k)]
-    out += [min(20.0, n / k) / 20, np.log1p(k) / 10, np.log1p(len(lines)) / 10, min(1.0, k / len(lines) / 100), float(seen[46] == 0), min(1.0, max(map(len, words), default=0) / 100)]
+    out += [np.sqrt(share[48:58].sum()), np.sqrt(share[65:91].sum()), share[97:123].sum(), share[128:].sum(), share[32]]
+    out += [len(set(words)) / k, np.sqrt(sum(map(str.__eq__, words, words[1:])) / k)]
+    out += [min(20.0, n / k) / 20, np.log1p(k) / 10, float(share[46] == 0), min(1.0, max(map(len, words), default=0) / 100)]
     return out
 
 
-def metadata_features(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """The metadata view: hashed source and language, and length in steps."""
-    out = np.zeros(SLOTS + 16 + 24)
+def layout_features(text: str | None) -> list[float]:
+    """Of the lines alone."""
+    size = [*map(len, lines := (text or "").split("\n"))]
+    n = len(size)
+    return [np.log1p(n) / 10, np.log1p(sum(size) / n) / 10, np.log1p(max(size)) / 15, len(set(lines)) / n, sum(x == 0 for x in size) / n, sum(0 < x < 40 for x in size) / n]
+
+
+def metadata_features(source: str | None, lang: str | None, n_chars: int | None, text: str | None) -> np.ndarray:
+    """The metadata view: hashed source and language, length in steps, layout."""
+    out = np.zeros(META)
     out[zlib.crc32((source or "").encode()) % SLOTS] = 1
     out[SLOTS + zlib.crc32((lang or "").encode()) % 16] = 1
     size = np.log2(1 + max(0, n_chars or 0))
     out[SLOTS + 16 + min(22, int(size))] = 1
-    out[-1] = size / 20
+    out[SLOTS + 16 + 23] = size / 20
+    out[-LAYOUT:] = layout_features(text)
     return out
 
 
@@ -91,28 +107,58 @@ class Views:
 Given = tuple[int, int, np.ndarray, np.ndarray]
 
 
+def fold_of(ids: np.ndarray) -> np.ndarray:
+    """A fixed fold for each id, so that rows of one id share it."""
+    return ((ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)).astype("i8")
+
+
+def log_loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y == 1, -z, z)))) if len(y) else 0.0
+
+
 def co_train(
-    x: np.ndarray, m: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, surest: Callable[[int, np.ndarray, list[int]], list[Given]], rounds: int = CO_ROUNDS
+    x: np.ndarray, m: np.ndarray, y: np.ndarray, fold: np.ndarray, mean: np.ndarray, scale: np.ndarray, surest: Callable[[int, np.ndarray, list[int]], list[Given]], rounds: int = CO_ROUNDS
 ) -> Views:
     """``x``, ``m``: labelled rows' views; ``surest(k, weights, but)``: those of all unlabelled documents that view k is surest of, without some ids."""
     base = Views(mean, scale, np.zeros(0), np.zeros(0), ((1, 0), (1, 0)), np.zeros(0), (0, 0))
     views = [base.spread(x), m]
     taken: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]  # unlabelled rows that each view was given: label and the view's features
 
-    def model(k: int) -> np.ndarray:
-        given = [*taken[k].values()]
-        rows = np.concatenate([views[k], *(f[None] for _, f in given)])
-        return fit_logistic(rows, np.concatenate([y, [label for label, _ in given]]), shrink=1e-3, weight=np.append(np.ones(len(y)), np.full(len(given), 0.5)))
-
-    for _ in range(rounds if len(y) and y.min() < y.max() else 0):
+    def model(k: int, without: int | None = None) -> np.ndarray:
+        own, given = fold != without if without is not None else np.ones(len(y), bool), [*taken[k].values()]
+        rows = np.concatenate([views[k][own], *(f[None] for _, f in given)])
+        return fit_logistic(rows, np.concatenate([y[own], [label for label, _ in given]]), shrink=1e-3, weight=np.append(np.ones(own.sum()), np.full(len(given), 0.5)))
+
+    def held_out(k: int) -> np.ndarray:
+        z = np.zeros(len(y))
+        for f in range(FOLDS):
+            w, own = model(k, f), fold == f
+            z[own] = views[k][own] @ w[:-1] + w[-1]
+        return z
+
+    if not len(y) or y.min() == y.max():
+        alone = model(0)
+        return Views(mean, scale, alone, model(1), ((1.0, 0.0), (0.0, 0.0)), np.array([1.0, 0.0, 0.0]), (0, 0))
+    for _ in range(rounds):
         for k in (0, 1):
             for i, label, fx, fm in surest(k, model(k), [*taken[1 - k]]):
                 taken[1 - k][i] = label, fm if k == 0 else base.spread(fx[None])[0]
-    held = [out_of_fold(v, y.astype(float), FOLDS, shrink=1e-3) if len(y) else np.zeros(0) for v in views]
-    ways = [calibration(z, y) if len(y) else (1.0, 0.0) for z in held]
-    z = np.stack([a * h + b for h, (a, b) in zip(held, ways, strict=True)], 1) if len(y) else np.zeros((0, 2))
-    both = fit_logistic(z, y.astype(float), shrink=1e-4, rounds=300)
-    return Views(mean, scale, model(0), model(1), (ways[0], ways[1]), both, (len(taken[0]), len(taken[1])))
+    held = []
+    for k in (0, 1):
+        z, given = held_out(k), taken[k]
+        taken[k] = {}
+        if given and log_loss(z, y) <= log_loss(before := held_out(k), y):
+            taken[k] = given
+        elif given:
+            z = before
+        held.append(z)
+    z = np.zeros((len(y), 2))
+    for f in range(FOLDS):  # calibrated without the fold
+        for k in (0, 1):
+            a, b = calibration(held[k][fold != f], y[fold != f])
+            z[fold == f, k] = a * held[k][fold == f] + b
+    ways = [calibration(h, y) for h in held]
+    return Views(mean, scale, model(0), model(1), (ways[0], ways[1]), combination(z, y), (len(taken[0]), len(taken[1])))
 
 
 _META = ("source", "lang", "n_chars")
@@ -120,11 +166,11 @@ _META = ("source", "lang", "n_chars")
 
 def _views(batch: pa.RecordBatch, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
     text, source, lang, n = (batch.column(i).to_pylist() for i in at)
-    x = np.array([text_features(t) for t in text]).reshape(len(text), len(_PUNCTUATION) + 15)
-    return x, np.array([metadata_features(*r) for r in zip(source, lang, n, strict=True)]).reshape(len(text), SLOTS + 40)
+    x = np.array([text_features(t) for t in text]).reshape(len(text), TEXT)
+    return x, np.array([metadata_features(*r) for r in zip(source, lang, n, text, strict=True)]).reshape(len(text), META)
 
 
-_WIDTHS = (len(_PUNCTUATION) + 15, SLOTS + 40)
+_WIDTHS = (TEXT, META)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -204,9 +250,9 @@ def _surest(pool: DataFrame, mean: np.ndarray, scale: np.ndarray) -> Callable[[i
     return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Views:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = CO_ROUNDS) -> Views:
     """Both views, from a bounded sample of the labelled rows and all unlabelled documents; the features of all are written once."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").dropna().dropDuplicates(["doc_id"])
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     every = written(_features(docs), "quality")
     parts = [rows.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled) for y in (0, 1)]
     chosen = every.join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most 2 * labelled ids
@@ -215,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Views:
     y = np.array([r[1] for r in got], "i8")
     mean, scale = _mean_and_scale(every)
     pool = written(every.where("doc_id is not null").join(rows, "doc_id", "left_anti"), "quality-pool")
-    return co_train(x, m, y, mean, scale, _surest(pool, mean, scale))
+    views = co_train(x, m, y, fold_of(np.array([r[0] for r in got], "i8")), mean, scale, _surest(pool, mean, scale), rounds)
+    removed(every, pool)
+    return views
 
 
 def score_documents(docs: DataFrame, views: Views) -> DataFrame:
