@@ -1,7 +1,7 @@
 """From raw documents to packed training windows: each stage works on all that the one before it kept.
 
-``ORACLE_SQL`` is None: fingerprints, transforms and tokenisers are not expressible in SQL; the tests compare the stages with
-brute force on small tables.
+``ORACLE_SQL`` is None: fingerprints, transforms and tokenisers are not expressible in SQL; the tests compare near-duplicates, repeats
+and packing with brute force on the smallest table, and the other stages with their operators' own rules.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askwell.llm import packing, pii, repeats, similar, toxicity
-from askwell.llm.common import table, written
+from askwell.llm.common import removed, table, written
 
 ORACLE_SQL = None
 
@@ -52,10 +52,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read by the next."""
+    """All stages over ``documents``; each result is written to the shared folder, read by the next, and removed behind it."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+        if k:
+            removed(before)  # the last stage has read it, too: it packs a written table of tokens
     return docs
