@@ -56,7 +56,10 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 
 def simhash(text: str | None, k: int = 3) -> int:
     """The 64-bit fingerprint: a bit is one if it is set in over half the shingles' hashes."""
-    hashes = shingle_hashes(text, k)
+    return majority(shingle_hashes(text, k))
+
+
+def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     seen = np.bincount((hashes.view("u1").reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)

@@ -1,6 +1,8 @@
 """Near-duplicate groups of documents: all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what they join.
 
-Documents with equal sets are one first. Then prefix filtering: in any one order of all shingles, two sets of n and m shingles with a similarity
+Documents with equal sets are one first. Then the SimHash operator proposes pairs: fingerprints of the shingles within two bits, found by their
+Golay-code keys. At a similarity of 0.8 two fingerprints differ in some ten bits, more than any keys of the code lead together, so
+SimHash alone cannot find all pairs. An exact way finds the rest, prefix filtering: in any one order of all shingles, two sets of n and m shingles with a similarity
 of t share a shingle among the first ``n - ceil(t n) + 1`` of the one and the first ``m - ceil(t m) + 1`` of the other. These shingles are
 the keys, so every such pair meets. The order puts shingles that are common in some stretch of the input last, which keeps keys small; it
 changes the time and not the result. Pairs that meet have to pass two tests, of what their places leave to share under the first key they have in
@@ -25,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwell.llm.common import checkpointed, map_batches, slices, written
+from askwell.llm.common import checkpointed, map_batches, removed, slices, written
 from askwell.llm.components import connected_components
-from askwell.llm.simhash import shingle_hashes
+from askwell.llm.simhash import fingerprint_links, majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of more documents go by groups.
@@ -107,22 +109,24 @@ def prefix_of(hashes: np.ndarray, common: np.ndarray, level: np.ndarray, similar
 
 
 def _signatures(docs: DataFrame, similarity: float) -> DataFrame:
-    """``(doc_id, digest, n, bits, prefix)`` of every row."""
+    """``(doc_id, digest, n, bits, fp, prefix)`` of every row; ``fp`` is the SimHash fingerprint."""
     known = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = known.value
         for b in slices(batches):
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            hashes = [shingle_hashes(t, SHINGLE) for t in b.column(1).to_pylist()]
+            sets = [*map(np.unique, hashes)]
             cols = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([*map(len, sets)], pa.int32()),
                 pa.array([*map(min_bits, sets)], pa.int64()),
+                pa.array(np.array([*map(majority, hashes)], "u8").view("i8")),
                 pa.array([prefix_of(s, common, level, similarity).tobytes() for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "digest", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "digest", "n", "bits", "fp", "prefix"])
 
-    return map_batches(_texts(docs), run, "doc_id long, digest binary, n int, bits long, prefix binary")
+    return map_batches(_texts(docs), run, "doc_id long, digest binary, n int, bits long, fp long, prefix binary")
 
 
 _ROW = ("key", "doc", "n", "pos", "bits")
@@ -255,7 +259,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, similarity:
     table = written(map_batches(_texts(docs).join(wanted, "doc_id"), sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "shingles")
     both = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    return checkpointed(map_batches(both, compare, "a long, b long"))
+    out = checkpointed(map_batches(both, compare, "a long, b long"))
+    removed(table)
+    return out
+
+
+def _proposed(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of documents ``(doc_id, fp)`` whose fingerprints differ in two bits at most: through the document of the smallest id of each."""
+    reps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    equal = rows.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return equal.union(fingerprint_links(reps).select("a", "b"))
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -264,12 +277,16 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     chosen = checkpointed(signatures.groupBy("doc_id").agg(F.min("digest").alias("digest")))
     firsts = checkpointed(chosen.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
     copies = chosen.withColumnRenamed("doc_id", "a").join(firsts.withColumnRenamed("doc_id", "b"), "digest").where("a <> b").select("a", "b")
-    met = written(_meet(_keys(signatures.join(firsts, ["doc_id", "digest"])), similarity), "met")
-    links = _verified(met.where("other is not null").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct(), docs, firsts, similarity)
+    one = signatures.join(firsts, ["doc_id", "digest"])
+    met = written(_meet(_keys(one), similarity), "met")
+    found = met.where("other is not null").select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b"))
+    links = _verified(found.union(_proposed(one.select("doc_id", "fp"))).distinct(), docs, firsts, similarity)
     crowds = met.where("other is null").select(*_ROW)
     if not crowds.isEmpty():
         links = links.union(_verified(_between_groups(crowds, connected_components(links), similarity), docs, firsts, similarity))
-    return connected_components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    out = connected_components(links.union(copies))
+    removed(signatures, met)
+    return out.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
