@@ -1,7 +1,7 @@
 """Lexical and dense ranking of passages, fusion and recall.
 
-BM25 is per document: its passages are the collection. The texts are reduced to the queries' terms before anything is shuffled:
-each passage counts just those terms, in its own row, and one shuffle by ``doc_id`` gives lengths, frequencies and ranks.
+BM25 is per document: its passages are the collection. Passages are reduced to the queries' terms in their own rows, and one shuffle by
+``doc_id`` gives lengths, frequencies and ranks; no join follows.
 """
 
 from __future__ import annotations
@@ -43,21 +43,20 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_l", F.size(terms("text"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("_l"), 6).alias("avgdl"))
 
 
-def bm25_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(doc_id, index, qid, score)`` of every passage and query ``(qid, text)``; without a hit the score is 0.
+def with_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFrame:
+    """``chunks`` with ``_scores``, the BM25 scores of the queries ``(qid, text)`` in order; without a hit a score is 0.
 
     A query's repeated term counts again; terms that no passage has add nothing.
     """
-    rows = chunks.withColumn("_t", terms("text")).withColumn("_len", F.size("_t"))
-    vocabulary = sorted({t for _, q in queries for t in query_terms(q)})
-    if not vocabulary:
-        vocabulary = [""]
+    vocabulary = sorted({t for _, q in queries for t in query_terms(q)}) or [""]
     listed = ", ".join(f"'{t}'" for t in vocabulary)
-    rows = rows.withColumn("_tf", F.expr(f"transform(array({listed}), __q -> size(filter(_t, __t -> __t = __q)))")).drop("_t", "text")
+    rows = chunks.withColumn("_t", terms("text")).withColumn("_len", F.size("_t"))
+    # Only the queries' terms are counted one by one.
+    rows = rows.withColumn("_h", F.expr(f"filter(_t, __t -> __t in ({listed}))"))
+    rows = rows.withColumn("_tf", F.expr(f"transform(array({listed}), __q -> size(filter(_h, __t -> __t = __q)))")).drop("_t", "_h")
     doc = W.partitionBy("doc_id")
-    rows = rows.withColumn("_n", F.count("*").over(doc)).withColumn("_avg", F.avg("_len").over(doc))
-    for k in range(len(vocabulary)):
-        rows = rows.withColumn(f"_df{k}", F.sum(F.when(F.col("_tf")[k] > 0, 1).otherwise(0)).over(doc))
+    seen = {f"_df{k}": F.sum(F.when(F.col("_tf")[k] > 0, 1).otherwise(0)).over(doc) for k in range(len(vocabulary))}
+    rows = rows.withColumns({"_n": F.count("*").over(doc), "_avg": F.avg("_len").over(doc), **seen})
 
     def weight(k: int) -> str:
         idf = f"ln(1 + (_n - _df{k} + 0.5D) / (_df{k} + 0.5D))"
@@ -65,8 +64,27 @@ def bm25_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFr
         return f"(case when {tf} = 0 then 0D else {idf} * {tf} * {K1 + 1}D / ({tf} + {K1}D * ({1 - B}D + {B}D * _len / _avg)) end)"
 
     at = {t: k for k, t in enumerate(vocabulary)}
-    scores = [f"struct('{qid}' as qid, {' + '.join([weight(at[t]) for t in query_terms(q)]) or '0D'} as score)" for qid, q in queries]
-    return rows.select("doc_id", "index", F.explode(F.expr(f"array({', '.join(scores)})")).alias("s")).select("doc_id", "index", "s.qid", "s.score")
+    scores = [" + ".join([weight(at[t]) for t in query_terms(q)]) or "0D" for _, q in queries]
+    return rows.withColumn("_scores", F.expr(f"array({', '.join(scores)})")).drop("_tf", "_len", "_n", "_avg", *seen)
+
+
+def bm25_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(doc_id, index, qid, score)`` of every passage and query ``(qid, text)``."""
+    qids = F.array(*(F.lit(qid) for qid, _ in queries))
+    rows = with_scores(chunks.select("doc_id", "index", "text"), queries).drop("text")
+    return rows.select("doc_id", "index", F.posexplode("_scores").alias("_q", "score")).select("doc_id", "index", qids[F.col("_q")].alias("qid"), "score")
+
+
+def asked_by(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int) -> DataFrame:
+    """``chunks`` that are among the k best of their document for some query, with ``_asked``, the ids of these queries.
+
+    Texts move once, to their document's partition; there scores and all queries' ranks are computed.
+    """
+    rows = with_scores(chunks, queries)
+    ranks = {f"_r{j}": F.row_number().over(W.partitionBy("doc_id").orderBy(F.round(F.col("_scores")[j], 9).desc(), "index")) for j in range(len(queries))}
+    rows = rows.withColumns(ranks)
+    chosen = F.array_compact(F.array(*(F.when(F.col(f"_r{j}") <= k, F.lit(qid)) for j, (qid, _) in enumerate(queries))))
+    return rows.withColumn("_asked", chosen).where(F.size("_asked") > 0).drop("_scores", *ranks)
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from askwell.operators.ask import ask
 from askwell.operators.chunking import check_windows, chunked
-from askwell.operators.scoring import LexicalScorer, Question
+from askwell.operators.scoring import Question, Scorer
 
 
 class Index:
@@ -24,7 +24,7 @@ class Index:
 class Engine:
     """Cuts documents into passages and asks typed questions of them."""
 
-    def __init__(self, chunk_tokens: int = 750, stride: int | None = None, gate: str | bool = "auto", mode: str = "tokens", prefilter: str | None = None, top_k: int = 1, sep: str = "\n\n", scorer: LexicalScorer | None = None):
+    def __init__(self, chunk_tokens: int = 750, stride: int | None = None, gate: str | bool = "auto", mode: str = "tokens", prefilter: str | None = None, top_k: int = 1, sep: str = "\n\n", scorer: Scorer | None = None, template: str | None = None):
         if mode not in ("tokens", "paragraphs"):
             raise ValueError(f"no such mode: {mode}")
         if prefilter not in (None, "bm25"):
@@ -32,14 +32,14 @@ class Engine:
         if top_k < 1:
             raise ValueError("top_k >= 1 is needed")
         self.chunk_tokens, self.stride = chunk_tokens, check_windows(chunk_tokens, stride or max(1, chunk_tokens // 2))
-        self.gate, self.mode, self.prefilter, self.top_k, self.sep, self.scorer = gate, mode, prefilter, top_k, sep, scorer
+        self.gate, self.mode, self.prefilter, self.top_k, self.sep, self.scorer, self.template = gate, mode, prefilter, top_k, sep, scorer, template
 
     @property
     def params(self) -> tuple:
         return self.mode, self.chunk_tokens, self.stride, self.sep
 
     def chunks(self, docs: DataFrame) -> DataFrame:
-        return chunked(docs, self.mode, self.chunk_tokens, self.stride, self.sep)
+        return chunked(docs, self.mode, self.chunk_tokens, self.stride, self.sep, counted=True)
 
     def index(self, docs: DataFrame) -> Index:
         return Index(self.chunks(docs), self.params)
@@ -51,4 +51,4 @@ class Engine:
             chunks = source.chunks
         else:
             chunks = self.chunks(source)
-        return ask(chunks, questions, self.prefilter, self.top_k, self.gate, agg, self.scorer, detail=detail)
+        return ask(chunks, questions, self.prefilter, self.top_k, self.gate, agg, self.scorer, detail=detail, template=self.template)

@@ -116,9 +116,9 @@ def _check_question(q: dict, m: Limits) -> None:
 
 
 def admit(estimate: DataFrame, limits: Limits | None = None, scan: bool = True) -> DataFrame:
-    """Documents of a row estimate with why they are refused: ``refused`` is null, ``scan`` or ``rows``."""
+    """Documents of a row estimate with why they are refused: ``refused`` is null, ``scan`` (too many passages) or ``rows``."""
     m = limits or Limits()
-    over = f"case when {str(scan).lower()} and scored > {m.max_scan} then 'scan' when rows > {m.max_rows} then 'rows' end"
+    over = f"case when {str(scan).lower()} and n_chunks > {m.max_scan} then 'scan' when rows > {m.max_rows} then 'rows' end"
     return estimate.selectExpr("*", f"{over} as refused")
 
 

@@ -51,20 +51,22 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.paragraphs(_t(spark, sf_dir, "documents"), "\n")
+def _lines(spark: SparkSession, sf_dir: str, counted: bool = False) -> DataFrame:
+    return C.paragraphs(_t(spark, sf_dir, "documents"), "\n", counted=counted)
 
 
 # -- SQL pieces
 
 _SP = "[^ \\t\\n\\r\\f]+"
+# Any character that is not white space in Unicode.
+_INK = "[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 LINES = f"""l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 l1 AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos {_BEFORE}), 0)::BIGINT AS char_start FROM l0),
-l2 AS (SELECT *, len(regexp_extract_all(text, '{_SP}'))::BIGINT AS n FROM l1 WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')),
+l2 AS (SELECT *, len(regexp_extract_all(text, '{_SP}'))::BIGINT AS n FROM l1 WHERE regexp_matches(text, '{_INK}')),
 l3 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos {_BEFORE}), 0)::BIGINT AS tok_start FROM l2),
 passages AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS "index", text, tok_start, tok_start + n AS tok_end, char_start, char_start + length(text) AS char_end FROM l3
- UNION ALL SELECT doc_id, 0, coalesce(text, ''), 0, 0, 0, length(coalesce(text, '')) FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0b]'))"""
+ UNION ALL SELECT doc_id, 0, coalesce(text, ''), 0, 0, 0, length(coalesce(text, '')) FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '{_INK}'))"""
 _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
@@ -203,9 +205,14 @@ def bm25_topk_doc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("doc_id", "qid").agg(listed.alias("passages"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q.qid}', '{S.query_text(q)}', '{S.query_text(q, True)}')" for q in (LANG, ABUSE, DENSITY)) + ") AS t(qid, library, service)")
+@query("""SELECT * FROM (VALUES
+('lang', 'Which language is this passage in the of and to that with der die und ist nicht ein le la les des est dans el los que una para con', 'Which language is this passage in the of and to that with der die und ist nicht ein le la les des est dans el los que una para con'),
+('abuse', 'idiot stupid moron loser clown trash scum', 'idiot stupid moron loser clown trash scum'),
+('density', 'How dense are the function words of the and to in is for', 'How dense are the function words of the and to in is for'),
+('bare', 'Which one None some meaning', 'Which one some meaning')) AS t(qid, library, service)""")
 def question_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q.qid, S.query_text(q), S.query_text(q, skip_null=True)) for q in (LANG, ABUSE, DENSITY)], "qid string, library string, service string")
+    bare = S.Question("bare", "choice", "Which one", (("a name", None), ("another", "some meaning")))
+    return spark.createDataFrame([(q.qid, S.query_text(q), S.query_text(q, skip_null=True)) for q in (LANG, ABUSE, DENSITY, bare)], "qid string, library string, service string")
 
 
 # -- E: dense ranking, fusion, recall
@@ -320,19 +327,20 @@ def _ask_sql(q: S.Question, mode: str, gate: bool, k: int | None = None) -> str:
     if q.type == "noul":
         v = {"max": "max(p[2])", "any": "1 - product(1 - p[2])", "mean": "sum(p[2] * w)"}[mode]
         ctes.append(f"s4 AS (SELECT doc_id, {v} AS v, {tail} FROM s3 GROUP BY doc_id)")
-        return f"WITH {', '.join(ctes)} SELECT doc_id, '{q.qid}' AS qid, '{mode}' AS agg, round(v, 6) AS answer_value, NULL::VARCHAR AS answer_key, round(greatest(v, 1 - v), 6) AS confidence, n_chunks, n_scored, tokens FROM s4"
+        return f"WITH {', '.join(ctes)} SELECT doc_id, '{q.qid}' AS qid, CASE WHEN n_chunks = 1 THEN 'passthrough' ELSE '{mode}' END AS agg, round(v, 6) AS answer_value, NULL::VARCHAR AS answer_key, round(greatest(v, 1 - v), 6) AS confidence, n_chunks, n_scored, tokens FROM s4"
     mix = "[" + ", ".join(f"sum(p[{i}] * w)" for i in range(1, n + 1)) + "]"
     logs = "[" + ", ".join(f"sum(ln(greatest(0.000001, least(1.0, p[{i}]))) * w)" for i in range(1, n + 1)) + "]"
     ctes.append(f"s4 AS (SELECT doc_id, {mix} AS mix, {logs} AS logs, {tail} FROM s3 GROUP BY doc_id)")
-    ctes.append(f"s5 AS (SELECT *, {_softmax('logs') if mode == 'loglinear' else 'mix'} AS p FROM s4)")
+    loglinear = f"CASE WHEN n_chunks > 1 THEN {_softmax('logs')} ELSE mix END"
+    ctes.append(f"s5 AS (SELECT *, {loglinear if mode == 'loglinear' else 'mix'} AS p FROM s4)")
     value = "round(" + " + ".join(f"{i} * mix[{i + 1}]" for i in range(n)) + ", 6)" if q.type == "score" else "round(list_max(p), 6)"
     key = _best(q.keys, "p") if q.type == "choice" else "NULL::VARCHAR"
-    return f"WITH {', '.join(ctes)} SELECT doc_id, '{q.qid}' AS qid, '{mode}' AS agg, {value} AS answer_value, {key} AS answer_key, round({_entropy('p')}, 6) AS confidence, n_chunks, n_scored, tokens FROM s5"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, '{q.qid}' AS qid, CASE WHEN n_chunks = 1 THEN 'passthrough' ELSE '{mode}' END AS agg, {value} AS answer_value, {key} AS answer_key, round({_entropy('p')}, 6) AS confidence, n_chunks, n_scored, tokens FROM s5"
 
 
 def _ask_query(name: str, q: S.Question, mode: str, gate: bool, k: int | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return A.ask(_lines(spark, sf_dir), [q], "bm25" if k else None, k or 1, gate, {q.qid: mode})
+        return A.ask(_lines(spark, sf_dir, True), [q], "bm25" if k else None, k or 1, gate, {q.qid: mode})
 
     run.__name__ = name
     query(_ask_sql(q, mode, gate, k))(run)
@@ -352,18 +360,30 @@ _ask_query("ask_detector", TWO_WAY, "max", False)
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_ask_sql(q, m, g)})" for q, m, g in ((LANG, "mixture", True), (ABUSE, "max", False), (DENSITY, "mixture", True))))
 def ask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.ask(_lines(spark, sf_dir), [LANG, ABUSE, DENSITY])
+    return A.ask(_lines(spark, sf_dir, True), [LANG, ABUSE, DENSITY])
 
 
-@query()
+# The state's words: those of its note and of its field names, and each passage's answer.
+_STACK_SQL = f"""{_scored(LANG)}, st AS (SELECT doc_id, 'note each part is one section of a longer document judged independently parts relevance answer p ' || string_agg({_best(LANG.keys, 'p')}, ' ') AS text, count(*) AS n, any_value(p) AS own FROM scored GROUP BY doc_id),
+s2 AS (SELECT doc_id, CASE WHEN n = 1 THEN own ELSE {_softmax('z')} END AS p, n FROM (SELECT *, {_logits(LANG)} AS z FROM (SELECT *, {_TERMS} AS t FROM st)))
+SELECT doc_id, CASE WHEN n = 1 THEN 'passthrough' ELSE 'stack' END AS agg, {_best(LANG.keys, 'p')} AS answer_key, round(list_max(p), 6) AS answer_value, round({_entropy('p')}, 6) AS confidence, n::BIGINT AS n_scored FROM s2"""
+
+
+@query(_STACK_SQL)
 def stack_second_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: the two engines write the JSON summary with other number formats."""
-    return A.ask_stacked(_lines(spark, sf_dir), ABUSE).select("doc_id", "qid", F.round(F.col("p")[1], 6).alias("yes"))
+    return A.ask(_lines(spark, sf_dir, True), [LANG], agg={"choice": "stack"}).select("doc_id", "agg", "answer_key", "answer_value", "confidence", "n_scored")
 
 
-@query(f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM passages GROUP BY doc_id) SELECT doc_id, (n * 3)::BIGINT AS scored, (CASE WHEN n > 1 THEN n * 2 ELSE 0 END)::BIGINT AS gates, (n * 3 + CASE WHEN n > 1 THEN n * 2 ELSE 0 END)::BIGINT AS \"rows\", CASE WHEN n * 3 > 256 THEN 'scan' END AS refused FROM n")
+@query(f"WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM passages GROUP BY doc_id) SELECT doc_id, n::BIGINT AS n_chunks, (n * 3)::BIGINT AS scored, (CASE WHEN n > 1 THEN n * 2 ELSE 0 END)::BIGINT AS gates, (n * 3 + CASE WHEN n > 1 THEN n * 2 ELSE 0 END)::BIGINT AS \"rows\", CASE WHEN n > 256 THEN 'scan' WHEN n * 3 + CASE WHEN n > 1 THEN n * 2 ELSE 0 END > 4096 THEN 'rows' END AS refused FROM n")
 def row_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.admit(A.row_estimate(_lines(spark, sf_dir), [LANG, ABUSE, DENSITY]))
+    return V.admit(A.row_estimate(_lines(spark, sf_dir, True), [LANG, ABUSE, DENSITY]))
+
+
+@query(f"WITH {LINES}, n AS (SELECT doc_id, least(count(*), 40) AS n FROM passages GROUP BY doc_id) SELECT doc_id, (n * 3)::BIGINT AS scored, CASE WHEN n * 3 + CASE WHEN n > 1 THEN n * 2 ELSE 0 END > 100 THEN 'rows' END AS refused FROM n")
+def row_estimate_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located passages under a lower limit of rows: the bound on passages is for scans only."""
+    estimate = A.row_estimate(_lines(spark, sf_dir, True), [LANG, ABUSE, DENSITY], "bm25", 40)
+    return V.admit(estimate, V.Limits(max_rows=100, max_scan=1), scan=False).select("doc_id", "scored", "refused")
 
 
 _REQUESTS = (
@@ -393,7 +413,7 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.combined(A.scored_rows(A.selected_passages(_lines(spark, sf_dir), [ABUSE], None, 1), [ABUSE], False), ABUSE, {"abuse": "any"})
+    s = A.ask(_lines(spark, sf_dir, True), [ABUSE], gate=False, agg={"abuse": "any"})
     docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     gold = _t(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("gold"))
     return s.select("doc_id", F.col("answer_value").alias("score")).join(gold, "doc_id").join(docs, "doc_id")
@@ -542,9 +562,9 @@ def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir, ABUSE).where("yes > 0.7").select("doc_id", "index", F.col("yes").alias("p"))
 
 
-@query(f"""{_scored(ABUSE)}, a AS (SELECT doc_id, max(p[2]) AS m FROM scored GROUP BY doc_id) SELECT 0.0::DOUBLE AS max_abs, 0::BIGINT AS unmatched FROM a LIMIT 1""")
+@query(f"""{_scored(ABUSE)}, a AS (SELECT doc_id, round(max(p[2]), 6) AS v FROM scored GROUP BY doc_id), b AS ({_ask_sql(ABUSE, 'max', False)})
+SELECT round(max(abs(a.v - b.answer_value)), 6) AS max_abs, count_if(a.v IS NULL OR b.answer_value IS NULL)::BIGINT AS unmatched FROM a FULL JOIN b USING (doc_id)""")
 def simulation_equals_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest score of a document's passages, from the passage table and from asking."""
-    lines = _lines(spark, sf_dir)
     table = _answers(spark, sf_dir, ABUSE).groupBy("doc_id").agg(F.max("yes").alias("v"))
-    return I.max_abs_difference(table, A.ask(lines, [ABUSE]).select("doc_id", F.col("answer_value").alias("v")), ["doc_id"], "v")
+    return I.max_abs_difference(table, A.ask(_lines(spark, sf_dir, True), [ABUSE]).select("doc_id", F.col("answer_value").alias("v")), ["doc_id"], "v")

@@ -1,13 +1,15 @@
 """Golden values and brute-force comparisons of the engine's operators."""
 
+import json
 import math
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from askwell.functions.vectors import entropy_confidence, softmax
+from askwell.functions.vectors import entropy_confidence, softmax, sums_before
 from askwell.operators import ask as A
 from askwell.operators import builders as J
 from askwell.operators import chunking as C
@@ -98,12 +100,12 @@ def test_vectors(spark):
 
 def test_pools(spark):
     rows = spark.createDataFrame([([0.7, 0.2, 0.1], 0.9), ([0.1, 0.6, 0.3], 0.3)], "p array<double>, g double")
-    rows = rows.withColumn("k", F.lit(1)).withColumn("w", A.normalised("g", "k"))
-    r = rows.groupBy("k").agg(A.choice_mixture("p", "w", 3).alias("m"), A.choice_loglinear_logits("p", "w", 3).alias("l")).withColumn("l", softmax("l")).first()
+    rows = rows.withColumn("k", F.lit(1))
+    r = rows.groupBy("k").agg(A.choice_mixture("p", "g", 3).alias("m"), A.choice_loglinear_logits("p", "g", 3).alias("l")).withColumn("l", softmax("l")).first()
     assert r["m"] == pytest.approx([0.55, 0.30, 0.15])
     assert r["l"] == pytest.approx([0.521528, 0.318981, 0.159491], abs=1e-6)
-    n = spark.createDataFrame([(0.2,), (0.5,), (0.9,)], "p double").withColumn("k", F.lit(1)).withColumn("g", F.lit(0.0)).withColumn("w", A.normalised("g", "k"))
-    r = n.agg(A.noul_any("p").alias("a"), A.noul_mean("p", "w").alias("m"), A.noul_max("p").alias("x")).first()
+    n = spark.createDataFrame([(0.2,), (0.5,), (0.9,)], "p double").withColumn("g", F.lit(0.0))
+    r = n.agg(A.noul_any("p").alias("a"), A.noul_mean("p", "g").alias("m"), A.noul_max("p").alias("x")).first()
     assert (r["a"], r["m"], r["x"]) == pytest.approx((0.96, 0.533333, 0.9), abs=1e-6)
 
 
@@ -127,7 +129,130 @@ def test_ask(spark):
     with pytest.raises(ValueError):
         Engine(chunk_tokens=10).ask(index, [NOUL])
     index.close()
-    assert A.ask_stacked(e.chunks(docs), NOUL).count() == 2
+
+
+class Counting:
+    """A model that writes down how many rows it is asked."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self, texts, q):
+        with open(f"{self.path}/{os.getpid()}", "a") as f:
+            f.write(f"{q.qid}\n" * len(texts))
+        return [[0.0] * (len(q.keys) - 1) + [float(len(t) % 3)] for t in texts]
+
+
+@pytest.mark.parametrize("prefilter", (None, "bm25"))
+def test_rows_scored_are_those_estimated(spark, tmp_path, prefilter):
+    docs = spark.createDataFrame([(1, "the cat sat\n\na dog barked\n\ncat cat"), (2, "a dog")], "doc_id long, text string")
+    chunks = C.paragraphs(docs, counted=True)
+    level = S.Question("s", "score", "how many", (("no cat", None), ("a cat", None)))
+    seen = S.Question("d", "noul", "cat", detector=S.Question("x", "choice", "cat", (("cat", None), ("dog", None))), detector_key="dog")
+    for n, questions in enumerate(([NOUL], [NOUL, PICK], [NOUL, PICK, level, seen])):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        scorer = S.ArrowScorer(lambda folder=str(folder): Counting(folder), 2)
+        got = A.ask(chunks, questions, prefilter, 2, scorer=scorer).collect()
+        assert len(got) == 2 * len(questions)
+        asked = [line for f in folder.iterdir() for line in f.read_text().split()]
+        estimate = A.row_estimate(chunks, questions, prefilter, 2).agg(F.sum("rows")).first()[0]
+        assert len(asked) == estimate and sum(r["n_scored"] for r in got) == sum(not a.endswith("__gate") for a in asked)
+
+
+def test_ids_and_gates_as_they_are(spark):
+    q = S.Question("it's \\ a 'q'", "choice", "which", (("c'at", "cat"), ("d\\og", "dog")))
+    docs = spark.createDataFrame([(1, "the cat sat\n\na dog barked\n\ncat cat"), (2, "a dog")], "doc_id long, text string")
+    for top in (None, "bm25"):
+        got = {r["doc_id"]: r for r in Engine(mode="paragraphs", chunk_tokens=20, prefilter=top, top_k=2).ask(docs, [q, NOUL]).where("qid <> 'n'").collect()}
+        assert got[2]["qid"] == q.qid and got[2]["answer_key"] == "d\\og" and got[1]["answer_key"] == "c'at" and got[2]["agg"] == "passthrough"
+    # Only the passage of the gate's own word is relevant.
+    gated = Engine(mode="paragraphs", chunk_tokens=20, template="dog", scorer=S.LexicalScorer(50.0, 20.0))
+    assert {r["doc_id"]: r["answer_key"] for r in gated.ask(docs, [PICK]).collect()} == {1: "dog", 2: "dog"}
+    with pytest.raises(ValueError):
+        A.ask(C.paragraphs(docs), [NOUL, NOUL]).count()
+
+
+def test_stack(spark):
+    """The second state has the passages by falling relevance with the answers that the first pass gave."""
+    docs = spark.createDataFrame([(1, "the cat sat\n\na dog barked which\n\ncat cat"), (2, "a dog")], "doc_id long, text string")
+    chunks = C.paragraphs(docs, counted=True)
+    level = S.Question("s", "score", "how", (("none", None), ("cat", None)))
+    rows = A.scored_rows(A.selected_passages(chunks, [PICK, level], None, 1), [PICK, level])
+    states = {(r["doc_id"], r["qid"]): json.loads(r["state"]) for r in A.pooled(rows, [PICK, level], {"choice": "stack", "score": "stack"}, states=True).collect()}
+    parts = states[1, "c"]["parts"]
+    gates = {r["index"] + 1: round(r["gate"], 2) for r in rows.where("qid = 'c' and doc_id = 1").collect()}
+    assert [p["part"] for p in parts] == sorted(gates, key=lambda k: (-gates[k], k)) and {p["part"]: p["relevance"] for p in parts} == gates
+    assert {p["part"]: p["answer"] for p in parts} == {1: "cat", 2: "dog", 3: "cat"} and parts[0]["p"] == 0.67
+    assert {p["part"]: p["score"] for p in states[1, "s"]["parts"]} == {1: 0.67, 2: 0.5, 3: 0.67} and states[1, "c"]["note"] == A.STACK_NOTE
+    plain = A.pooled(A.scored_rows(A.selected_passages(chunks, [PICK], None, 1), [PICK], False), [PICK], {"c": "stack"}, states=True, gate=False)
+    assert "relevance" not in json.loads(plain.where("doc_id = 1").first()["state"])["parts"][0]
+    got = {(r["doc_id"], r["qid"]): r for r in A.ask(chunks, [PICK, level], agg={"choice": "stack", "score": "stack"}).collect()}
+    mixed = {(r["doc_id"], r["qid"]): r for r in A.ask(chunks, [PICK, level]).collect()}
+    assert got[1, "c"]["agg"] == "stack" and got[1, "c"]["answer_value"] == pytest.approx(0.5) != mixed[1, "c"]["answer_value"]
+    assert got[2, "c"] == mixed[2, "c"] and got[1, "c"]["tokens"] == mixed[1, "c"]["tokens"]
+    assert A.mode_of(NOUL, {"noul": "stack"}) == "mean"
+
+
+def test_cached_scorer(spark, tmp_path):
+    """A second run asks nothing, another checkpoint everything; equal rows are asked once."""
+    folder, path = tmp_path / "calls", str(tmp_path / "cache")
+    folder.mkdir()
+    rows = passages(spark, [*CAT, CAT[0]])
+    inner = S.ArrowScorer(lambda folder=str(folder): Counting(folder), 2)
+    calls = lambda: sum(len(f.read_text().split()) for f in folder.iterdir())
+    plain = {(r["index"], r["qid"]): list(r["logits"]) for r in inner.score(rows, [NOUL, PICK]).collect()}
+    base, first = calls(), S.CachedScorer(inner, path)
+    got = {(r["index"], r["qid"]): list(r["logits"]) for r in first.score(rows, [NOUL, PICK]).collect()}
+    assert got == plain and calls() - base == 10
+    again = S.CachedScorer(inner, path)
+    assert {(r["index"], r["qid"]): list(r["logits"]) for r in again.score(rows, [NOUL, PICK]).collect()} == plain and calls() - base == 10
+    S.CachedScorer(inner, path, checkpoint="b").score(rows, [NOUL]).collect()
+    assert calls() - base == 15
+    docs = spark.createDataFrame([(1, "the cat sat\n\na dog barked"), (2, "a dog")], "doc_id long, text string")
+    e = lambda scorer: sorted(map(str, Engine(mode="paragraphs", chunk_tokens=20, scorer=scorer).ask(docs, [NOUL, PICK]).collect()))
+    assert e(again) == e(inner)
+    again.close()
+    keys = rows.select(S.row_key("text", "text"), S.row_key("text", "text", 512), S.row_key("text", "text", None, 192), S.row_key("text", "text", checkpoint="x")).first()
+    assert len(set(keys)) == 4
+
+
+def test_more_options_than_the_scorer_has(spark):
+    with pytest.raises(ValueError):
+        S.ArrowScorer(lambda: None, max_options=1).score(passages(spark, CAT), [PICK])
+
+
+def test_act_chances(spark):
+    docs = spark.createDataFrame([(1, "the cat sat\n\na dog barked"), (2, "a dog")], "doc_id long, text string")
+    scorer = S.ArrowScorer(lambda: lambda texts, q: [([0.0, 1.0], len(t) / 100) for t in texts])
+    got = {r["doc_id"]: r["act"] for r in A.ask(C.paragraphs(docs), [NOUL], scorer=scorer, detail=True).collect()}
+    assert got[2] == pytest.approx(0.05) and got[1] == pytest.approx(0.12)
+
+
+def test_sums_before(spark):
+    import itertools
+
+    for n in (0, 1, 2, 3, 10, 99, 100, 101):
+        values = [k * 7 % 5 for k in range(n)]
+        got = spark.sql(f"select {sums_before(f'cast(array({str(values)[1:-1]}) as array<bigint>)')} as s").first()["s"]
+        assert got == [0, *itertools.accumulate(values)][:n]
+
+
+def test_unicode_blanks(spark):
+    texts = ["a\n\u3000\u00a0\x1c\n b", "\u2003", "x\n\u200b"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    got = {}
+    for r in C.paragraphs(docs, "\n").orderBy("doc_id", "index").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got == {i: [p for p in t.split("\n") if p.strip()] or [t] for i, t in enumerate(texts)}
+
+
+def test_passages_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b\n\nc")], "doc_id long, text string")
+    for df in (C.paragraphs(docs), C.paragraphs(docs, max_tokens=1), C.token_windows(docs, 2), A.scored_rows(A.selected_passages(C.paragraphs(docs, counted=True), [NOUL], None, 1), [NOUL])):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = A.ask(C.paragraphs(docs, counted=True), [NOUL, PICK], "bm25", 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_detector_only_where_several(spark):
