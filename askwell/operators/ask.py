@@ -133,7 +133,7 @@ def scored_rows(selected: DataFrame, questions: Sequence[Question], gate: str |
             g, tokens = f"coalesce({got}.p[1], 1D)", f"{tokens} + coalesce({got}.seq_len, 0L)"
         made.append(f"case when array_contains(_asked, {quoted(q.qid)}) then named_struct('qid', {quoted(q.qid)}, 'p', {p}, 'act', {act}, 'gate', {g}, 'tokens', {tokens}) end")
     span = F.struct("tok_start", "tok_end").alias("span")
-    out = rows.select("doc_id", "index", "n_chunks", "n_scored", span, F.explode(F.expr(f"array_compact(array({', '.join(made)}))")).alias("_r"))
+    out = rows.select("doc_id", "index", "n_chunks", "n_scored", span, F.explode_outer(F.expr(f"array_compact(array({', '.join(made)}))")).alias("_r"))
     return out.select("doc_id", "index", "n_chunks", "n_scored", "span", "_r.*")
 
 

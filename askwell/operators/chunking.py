@@ -3,6 +3,8 @@
 Every operator takes ``docs(doc_id, text)`` and returns one row a passage: ``doc_id, index, text, tok_start, tok_end, char_start,
 char_end``; ends are exclusive. With ``counted`` there is also ``n_chunks``, how many the document has. Null texts count as empty. A document is
 one row before it is split, so its passages are numbered, and their positions summed up, within that row: splitting shuffles nothing.
+
+Arrays that are never empty are taken apart by ``explode_outer``: for ``explode`` the optimizer adds a filter on the array's size, and computes it twice.
 """
 
 from __future__ import annotations
@@ -33,14 +35,18 @@ def paragraphs(docs: DataFrame, sep: str = "\n\n", max_tokens: int | None = None
     whole text as its only passage, with no tokens.
     """
     stride = max(1, max_tokens // 2) if max_tokens else 1
-    windows = _window_count("__t[__i]", max_tokens, stride) if max_tokens else "1"
     # All pieces with where they start; of these the kept ones; their tokens, and how many windows each becomes.
     pieces = let("__p", f"split(whole, {quoted(chr(92) + 'Q' + sep + chr(92) + 'E')}, -1)", let("__at", sums_before(f"transform(__p, __x -> cast(length(__x) + {len(sep)} as bigint))"), "transform(__p, (__x, __i) -> struct(__x as text, __at[__i] as char_start))"))
     kept = f"filter({pieces}, __x -> __x.text rlike {quoted(f'[^{BLANK}]')})"
-    made = let("__b", sums_before("__t"), let("__k", f"transform(__t, (__x, __i) -> cast({windows} as bigint))", let("__n", sums_before("__k"), "transform(__v, (__x, __i) -> struct(cast(__n[__i] as int) as index, __x.text as text, __b[__i] as tok_start, __b[__i] + __t[__i] as tok_end, __x.char_start as char_start, __x.char_start + length(__x.text) as char_end, __t[__i] as n, cast(aggregate(__k, 0L, (__s, __y) -> __s + __y) as bigint) as n_chunks))")))
+    index, n = ("cast(__n[__i] as int)", "__m") if max_tokens else ("__i", "cast(size(__v) as bigint)")
+    made = f"transform(__v, (__x, __i) -> struct({index} as index, __x.text as text, __b[__i] as tok_start, __b[__i] + __t[__i] as tok_end, __x.char_start as char_start, __x.char_start + length(__x.text) as char_end, __t[__i] as n, {n} as n_chunks))"
+    if max_tokens:
+        windows = f"transform(__t, __y -> cast({_window_count('__y', max_tokens, stride)} as bigint))"
+        made = let("__k", windows, let("__n", sums_before("__k"), let("__m", "aggregate(__k, 0L, (__s, __y) -> __s + __y)", made)))
+    made = let("__b", sums_before("__t"), made)
     whole = "array(struct(0 as index, whole as text, 0L as tok_start, 0L as tok_end, 0L as char_start, cast(length(whole) as bigint) as char_end, 0L as n, 1L as n_chunks))"
     every = let("__v", kept, f"case when size(__v) = 0 then {whole} else {let('__t', f'transform(__v, __x -> cast({_n_tokens("__x.text")} as bigint))', made)} end")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole")).select("doc_id", F.explode(F.expr(every)).alias("c")).select("doc_id", "c.*")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole")).select("doc_id", F.explode_outer(F.expr(every)).alias("c")).select("doc_id", "c.*")
     names = ["doc_id", "index", "text", "tok_start", "tok_end", "char_start", "char_end", *(["n_chunks"] if counted else [])]
     if max_tokens is None:
         return rows.select(*names)
@@ -72,7 +78,7 @@ def _windows(rows: DataFrame, size: int, stride: int) -> DataFrame:
     # Characters of the strides before each window; each token is read once for its stride, once a window.
     strides = f"transform(sequence(0, _k - 1), __i -> cast(length(array_join(slice(_t, __i * {stride} + 1, {stride}), '')) as bigint))"
     rows = rows.withColumn("_b", F.expr(f"case when _k = 1 then array(0L) else {sums_before(strides)} end"))
-    rows = rows.select("*", F.posexplode("_b").alias("part", "_c"))
+    rows = rows.select("*", F.posexplode_outer("_b").alias("part", "_c"))
     rows = rows.withColumn("a", (F.col("part") * stride).cast("long"))
     rows = rows.withColumn("b", F.expr(f"cast(case when part = _k - 1 then _n else part * {stride} + {size} end as long)"))
     space, whole = "[ \\\\t\\\\n\\\\r\\\\f]", f"_n <= {size}"

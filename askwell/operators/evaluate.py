@@ -95,6 +95,28 @@ def cost(tokens: str, price_per_million: float) -> Column:
     return F.sum(tokens) * price_per_million / 1e6
 
 
+def multiclass(answers: DataFrame, gold: str = "gold", group: Sequence[str] = ()) -> DataFrame:
+    """``(group, n, accuracy, mean_p_gold)`` of answers with ``answer_key``, ``keys`` and ``p``; a gold answer that is no option has chance 0."""
+    at = F.array_position("keys", F.col(gold)).cast("int")
+    p = F.coalesce(F.get("p", at - 1), F.lit(0.0))
+    return answers.where(F.col(gold).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg((F.col("answer_key") == F.col(gold)).cast("double")), 6).alias("accuracy"), F.round(F.avg(p), 6).alias("mean_p_gold"))
+
+
+def workload(answers: DataFrame, group: Sequence[str] = ("qid",), seconds: str | None = None) -> DataFrame:
+    """Mean passages, scored passages and tokens a document, and mean seconds where there is a column of them."""
+    cols = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("n_chunks", "n_scored", "tokens")] + ([F.round(F.avg(seconds), 6).alias("mean_seconds")] if seconds else [])
+    return answers.groupBy(*group).agg(F.count("*").alias("n"), *cols)
+
+
+def paired(rows: DataFrame, arms: Sequence[str], item: str = "item", arm: str = "arm", value: str = "value") -> DataFrame:
+    """``(arm, n, mean, mean_difference, better, worse)``: each arm against the first one, on the items that both have."""
+    wide = rows.groupBy(item).pivot(arm, list(arms)).agg(F.first(value))
+    base = F.col(f"`{arms[0]}`")
+    long = wide.select(base.alias("_base"), F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"`{a}`").alias("v")) for a in arms))).alias("_a")).select("_base", "_a.*")
+    d = F.col("v") - F.col("_base")
+    return long.where("v is not null and _base is not null").groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.avg(d), 6).alias("mean_difference"), F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"))
+
+
 def max_abs_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Largest difference of a value between two tables, and rows that only one has."""
     j = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys), "full_outer")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askwell.functions.vectors import terms
+from askwell.functions.vectors import let, terms
 
 # Fixed values of the ranking function.
 K1, B = 1.5, 0.75
@@ -30,7 +30,7 @@ def query_terms(text: str) -> list[str]:
 
 def term_frequency(chunks: DataFrame) -> DataFrame:
     """``(doc_id, index, term, tf)``: the postings."""
-    return chunks.select("doc_id", "index", F.explode(terms("text")).alias("term")).groupBy("doc_id", "index", "term").agg(F.count("*").alias("tf"))
+    return chunks.select("doc_id", "index", F.explode_outer(terms("text")).alias("term")).where("term is not null").groupBy("doc_id", "index", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_frequency(postings: DataFrame) -> DataFrame:
@@ -52,8 +52,7 @@ def with_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFr
     listed = ", ".join(f"'{t}'" for t in vocabulary)
     rows = chunks.withColumn("_t", terms("text")).withColumn("_len", F.size("_t"))
     # Only the queries' terms are counted one by one.
-    rows = rows.withColumn("_h", F.expr(f"filter(_t, __t -> __t in ({listed}))"))
-    rows = rows.withColumn("_tf", F.expr(f"transform(array({listed}), __q -> size(filter(_h, __t -> __t = __q)))")).drop("_t", "_h")
+    rows = rows.withColumn("_tf", F.expr(let("__h", f"filter(_t, __t -> __t in ({listed}))", f"transform(array({listed}), __q -> size(filter(__h, __t -> __t = __q)))"))).drop("_t")
     doc = W.partitionBy("doc_id")
     seen = {f"_df{k}": F.sum(F.when(F.col("_tf")[k] > 0, 1).otherwise(0)).over(doc) for k in range(len(vocabulary))}
     rows = rows.withColumns({"_n": F.count("*").over(doc), "_avg": F.avg("_len").over(doc), **seen})
@@ -72,7 +71,7 @@ def bm25_scores(chunks: DataFrame, queries: Sequence[tuple[str, str]]) -> DataFr
     """``(doc_id, index, qid, score)`` of every passage and query ``(qid, text)``."""
     qids = F.array(*(F.lit(qid) for qid, _ in queries))
     rows = with_scores(chunks.select("doc_id", "index", "text"), queries).drop("text")
-    return rows.select("doc_id", "index", F.posexplode("_scores").alias("_q", "score")).select("doc_id", "index", qids[F.col("_q")].alias("qid"), "score")
+    return rows.select("doc_id", "index", F.posexplode_outer("_scores").alias("_q", "score")).select("doc_id", "index", qids[F.col("_q")].alias("qid"), "score")
 
 
 def asked_by(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int) -> DataFrame:

@@ -88,7 +88,7 @@ class Scorer:
 
     def score(self, rows: DataFrame, questions: Sequence[Question]) -> DataFrame:
         """``rows`` once for each question, with ``qid, type, keys, logits, act, seq_len``."""
-        out = self.scores(rows, questions).withColumn("_q", F.explode("_scores")).drop("_scores")
+        out = self.scores(rows, questions).withColumn("_q", F.explode_outer("_scores")).drop("_scores")
         return out.select("*", "_q.*").drop("_q")
 
 

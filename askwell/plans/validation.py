@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 
 from askwell.operators.ask import MODES
+from askwell.operators.scoring import Question
 
 TYPES = ("noul", "choice", "score")
 STRATEGIES = ("scan", "locate")
@@ -58,7 +59,7 @@ def _need(ok: object, status: int, code: str) -> None:
 
 
 def _short(x: object, most: int) -> bool:
-    return isinstance(x, str) and len(x.strip()) > 0 and len(x) <= most
+    return isinstance(x, str) and 0 < len(x) <= most
 
 
 def validate(body: object, limits: Limits | None = None) -> dict:
@@ -72,29 +73,30 @@ def validate(body: object, limits: Limits | None = None) -> dict:
     _need(isinstance(doc, dict) and isinstance(doc.get("text"), str) and doc["text"].strip(), 422, "text")
     _need(len(doc["text"]) <= m.max_chars, 413, "too_long")
     rubric = doc.get("rubric")
-    _need(rubric is None or isinstance(rubric, str) and len(rubric) <= m.max_rubric, 422, "rubric")
+    _need(rubric is None or _short(rubric, m.max_rubric), 422, "rubric")
     questions = body.get("questions")
     _need(isinstance(questions, dict) and questions, 422, "questions")
     _need(len(questions) <= m.max_questions, 422, "too_many_questions")
     for qid, q in questions.items():
-        _need(isinstance(qid, str) and 1 <= len(qid) <= 128 and isinstance(q, dict), 422, "question")
+        _need(_short(qid, 128) and isinstance(q, dict), 422, "question")
         _check_question(q, m)
     strategy = body.get("strategy", "scan")
     _need(strategy in STRATEGIES, 422, "strategy")
     top_k = body.get("top_k", 1)
     _need(isinstance(top_k, int) and not isinstance(top_k, bool) and 1 <= top_k <= m.max_top_k, 422, "top_k")
-    agg = body.get("agg") or {}
+    agg = {} if body.get("agg") is None else body["agg"]
     _need(isinstance(agg, dict), 422, "agg")
     for name, mode in agg.items():
-        kind = questions[name]["type"] if name in questions else name
-        _need(kind in TYPES and mode in MODES[kind] and not (kind == "score" and mode == "loglinear"), 422, "agg_mode")
-    detectors = body.get("detectors") or {}
+        kind = questions[name]["type"] if name in questions else None
+        _need(kind and mode in MODES[kind] and not (kind == "score" and mode == "loglinear"), 422, "agg_mode")
+    detectors = {} if body.get("detectors") is None else body["detectors"]
     _need(isinstance(detectors, dict), 422, "detectors")
     for qid, d in detectors.items():
         _need(qid in questions and questions[qid]["type"] == "noul", 422, "detector_target")
-        _need(isinstance(d, dict) and isinstance(d.get("question"), dict) and isinstance(d.get("option"), str), 422, "detector")
-        _check_question(d["question"], m)
-        _need(d["question"]["type"] == "choice" and d["option"] in d["question"]["criteria"], 422, "detector_option")
+        _need(isinstance(d, list) and len(d) == 2 and isinstance(d[0], dict) and isinstance(d[1], str), 422, "detector")
+        criteria = d[0].get("criteria")
+        good = d[0].get("type") == "choice" and _short(d[0].get("instructions"), m.max_instructions) and isinstance(criteria, dict)
+        _need(good and 2 <= len(criteria) <= m.max_labels and d[1] in criteria, 422, "detector_option")
     detail = body.get("detail", False)
     _need(isinstance(detail, bool), 422, "detail")
     made = {qid: q if rubric is None else {**q, "instructions": q["instructions"] + "\nRubric: " + rubric} for qid, q in questions.items()}
@@ -115,6 +117,20 @@ def _check_question(q: dict, m: Limits) -> None:
         _need(criteria is None, 422, "noul_criteria")
 
 
+def as_questions(request: dict) -> list[Question]:
+    """A validated request's questions, in their order."""
+    out = []
+    for qid, q in request["questions"].items():
+        criteria = q.get("criteria") or {}
+        options = tuple((c, None) for c in criteria) if q["type"] == "score" else tuple(criteria.items())
+        detector, key = None, None
+        if qid in request["detectors"]:
+            d, key = request["detectors"][qid]
+            detector = Question(qid + ":detector", "choice", d["instructions"], tuple(d["criteria"].items()))
+        out.append(Question(qid, q["type"], q["instructions"], options, detector, key))
+    return out
+
+
 def admit(estimate: DataFrame, limits: Limits | None = None, scan: bool = True) -> DataFrame:
     """Documents of a row estimate with why they are refused: ``refused`` is null, ``scan`` (too many passages) or ``rows``."""
     m = limits or Limits()
@@ -123,7 +139,7 @@ def admit(estimate: DataFrame, limits: Limits | None = None, scan: bool = True)
 
 
 class IndexCache:
-    """Least recently used indexes, bounded in number, passages and age; evicted frames are unpersisted."""
+    """Least recently used indexes, bounded in number, passages and age; those that leave are closed, or frames unpersisted."""
 
     def __init__(self, items: int, passages: int, ttl: float, clock: Callable[[], float] = time.monotonic):
         self.items, self.passages, self.ttl, self.clock = items, passages, ttl, clock
@@ -134,12 +150,11 @@ class IndexCache:
         return sum(n for _, n, _ in self.held.values())
 
     def get(self, key: str) -> object | None:
+        for k in [k for k, (at, *_) in self.held.items() if self.clock() - at > self.ttl]:
+            self._drop(k)
         got = self.held.get(key)
         if got is None:
             return None
-        if self.clock() - got[0] > self.ttl:
-            self._drop(key)
-            return None
         self.held.move_to_end(key)
         return got[2]
 
@@ -152,5 +167,7 @@ class IndexCache:
 
     def _drop(self, key: str) -> None:
         index = self.held.pop(key)[2]
-        if isinstance(index, DataFrame):
+        if hasattr(index, "close"):
+            index.close()
+        elif isinstance(index, DataFrame):
             index.unpersist()

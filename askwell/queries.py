@@ -15,6 +15,7 @@ from askwell.functions.vectors import dot
 from askwell.operators import ask as A
 from askwell.operators import builders as J
 from askwell.operators import chunking as C
+from askwell.operators import embedding as E
 from askwell.operators import evaluate as I
 from askwell.operators import retrieval as R
 from askwell.operators import scoring as S
@@ -393,6 +394,28 @@ _REQUESTS = (
     ("bad_type", {"state": [{"text": "a"}], "questions": {"q": {"type": "x", "instructions": "x"}}}, "422 type"),
     ("one_label", {"state": [{"text": "a"}], "questions": {"q": {"type": "choice", "instructions": "x", "criteria": {"a": None}}}}, "422 criteria"),
     ("bool_top_k", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "top_k": True}, "422 top_k"),
+    ("body", [], "400 body"),
+    ("two_states", {"state": [{"text": "a"}, {"text": "b"}], "questions": {}}, "422 one_state"),
+    ("long_text", {"state": [{"text": "a" * 4_000_001}], "questions": {}}, "413 too_long"),
+    ("empty_rubric", {"state": [{"text": "a", "rubric": ""}], "questions": {}}, "422 rubric"),
+    ("no_questions", {"state": [{"text": "a"}], "questions": {}}, "422 questions"),
+    ("many_questions", {"state": [{"text": "a"}], "questions": {f"q{i}": {"type": "noul", "instructions": "x"} for i in range(17)}}, "422 too_many_questions"),
+    ("empty_id", {"state": [{"text": "a"}], "questions": {"": {"type": "noul", "instructions": "x"}}}, "422 question"),
+    ("blank_instructions", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": " "}}}, "ok"),
+    ("no_instructions", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": ""}}}, "422 instructions"),
+    ("long_label", {"state": [{"text": "a"}], "questions": {"q": {"type": "choice", "instructions": "x", "criteria": {"a" * 201: None, "b": None}}}}, "422 label"),
+    ("one_rung", {"state": [{"text": "a"}], "questions": {"q": {"type": "score", "instructions": "x", "criteria": ["a"]}}}, "422 rungs"),
+    ("noul_criteria", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x", "criteria": {}}}}, "422 noul_criteria"),
+    ("bad_strategy", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "strategy": "guess"}, "422 strategy"),
+    ("agg_list", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "agg": []}, "422 agg"),
+    ("agg_by_type", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "agg": {"noul": "any"}}, "422 agg_mode"),
+    ("noul_stack", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "agg": {"q": "stack"}}, "422 agg_mode"),
+    ("detectors_zero", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "detectors": 0}, "422 detectors"),
+    ("detector_target", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "detectors": {"z": []}}, "422 detector_target"),
+    ("detector_map", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "detectors": {"q": {}}}, "422 detector"),
+    ("detector_option", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "detectors": {"q": [{"type": "choice", "instructions": "x", "criteria": {"a": None, "b": None}}, "c"]}}, "422 detector_option"),
+    ("detector", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "detectors": {"q": [{"type": "choice", "instructions": "x", "criteria": {"a": None, "b": None}}, "b"]}}, "ok"),
+    ("detail_number", {"state": [{"text": "a"}], "questions": {"q": {"type": "noul", "instructions": "x"}}, "detail": 1}, "422 detail"),
     ("score_loglinear", {"state": [{"text": "a"}], "questions": {"q": {"type": "score", "instructions": "x", "criteria": ["a", "b"]}}, "agg": {"q": "loglinear"}}, "422 agg_mode"),
 )
 
@@ -409,6 +432,37 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "request string, outcome string")
 
 
+_P6 = lambda p, n: "[" + ", ".join(f"round({p}[{i}], 6)" for i in range(1, n + 1)) + "]"
+
+
+@query(f"""{_scored(LANG, ABUSE, DENSITY)}, a AS (SELECT doc_id, qid, count(*) AS n, avg(p[1]) AS p1, avg(p[2]) AS p2, avg(p[3]) AS p3, avg(p[4]) AS p4, max(p[2]) AS yes FROM scored GROUP BY doc_id, qid)
+SELECT doc_id, qid, CASE qid WHEN 'abuse' THEN 'noul' WHEN 'lang' THEN 'choice' ELSE 'score' END AS type, CASE WHEN qid = 'abuse' THEN round(yes, 6) END AS noul,
+CASE WHEN qid = 'lang' THEN {_best(LANG.keys, '[p1, p2, p3, p4]')} END AS choice, CASE WHEN qid = 'density' THEN round(p2 + 2 * p3, 6) END AS score,
+CASE qid WHEN 'lang' THEN 'english|german|french|spanish' WHEN 'density' THEN 'of|the and|to in is for' END AS options, CASE WHEN qid <> 'abuse' THEN round(p1, 6) END AS first, CASE WHEN n = 1 THEN 'passthrough' WHEN qid = 'abuse' THEN 'max' ELSE 'mixture' END AS agg, n::BIGINT AS n_scored FROM a""")
+def projected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ungated answers of all three types, as the service gives their fields."""
+    from askwell.plans.service import projected
+
+    rows = projected(A.ask(_lines(spark, sf_dir, True), [LANG, ABUSE, DENSITY], gate=False, detail=True), [LANG, ABUSE, DENSITY])
+    options = F.array_join(F.transform("probabilities", lambda x: x["key"]), "|")
+    return rows.select("doc_id", "qid", "type", "noul", "choice", "score", options.alias("options"), F.col("probabilities")[0]["p"].alias("first"), "agg", "n_scored")
+
+
+@query(f"""{_scored(LANG)}, a AS (SELECT doc_id, [avg(p[1]), avg(p[2]), avg(p[3]), avg(p[4])] AS p FROM scored GROUP BY doc_id),
+g AS (SELECT p, lang, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 WHEN 'es' THEN 4 END AS k FROM a JOIN documents USING (doc_id))
+SELECT lang, count(*)::BIGINT AS n, round(avg(({_best(LANG.keys, 'p')} = ({_list(LANG.keys)})[k])::INT::DOUBLE), 6) AS accuracy, round(avg(p[k]), 6) AS mean_p_gold FROM g WHERE k IS NOT NULL GROUP BY lang""")
+def multiclass_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = F.element_at(F.create_map(*(F.lit(x) for x in ("en", "english", "de", "german", "fr", "french", "es", "spanish"))), F.col("lang"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("lang").isin("en", "de", "fr", "es"), gold).alias("gold"))
+    return I.multiclass(A.ask(_lines(spark, sf_dir, True), [LANG], gate=False, detail=True).join(docs, "doc_id"), group=["lang"])
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, count(*) AS n FROM passages GROUP BY doc_id), q AS (SELECT unnest(['lang', 'abuse']) AS qid)
+SELECT qid, count(*)::BIGINT AS n, round(avg(n), 6) AS mean_n_chunks, round(avg(least(n, 3)), 6) AS mean_n_scored FROM n, q GROUP BY qid""")
+def mean_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.workload(A.ask(_lines(spark, sf_dir, True), [LANG, ABUSE], "bm25", 3)).drop("mean_tokens")
+
+
 # -- I: metrics, on the largest abuse chance of a document's lines against its label
 
 
@@ -547,6 +601,132 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.two_stage(_pair(spark, sf_dir))
 
 
+_ARMS = f"{_PAIR}, e AS (SELECT doc_id, max(a) AS a, max((a + b) / 2) AS mean, max(least(a, b)) AS least FROM pair GROUP BY doc_id), l AS (SELECT doc_id, a AS base, unnest(['a', 'mean', 'least']) AS arm, unnest([round(a, 6), round(mean, 6), round(least, 6)]) AS v FROM e)"
+
+
+@query(f"{_ARMS} SELECT arm, count(*)::BIGINT AS n, round(avg(v), 6) AS mean, round(avg(v - round(base, 6)), 6) AS mean_difference, count_if(v - round(base, 6) > 0)::BIGINT AS better, count_if(v - round(base, 6) < 0)::BIGINT AS worse FROM l GROUP BY arm")
+def paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = I.ensembles(_pair(spark, sf_dir))
+    arms = F.array(*(F.struct(F.lit(n).alias("arm"), F.col(c).alias("value")) for n, c in (("a", "max_a"), ("mean", "max_mean"), ("least", "max_min"))))
+    return I.paired(e.select(F.col("doc_id").alias("item"), F.explode(arms).alias("x")).select("item", "x.*"), ["a", "mean", "least"])
+
+
+@query(f"""{_PAIR}, d AS (SELECT doc_id, "index", unnest(['a', 'mean', 'least']) AS detector, unnest([a, (a + b) / 2, least(a, b)]) AS s FROM pair),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, detector ORDER BY md5('f:' || "index"::VARCHAR), "index") AS i FROM d),
+c AS (SELECT doc_id, detector, m, round(max(s), 6) AS score FROM n, (SELECT unnest([4, 16]) AS m) WHERE i <= m GROUP BY ALL),
+g AS (SELECT c.*, lang, toxic = 1 AS gold FROM c JOIN labels USING (doc_id) JOIN documents USING (doc_id)),
+m AS (SELECT *, rank() OVER (PARTITION BY detector, lang, m ORDER BY score) + (count(*) OVER (PARTITION BY detector, lang, m, score) - 1) / 2.0 AS mid FROM g)
+SELECT detector, lang, m::BIGINT AS m, {_AUC} FROM m GROUP BY detector, lang, m""")
+def detector_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUC of every detector, pool (language) and size."""
+    arms = F.array(*(F.struct(F.lit(n).alias("detector"), c.alias("s")) for n, c in (("a", F.col("a")), ("mean", (F.col("a") + F.col("b")) / 2), ("least", F.least("a", "b")))))
+    rows = _pair(spark, sf_dir).select("doc_id", "index", F.explode(arms).alias("x")).select("doc_id", "index", "x.*")
+    top = J.nested_max(rows, ["doc_id", "detector"], _drawn(), "s", (4, 16)).withColumnRenamed("top", "score")
+    gold = _t(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("gold"))
+    return I.auc(top.join(gold, "doc_id").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), ["detector", "lang", "m"])
+
+
+@query("""WITH d AS (SELECT lang, doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY lang ORDER BY md5('k:' || doc_id::VARCHAR), doc_id) AS r FROM documents)
+SELECT lang, count(*)::BIGINT AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY r)) AS digest FROM d WHERE r <= 5 GROUP BY lang""")
+def class_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return J.composed(docs, "lang", "doc_id", "text", 5, "k").select("lang", "n", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH i AS (SELECT unnest(['first', 'second', 'third']) AS item), f AS (SELECT item, item_id, len(regexp_extract_all(text, '{_SP}')) AS n FROM benchmark, i),
+b AS (SELECT item, item_id, coalesce(sum(n + 2) OVER (PARTITION BY item ORDER BY md5(item || ':' || item_id::VARCHAR), item_id {_BEFORE}), 0)::BIGINT AS before, (row_number() OVER (PARTITION BY item ORDER BY md5(item || ':' || item_id::VARCHAR), item_id) - 1)::BIGINT AS pos FROM f)
+SELECT * FROM b WHERE before < 200""")
+def haystack_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "benchmark").withColumn("n", C.n_tokens("text"))
+    return J.haystacks(rows, ["first", "second", "third"], "item_id", "text", "n", 200).select("item", "item_id", "pos", "before")
+
+
+@query(f"""WITH {LINES}, u AS (SELECT doc_id, text, row_number() OVER ({_ORDER}) AS i, sum(tok_end - tok_start + 2) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 60 AS ahead FROM passages)
+SELECT doc_id, count_if(ahead)::BIGINT AS n_before, md5(concat_ws('|', string_agg(text, '|' ORDER BY i) FILTER (WHERE ahead), 'NEEDLE', string_agg(text, '|' ORDER BY i) FILTER (WHERE NOT ahead))) AS digest FROM u GROUP BY doc_id""")
+def needle_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("n", F.col("tok_end") - F.col("tok_start"))
+    return J.planted(rows, "doc_id", _drawn(), "text", "n", F.lit("NEEDLE"), 60, "|").select("doc_id", "n_before", F.md5("text").alias("digest"))
+
+
+_HEX = lambda s, n: "(" + " + ".join(f"(strpos('0123456789abcdef', substr(md5({s}), {k}, 1)) - 1) * {16 ** (n - k)}" for k in range(1, n + 1)) + ")"
+_NEEDLES = f"""x AS (SELECT item, (['red', 'green', 'blue', 'amber', 'violet'])[{_HEX("'needle:color:' || item::VARCHAR", 6)} % 5 + 1] AS color, (['box', 'door', 'lamp', 'key', 'safe', 'drum', 'bell'])[{_HEX("'needle:object:' || item::VARCHAR", 6)} % 7 + 1] AS object,
+1000 + {_HEX("'needle:code:' || item::VARCHAR", 6)} % 9000 AS code, {_HEX("'needle:other:' || item::VARCHAR", 6)} % 8999 AS other FROM range(60) t(item)),
+needles AS (SELECT item, color, object, code::BIGINT AS code, (CASE WHEN item % 2 = 0 THEN code ELSE 1000 + (code - 999 + other) % 9000 END)::BIGINT AS asked, item % 2 = 0 AS gold, 'The code of the ' || color || ' ' || object || ' is ' || code::VARCHAR || '.' AS needle FROM x)"""
+
+
+@query(f"WITH {_NEEDLES} SELECT *, 'Is the code of the ' || color || ' ' || object || ' ' || asked::VARCHAR || '?' AS question FROM needles")
+def needle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.needle_items(spark)
+
+
+@query(f"""WITH {_NEEDLES}, c AS (SELECT item_id, text, md5('h:' || item_id::VARCHAR) AS d, coalesce(sum(length(text) + 2) OVER (ORDER BY md5('h:' || item_id::VARCHAR), item_id {_BEFORE}), 0) AS before FROM benchmark),
+p AS (SELECT list(text ORDER BY d, item_id) AS p FROM c WHERE before < 4000), z AS (SELECT item, depth, needle, p, floor(len(p) * depth)::BIGINT AS k FROM needles, p, (SELECT unnest([0.0, 0.5, 1.0]) AS depth))
+SELECT item, depth::DOUBLE AS depth, k AS n_before, len(p)::BIGINT AS n_contexts, md5(array_to_string(list_concat(list_concat(p[1:k], [needle]), p[k + 1:]), chr(10) || chr(10))) AS digest FROM z""")
+def depth_haystacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = J.depth_haystacks(_t(spark, sf_dir, "benchmark"), J.needle_items(spark), "item_id", "text", 4000, [0.0, 0.5, 1.0])
+    return rows.select("item", "depth", "n_before", "n_contexts", F.md5("text").alias("digest"))
+
+
+@query("""SELECT count(*)::BIGINT AS "rows", count_if(w.doc_id IS NULL)::BIGINT AS missing, count_if(w.doc_id IS NOT NULL AND l.quality IS DISTINCT FROM w.toxic)::BIGINT AS different FROM labels l LEFT JOIN labels w ON w.doc_id = l.doc_id AND w.doc_id % 2 = 0""")
+def prefix_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that a larger table lacks, and those where it has another value."""
+    labels = _t(spark, sf_dir, "labels")
+    return J.prefix_mismatches(labels.select("doc_id", F.col("quality").alias("v")), labels.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+
+
+@query("SELECT item_id, size::BIGINT AS size, arm FROM (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 7), (SELECT unnest([1, 12, 24]) AS size), (SELECT unnest(['top1', 'scan']) AS arm)")
+def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.runs(_t(spark, sf_dir, "benchmark"), "item_id", 7, [1, 12, 24], ["top1", "scan"])
+
+
+def _embedding_sql(text: str) -> str:
+    """A list of 64 numbers: the lexical encoder's."""
+    buckets = f"list_transform(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda t: {_HEX('t', 4)} % 64)"
+    counts = f"list_transform(range(64), lambda i: len(list_filter({buckets}, lambda b: b = i))::DOUBLE)"
+    return f"list_transform({counts}, lambda c: c / greatest(1e-9, sqrt(list_sum(list_transform({counts}, lambda d: d * d)))))"
+
+
+_POOLS = "passages AS (SELECT unnest(CASE WHEN item_id % 2 = 0 THEN [0, 1] ELSE [0] END)::BIGINT AS doc_id, item_id AS \"index\", text FROM benchmark)"
+_PREFIX = "Represent this sentence for searching relevant passages: "
+_GRID = (("one", "the of that with", 7), ("two", "and to in", 12), ("three", "was for which", 20))
+_EMBEDDED = f"""q AS (SELECT qid, {_embedding_sql("text")} AS e FROM (VALUES {", ".join(f"('{q}', '{_PREFIX}{t}')" for q, t, _ in _GRID)}) AS asked(qid, text)), v AS (SELECT item_id, {_embedding_sql("text")} AS e FROM benchmark),
+sims AS (SELECT qid, item_id, round(list_dot_product(v.e, q.e), 6) AS sim FROM q, v)"""
+
+
+@query(f"WITH {_EMBEDDED} SELECT qid, item_id AS id, sim, (row_number() OVER (PARTITION BY qid ORDER BY sim DESC, item_id) - 1)::BIGINT AS pos FROM sims QUALIFY pos < 20")
+def embed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return E.embed_rank(items, spark.createDataFrame([(q, t) for q, t, _ in _GRID], "qid string, text string"), E.LexicalEncoder(), 20)
+
+
+@query(f"""WITH {_POOLS}, {_bm25(tuple((q, t) for q, t, _ in _GRID))}, {_EMBEDDED},
+dense AS (SELECT doc_id, "index", qid, (row_number() OVER (PARTITION BY doc_id, qid ORDER BY sim DESC, "index") - 1)::BIGINT AS pos FROM passages JOIN sims ON item_id = "index"),
+two AS (SELECT doc_id, "index", qid, pos FROM br UNION ALL SELECT doc_id, "index", qid, pos FROM dense),
+f AS (SELECT doc_id, qid, "index", (row_number() OVER (PARTITION BY doc_id, qid ORDER BY round(sum(1.0::DOUBLE / (60 + pos)), 9) DESC, "index") - 1)::BIGINT AS pos FROM two GROUP BY doc_id, qid, "index"),
+every AS (SELECT 'bm25' AS ranker, doc_id, qid, "index", pos FROM br UNION ALL SELECT 'dense', doc_id, qid, "index", pos FROM dense UNION ALL SELECT 'hybrid', doc_id, qid, "index", pos FROM f),
+t AS (SELECT qid, target FROM (VALUES {", ".join(f"('{q}', {k})" for q, _, k in _GRID)}) AS named(qid, target))
+SELECT ranker, doc_id AS pool, count(*)::BIGINT AS n, {', '.join(f'round(avg(coalesce(pos < {k}, false)::INT::DOUBLE), 6) AS recall_{k}' for k in (1, 5, 20))}, median(pos)::DOUBLE AS median_pos FROM every JOIN t USING (qid) WHERE "index" = target GROUP BY ranker, doc_id""")
+def ranker_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankers x queries x pools: all items, and the even ones; each query's target is an item."""
+    from pyspark.sql import Window as W
+
+    pools = F.when(F.col("item_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    passages = _t(spark, sf_dir, "benchmark").select(F.explode(pools).alias("doc_id"), F.col("item_id").alias("index"), "text")
+    lexical = R.ranked(R.bm25_scores(passages, [(q, t) for q, t, _ in _GRID])).select("doc_id", "qid", "index", "pos")
+    queries = spark.createDataFrame([(q, t) for q, t, _ in _GRID], "qid string, text string")
+    asked = E.embedded(queries.select("qid", F.concat(F.lit(E.QUERY_PREFIX), "text").alias("text")), E.LexicalEncoder()).select("qid", F.col("v").alias("_q"))
+    near = E.embedded(passages, E.LexicalEncoder()).withColumn("_k", F.lit(1)).join(F.broadcast(asked.withColumn("_k", F.lit(1))), "_k")
+    near = near.withColumn("sim", F.round(dot("v", "_q"), 6))
+    dense = near.withColumn("pos", F.row_number().over(W.partitionBy("doc_id", "qid").orderBy(F.desc("sim"), "index")) - 1).select("doc_id", "qid", "index", "pos")
+    hybrid = R.fused([lexical, dense], ["doc_id", "qid"]).select("doc_id", "qid", "index", "pos")
+    every = None
+    for name, r in (("bm25", lexical), ("dense", dense), ("hybrid", hybrid)):
+        r = r.withColumn("ranker", F.lit(name))
+        every = r if every is None else every.unionByName(r)
+    targets = spark.createDataFrame([(q, k) for q, _, k in _GRID], "qid string, index long")
+    return R.recall_at(every.join(F.broadcast(targets), ["qid", "index"]).withColumnRenamed("doc_id", "pool"), (1, 5, 20), ["ranker", "pool"])
+
+
 @query("""WITH q AS (SELECT embedding AS e, label AS want FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label = want AS gold, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS sim FROM embeddings, q),
 t AS (SELECT quantile_cont(sim, 0.05) AS t FROM d WHERE gold) SELECT vec_id, gold, sim, CASE WHEN sim >= t THEN 1.0 ELSE 0.0 END::DOUBLE AS gated FROM d, t""")
 def dense_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

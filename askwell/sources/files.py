@@ -15,9 +15,20 @@ def read_labelled_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tasks_json(spark: SparkSession, path: str) -> DataFrame:
-    """``{question, items: [{id, state, gold, meta}]}`` as one row an item; the state as JSON text."""
+    """``{question, items: [{id, state, gold, meta}]}`` as one row an item; question, state and meta as JSON text (null where there is none)."""
     raw = spark.read.json(path, multiLine=True)
-    return raw.select("question", F.explode("items").alias("i")).select("question", "i.id", F.to_json("i.state").alias("state"), "i.gold")
+    rows = raw.select(F.to_json("question").alias("question") if raw.schema["question"].dataType.typeName() == "struct" else "question", F.explode("items").alias("i"))
+    fields = set(rows.schema["i"].dataType.names)
+    json_of = lambda c: (F.to_json(f"i.{c}") if rows.schema["i"].dataType[c].dataType.typeName() in ("struct", "array") else F.col(f"i.{c}").cast("string")) if c in fields else F.lit(None).cast("string")
+    return rows.select("question", "i.id", json_of("state").alias("state"), "i.gold", json_of("meta").alias("meta"))
+
+
+def read_results(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
+    """JSON lines as a table with one row a key, the last line's of a file, files in order of their names; lines without a key are left out."""
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    names = [c for c in rows.columns if c not in ("_file", "_line")]
+    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*names), F.struct("_file", "_line")).alias("_r"))
+    return last.select("_r.*")
 
 
 def append_cache(answers: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Golden values and brute-force comparisons of the engine's operators."""
 
+import hashlib
 import json
 import math
 import os
@@ -13,10 +14,12 @@ from askwell.functions.vectors import entropy_confidence, softmax, sums_before
 from askwell.operators import ask as A
 from askwell.operators import builders as J
 from askwell.operators import chunking as C
+from askwell.operators import embedding
 from askwell.operators import evaluate as I
 from askwell.operators import retrieval as R
 from askwell.operators import scoring as S
 from askwell.plans.engine import Engine
+from askwell.plans.service import Service, index_key, plain
 from askwell.plans.validation import IndexCache, Limits, Refusal, validate
 from askwell.sources import files
 
@@ -357,6 +360,95 @@ def test_files(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.schema("id string, v int").json(sink).collect()) == [("a", 1), ("b", 3)]
 
 
+def test_more_files(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"question": {"type": "noul"}, "items": [{"id": "a", "state": {"documents": "x", "color": "red"}, "gold": true, "meta": {"depth_fraction": 0.5}}]}')
+    r = files.read_tasks_json(spark, str(tmp_path / "t.json")).first()
+    assert json.loads(r["state"]) == {"documents": "x", "color": "red"} and json.loads(r["meta"]) == {"depth_fraction": 0.5} and json.loads(r["question"]) == {"type": "noul"} and r["gold"]
+    (tmp_path / "bare.json").write_text('{"question": "which", "items": [{"id": 1, "state": "s", "gold": false}]}')
+    assert tuple(files.read_tasks_json(spark, str(tmp_path / "bare.json")).first()) == ("which", 1, "s", False, None)
+    (tmp_path / "r.jsonl").write_text('{"id": "a", "p": 1}\n{"id": "b", "p": 2}\n{"p": 9}\n{"id": "a", "p": 3}\n')
+    assert sorted(tuple(r) for r in files.read_results(spark, str(tmp_path / "r.jsonl"), "id string, p int").collect()) == [("a", 3), ("b", 2)]
+    files.write_report(spark.createDataFrame([(1, 0.5)], "n int, auc double"), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "report")).select("n", "auc").collect()] == [(1, 0.5)]
+    rows = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    some = J.sample(rows, "id", 5, "s").collect()
+    want = sorted(range(20), key=lambda i: hashlib.md5(f"s:{i}".encode()).hexdigest())[:5]
+    assert [r["id"] for r in some] == want
+
+
+def test_cache_probe(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, i int")
+    cache = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), (None, 3, "x")], "key string, seq int, answer string")
+    known, todo = S.probe(rows, cache)
+    assert [(r["key"], r["answer"]) for r in known.collect()] == [("a", "new")] and [r["key"] for r in todo.collect()] == ["b"]
+    assert Limits().clamped(512, 192) == 200 and Limits().clamped(150, 100) == 42 and Limits().clamped(10, 100) == 1
+
+
+def test_encoders(spark):
+    rows = spark.createDataFrame([(1, "cat cat dog"), (2, "cat cat dog"), (3, None), (4, "dog")], "id int, text string")
+    got = {r["id"]: list(r["v"]) for r in embedding.embedded(rows, embedding.LexicalEncoder(16)).collect()}
+    counts = [0.0] * 16
+    for t in ("cat", "cat", "dog"):
+        counts[int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 16] += 1
+    norm = math.sqrt(sum(c * c for c in counts))
+    assert got[1] == got[2] == pytest.approx([c / norm for c in counts]) and got[3] == [0.0] * 16
+    asked = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def model(texts):
+            asked.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    got = {r["id"]: list(r["v"]) for r in embedding.embedded(rows, embedding.ArrowEncoder(factory, "length", 2)).collect()}
+    assert got == {1: [11.0, 1.0], 2: [11.0, 1.0], 3: [0.0, 1.0], 4: [3.0, 1.0]} and asked.value == 3
+
+
+REQUEST = {
+    "state": [{"text": "the cat sat\n\na dog barked\n\ncat cat"}],
+    "questions": {"n": {"type": "noul", "instructions": "dog"}, "c": {"type": "choice", "instructions": "which", "criteria": {"cat": None, "dog": None}}, "s": {"type": "score", "instructions": "x", "criteria": ["no", "a cat"]}},
+}
+
+
+def test_service(spark):
+    service = Service(spark, Limits(max_scan=3, max_rows=15))
+    got = service.answer({**REQUEST, "detail": True})
+    again = service.answer({**REQUEST, "strategy": "locate", "top_k": 2})
+    assert not got["timing"]["cached"] and again["timing"]["cached"] and got["n_chunks"] == again["n_chunks"] == 3 and got["usage"]["document_tokens"] == 8
+    answers = got["answers"]
+    assert list(answers) == ["n", "c", "s"] and answers["n"]["noul"] == 0.5 and answers["c"]["choice"] == "cat" and answers["s"]["legend"] == ["no", "a cat"]
+    assert [c["index"] for c in answers["c"]["chunks"]] == [0, 1, 2] and answers["n"]["chunks"][0]["gate"] == 1.0 and "chunks" not in again["answers"]["n"]
+    assert sum(answers["c"]["probabilities"].values()) == pytest.approx(1) and again["answers"]["c"]["n_scored"] == 2 and json.dumps(got)
+    four = {**REQUEST, "state": [{"text": "a\n\nb\n\nc\n\nd"}]}
+    for body, code in ((four, "too_many_passages"), ({**four, "strategy": "locate", "top_k": 4}, "too_many_rows")):
+        with pytest.raises(Refusal) as e:
+            service.answer(body)
+        assert (e.value.status, e.value.code) == (422, code)
+    det = {**REQUEST, "detectors": {"n": [{"type": "choice", "instructions": "what", "criteria": {"cat": None, "dog": None}}, "dog"]}}
+    assert service.answer(det)["answers"]["n"]["noul"] == pytest.approx(2 / 3, abs=1e-6)
+    held = next(iter(service.cache.held.values()))[2]
+    assert held.chunks.storageLevel.useMemory
+    for i in range(service.limits.cache_items):
+        service.cache.put(str(i), None, 0)
+    assert not held.chunks.storageLevel.useMemory  # closed as it left
+
+    def broken():
+        def model(texts, q):
+            raise RuntimeError("out of memory")
+
+        return model
+
+    with pytest.raises(Refusal) as e:
+        Service(spark, scorer=S.ArrowScorer(broken)).answer(REQUEST)
+    assert e.value.status == 503
+    with pytest.raises(Refusal) as e:
+        Service(spark, scorer=S.ArrowScorer(broken, max_options=1)).answer(REQUEST)
+    assert (e.value.status, e.value.code) == (422, "invalid_request")
+    assert plain({"a": [float("nan"), 1.5, (float("inf"), "x")], 1: None}) == {"a": [None, 1.5, [None, "x"]], "1": None}
+    assert index_key("a", "m") != index_key("a", "n")
+
+
 def test_stream(spark, tmp_path):
     from askwell.streaming.asking import ask_stream
 

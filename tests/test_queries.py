@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
