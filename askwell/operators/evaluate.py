@@ -77,11 +77,15 @@ def summary(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Accuracy at 0.5, shares in and over bands, medians and interpolated percentiles, means by gold."""
     s = F.round("score", 6)
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    # Halves that interpolation makes are halves, whatever its last bits.
+    at = lambda q: F.round(F.round(F.expr(f"percentile(s, {q})"), 9), 6)
+    # Of six-digit numbers as they are, so that the order of summing can't tip a half.
+    mean = lambda c: F.round(F.avg(F.when(c, F.col("s").cast("decimal(20,6)"))), 6).cast("double")
     return scores.withColumn("s", s).groupBy(*group).agg(
         F.count("*").alias("n"), share((F.col("s") >= 0.5) == F.col("gold")).alias("accuracy"), share(F.col("s").between(0.3, 0.7)).alias("in_band"),
         *(F.count_if(F.col("s") > t).alias(f"over_{str(t).replace('.', '_')}") for t in (0.2, 0.5, 0.9)),
-        F.max("s").alias("most"), F.round(F.median("s"), 6).alias("median"), F.round(F.expr("percentile(s, 0.05)"), 6).alias("p05"), F.round(F.expr("percentile(s, 0.95)"), 6).alias("p95"),
-        F.round(F.avg(F.when(F.col("gold"), F.col("s"))), 6).alias("mean_pos"), F.round(F.avg(F.when(~F.col("gold"), F.col("s"))), 6).alias("mean_neg"),
+        F.max("s").alias("most"), at(0.5).alias("median"), at(0.05).alias("p05"), at(0.95).alias("p95"),
+        mean(F.col("gold")).alias("mean_pos"), mean(~F.col("gold")).alias("mean_neg"),
     )
 
 
