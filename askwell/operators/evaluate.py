@@ -77,8 +77,7 @@ def summary(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Accuracy at 0.5, shares in and over bands, medians and interpolated percentiles, means by gold."""
     s = F.round("score", 6)
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    # Halves that interpolation makes are halves, whatever its last bits.
-    at = lambda q: F.round(F.round(F.expr(f"percentile(s, {q})"), 9), 6)
+    at = lambda q: F.round(F.expr(f"percentile(s, {q})"), 6)
     # Of six-digit numbers as they are, so that the order of summing can't tip a half.
     mean = lambda c: F.round(F.avg(F.when(c, F.col("s").cast("decimal(20,6)"))), 6).cast("double")
     return scores.withColumn("s", s).groupBy(*group).agg(
