@@ -28,7 +28,7 @@ import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
-from math import isqrt
+from math import isqrt, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -187,11 +187,18 @@ class Pseudonyms:
             rest = self._letters(plain[4:], tweak)
             return _in_places(text, plain[:2] + iban_check(plain[:2], rest) + rest, str.isalnum)
         if kind == "ip":
-            parts = [*map(int, text.split("."))]
-            if max(parts) > 255:
+            parts = text.split(".")
+            if any(int(x) > 255 or x != str(int(x)) for x in parts):
                 return None
-            x = self.feistel.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, tweak)
-            return ".".join(map(str, x.to_bytes(4, "big")))
+            least = [(0, 10, 100)[len(x) - 1] for x in parts]  # parts keep their number of digits
+            bases, x = [(10, 90, 156)[len(x) - 1] for x in parts], 0
+            for part, low, base in zip(parts, least, bases, strict=True):
+                x = x * base + int(part) - low
+            x, out = self.feistel.moved(x, prod(bases), f"{tweak}{bases}"), []
+            for low, base in zip(reversed(least), reversed(bases), strict=True):
+                x, d = divmod(x, base)
+                out.append(str(low + d))
+            return ".".join(reversed(out))
         if kind == "day":
             return self._day(text, tweak)
         if kind == "ssn":
