@@ -4,12 +4,13 @@ A text's paragraphs are its lines, long ones cut after sentences. Each has a 64-
 its own). A sketch has ``cells`` cells in three equal rows; a digest adds one to the count, itself to the sum and its check hash
 to the check sum of one cell in each row, all modulo 2^64. Subtracting two versions' sketches leaves the cells of the differing
 digests alone; a cell with a count of +-1 whose sums agree gives up one of them, which is removed from its other cells, and so on
-until all cells are empty. Where peeling stops short, both versions are sketched again at four times the size.
+until all cells are empty. Where peeling stops short, both versions are sketched again at four times the size. The fingerprint that is returned is the
+sketch of the first size, by which equal texts are told; likenesses of texts that differ in more than a dozen paragraphs rest on larger ones.
 
 All of this is done for a batch of documents at once, in numpy.
 
-Defined results: a null text is an empty one, which has no paragraphs; two empty ones are alike (1.0); repeated rows follow each
-other in order of their texts; a null id comes before all others; an only document is followed by itself; an empty table gives no rows.
+Defined results: a null text is an empty one, which has no paragraphs; two empty ones are alike (1.0); rows of one id follow each
+other in order of their compressed texts; a null id comes before all others; an only document is followed by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations

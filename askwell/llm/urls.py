@@ -41,7 +41,10 @@ ALLOWED_WORDS = (
     "city-council", "kitchen", "language", "museum", "open-data", "research", "letters", "heritage", "fishing", "science",
     "thoughts", "edition", "notables", "handbook", "author", "harvest", "thirst", "orchard", "tutor", "nearest",
 )
-FRAMES = ("https://www.{}.example.com/en/10", "http://{}.example.net/de/7.html", "https://blog.{}.example.org/fr/123/")
+FRAMES = (
+    "https://www.{}.example.com/en/10", "http://{}.example.net/de/7.html", "https://blog.{}.example.org/fr/123/",
+    "http://example.info/{}/page", "https://www.example.com/en/{}.html", "http://my.example.org/{}/",
+)
 
 
 def labelled(spark: SparkSession) -> DataFrame:

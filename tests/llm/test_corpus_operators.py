@@ -73,6 +73,17 @@ def test_simhash_links(spark, group):
     assert {(r["a"], r["b"]) for r in found.collect()} == want
 
 
+def test_simhash_of_odd_tables(spark):
+    random.seed(3)
+    words = ["".join(random.choices("abcdefgh", k=6)) for _ in range(3000)]
+    long = " ".join(random.choices(words, k=60_000))
+    rows = [(1, long), (2, long), (3, long + " one"), (3, long + " one"), (4, "q w e r t"), (None, "q w e r t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as fp", "3 as rep", "4 as component", "5 as free")
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+    assert all(r["fp"] % (1 << 64) == slow_simhash(long) for r in got if r["doc_id"] in (1, 2))
+
+
 def test_simhash_groups(spark):
     docs = spark.createDataFrame([(5, None), (3, ""), (9, "a b c d"), (8, "a b c d"), (7, "q w e r")], "doc_id long, text string").selectExpr("*", "1 as fp", "2 as rep")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
@@ -91,7 +102,7 @@ def test_fingerprints(spark):
     for k, (r, (i, t)) in enumerate(zip(got, rows, strict=True)):
         u = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        if i != 71:
+        if i != 71:  # their texts are equal, so either may come first
             assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
             for other, near in ((edited, r["near_edited"]), (u, r["near_next"])):
                 a, b = Counter(fingerprints.paragraphs(t)), Counter(fingerprints.paragraphs(other))
@@ -100,6 +111,21 @@ def test_fingerprints(spark):
     assert fingerprints.compared_with_edits(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_odd_tables(spark):
+    """Repeated and null ids, very long texts, clashing names: rows in order of ids, each followed by the next one's text."""
+    random.seed(2)
+    long = "".join(f"line {i} of a very long text, which has many of them.\n" for i in range(8000))
+    rows = [(None, "first"), (1, long), (2, long[: len(long) // 2] + "changed\n" + long[len(long) // 2 :]), (3, ""), (3, ""), (4, None), (5, "last\nline")]
+    docs = spark.createDataFrame(random.sample(rows, len(rows)), "doc_id long, text string").selectExpr("*", "1 as bucket", "2 as extra", "3 as z", "4 as fingerprint")
+    got = sorted(fingerprints.compared_with_edits(docs).collect(), key=lambda r: -1 if r["doc_id"] is None else r["doc_id"])
+    assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 3, 4, 5]
+    for r, (i, t), (_, u) in zip(got, rows, rows[1:] + rows[:1], strict=True):
+        t, u = t or "", u or ""
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
+    assert got[1]["near_next"] > 0.99 and got[3]["near_next"] == got[4]["near_next"] == 1.0 and got[3]["fingerprint"] == got[5]["fingerprint"]
+
+
 def test_sketches_recover_the_difference():
     rng = np.random.default_rng(1)
     a = [np.unique(rng.integers(0, 2**63, n).astype("u8")) for n in (0, 1, 5, 400)]
@@ -215,6 +241,18 @@ def test_similar_groups(spark):
     assert similar.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).count() == 30 + 1 + 1
 
 
+def test_similar_groups_of_odd_tables(spark):
+    random.seed(5)
+    base = ["".join(random.choices("abcdefgh", k=6)) for _ in range(300)]
+    rows = [(9, " ".join(base)), (4, " ".join(base)), (4, " ".join(base)), (7, " ".join(base[:290])), (2, "short text"), (3, "short text"), (5, "Short TEXT"), (6, "short texts"), (None, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as n", "3 as bits", "4 as fp", "5 as a", "6 as __x")
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()}
+    assert found == {9: 4, 4: 4, 7: 4, 2: 2, 3: 2, 5: 2}
+    kept = similar.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "4", "4", "6", "None"]
+    assert similar.similar_groups(docs.limit(0)).count() == 0 and similar.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_layout():
     random.seed(6)
     for trial in range(40):

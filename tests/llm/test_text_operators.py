@@ -51,6 +51,14 @@ def word_texts():
     return ["".join(random.choices(alphabet, k=random.randint(0, 60))) for _ in range(4000)]
 
 
+def test_bpe_of_long_texts():
+    own, library = ByteBpe(default_vocabulary()), tokenizers.Tokenizer.from_file(default_vocabulary())
+    random.seed(6)
+    for t in ("word and more. " * 20_000, "x" * 5000 + " " * 3000, "".join(random.choices("ab é\n1.", k=100_000))):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == ids and own.decode(own.encode(t)) == library.decode(ids, skip_special_tokens=False)
+
+
 def test_word_ids_are_the_library(monkeypatch):
     library = tokenizers.Tokenizer.from_file(packing.default_vocabulary())
     many = [None, *texts(), *word_texts(), "=" * 100, "é" * 40, "a" * 17 + " " + "b" * 16, "'"]
@@ -176,6 +184,33 @@ def test_urls(spark):
     assert urls.judge_urls(pages.select("page_id", "url").limit(0), weights=weights).count() == 0
 
 
+def test_urls_that_were_not_labelled(spark):
+    """Hosts and paths that training has not seen: stems of labelled words in new words and places."""
+    blocked = ("mega-casino", "casino-bonus", "pokerclub", "spamlists", "cheap-pills", "adult-tube", "slots-win", "loans-online", "free-xxx", "clicktracker", "betsnow", "linkfarms")
+    allowed = ("libraries", "city-museum", "weather-report", "open-kitchen", "historyhandbook", "research-letters", "northern-theatre", "gardens", "languages", "harvesting", "science-data", "fishermen")
+    frames = ("http://shop.{}.example.info/it/page", "https://{}24.example.com/", "http://example.net/{}/index.html")
+    known = {u for (u,) in urls.labelled(spark).select("url").collect()}
+    rows = [(f.format(w), y) for y, ws in ((1, blocked), (0, allowed)) for w in ws for f in frames]
+    assert not known & {u for u, _ in rows}
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = urls.judge_urls(pages, rules=()).collect()
+    right = [(r["verdict"] == "block") == (rows[r["page_id"]][1] == 1) for r in got]
+    assert len(got) == len(rows) and sum(right) / len(right) > 0.85
+
+
+def test_urls_of_odd_tables(spark):
+    weights = urls.train(urls.labelled(spark))
+    long = "http://a.example.com/" + "x/" * 4_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://b.org/"), (2, None)], "page_id long, url string").selectExpr("*", "1 as host", "2 as path", "'x' as rule", "3 as verdict", "4 as _x")
+    rows = sorted(map(tuple, urls.judge_urls(pages, weights=weights).collect()), key=str)
+    assert len(rows) == 4 and rows[0] == rows[1] and rows[0][2] == "/" + "x/" * 4_000 and rows[3][:4] == (None, "b.org", "/", "org/")
+    plan = urls.judge_urls(pages, weights=weights)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    # A host's own rule, that of its parent, and ties of rules that fit.
+    some = spark.createDataFrame([(1, "http://example.org/en/1"), (2, "http://notexample.org/en/1"), (3, "http://example.org.com/de/")], "page_id long, url string")
+    assert [r["rule"] for r in urls.judge_urls(some, weights=weights).orderBy("page_id").collect()] == ["example.org/en/1", "org/", "com/de/"]
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (1, 2, 3, 10, 97, 1000):
@@ -218,6 +253,10 @@ def test_pseudonyms_of_different_values_differ():
     letters = [chr(97 + i) + "@x.org" for i in range(26)] + [f"{i}@x.org" for i in range(10)] + [f"a{i}.b@x.org" for i in range(10)]
     got = [p.replace(t)[0] for t in letters]
     assert len(set(got)) == len(got) and all(a != b for a, b in zip(letters, got, strict=True))
+    hosts = [f"10.{i}.{k}.7" for i in range(0, 256, 5) for k in range(256)]
+    got = [p.replace(t)[0] for t in hosts]
+    assert len(set(got)) == len(got) and [*map(len, got)] == [*map(len, hosts)] and all(max(map(int, t.split("."))) < 256 for t in got)
+    assert p.replace("10.01.2.3") == ("10.01.2.3", 0)
     numbers = [f"123-45-{i:04d}" for i in range(1, 3000)]
     got = [p.replace(t)[0] for t in numbers]
     assert len(set(got)) == len(got)
