@@ -11,7 +11,9 @@ rounds and can be spread out, a collection consists of short pieces that meet be
   Equal pieces (by 88 bits of hashes of anchor and piece) are one string, kept with its smallest id: windows of the other, later ones
   are repeats. Where an anchor has different pieces, their bytes are fetched, cut to what can be equal to another document's (by hashes
   of some 48 bytes round the anchor), and the collection is built of the different ones.
-* An anchor with more than ``WIDE`` different pieces is dealt out again by single windows, so no task gets the bytes of all.
+* An anchor with more than ``WIDE`` different pieces is dealt out again by single windows, so no task gets the bytes of all. Those that some
+  part has ``CROWD`` of, and the table over ``WIDE``, are known before: their pieces' hashes are dealt by the piece, not by the anchor, so no
+  task gets all of these either. (Of an anchor that is rarer than ``CROWD`` in every part, all hashes meet in one task.)
 
 Copies of a whole text (their documents share a SHA-256) are taken out before; all but the smallest id lose every byte.
 
@@ -32,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ REACH = WINDOW - K
 #: hashed at once.
 SLICE_BYTES, PART_BYTES, BLOCK = 1 << 20, (1 << 22, 1 << 24), 1 << 16
 WIDE = 20_000
+#: Different pieces of an anchor in one part that make it a candidate for being known as wide, and most anchors that are known.
+CROWD, KNOWN = 32, 1 << 16
 #: Strings of one collection, but for anchors with more.
 COLLECTION = 8_000
 #: Ranges of windows round an anchor that are tested for being shared.
@@ -229,8 +234,16 @@ def _dealt(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(to[s]), by[s:e]
 
 
-def send_hashes(opened: Iterator[Slice], part: int, n: int) -> list[tuple]:
-    """``(bucket, part, blob)``: every different piece of each slice once, with its smallest id."""
+def crowded(slices_: list[Pieces], least: int) -> list[dict]:
+    """``anchor, n`` of the anchors with ``least`` or more different pieces in some slices."""
+    anchors = np.concatenate([np.zeros(0, "u8"), *(p.anchor[np.unique(p.first_equal())] for p in slices_)])
+    anchor, n = np.unique(anchors, return_counts=True)
+    often = n >= least
+    return [{"anchor": a, "n": k} for a, k in zip(anchor[often].view("i8").tolist(), n[often].tolist(), strict=True)]
+
+
+def send_hashes(opened: Iterator[Slice], part: int, n: int, wide: np.ndarray) -> list[tuple]:
+    """``(bucket, part, blob)``: every different piece of each slice once, with its smallest id; those of ``wide`` anchors by the piece, and marked."""
     got = []
     for s in opened:
         first = np.unique(s.pieces.first_equal())
@@ -238,25 +251,31 @@ def send_hashes(opened: Iterator[Slice], part: int, n: int) -> list[tuple]:
     if not got:
         return []
     anchor, own, ids, ordinal = _join(got)
-    return [(k, part, _pack(_low_bytes(anchor[x], 5), _low_bytes(own[x], 6), ids[x], ordinal[x])) for k, x in _dealt(anchor, n)]
+    known = np.isin(anchor, wide)
+    rows = []
+    for own_bucket in (False, True):
+        at = np.flatnonzero(known == own_bucket)
+        mark = [np.ones(1, "u1")] * own_bucket
+        rows += [(k, part, _pack(_low_bytes(anchor[at[x]], 5), _low_bytes(own[at[x]], 6), ids[at[x]], ordinal[at[x]], *mark)) for k, x in (_dealt((own if own_bucket else anchor)[at], n) if len(at) else ())]
+    return rows
 
 
 def compare_hashes(blobs: list[tuple[int, bytes]], wide_from: int) -> list[tuple]:
     """``(part, kind, blob)`` of pieces: kind 0, all windows are repeats; 1, its bytes are asked for; 2, by single windows."""
-    got = [(_from_low_bytes(x[0], 5), _from_low_bytes(x[1], 6), x[2], x[3], np.full(len(x[2]), p, "i4")) for p, x in ((p, _unpack(z)) for p, z in blobs)]
-    a, o, d, ordinal, part = _join(got)
+    got = [(_from_low_bytes(x[0], 5), _from_low_bytes(x[1], 6), x[2], x[3], np.full(len(x[2]), p, "i4"), np.full(len(x[2]), len(x) > 4)) for p, x in ((p, _unpack(z)) for p, z in blobs)]
+    a, o, d, ordinal, part, known = _join(got)
     key = a << np.uint64(24) | o >> np.uint64(24)
     order = np.argsort(key)
     if ((key[order][1:] == key[order][:-1]) & (o[order][1:] != o[order][:-1])).any():  # different pieces that share these 64 bits
         order = np.lexsort((o, a))
-    a, o, d, ordinal, part = (x[order] for x in (a, o, d, ordinal, part))
+    a, o, d, ordinal, part, known = (x[order] for x in (a, o, d, ordinal, part, known))
     group = np.append(True, a[1:] != a[:-1])
     piece = group | np.append(True, o[1:] != o[:-1])
     at, which = np.flatnonzero(group), np.cumsum(group) - 1
     shared = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
     kinds = np.add.reduceat(piece.astype("i8"), at)
     full = d > np.minimum.reduceat(d, np.flatnonzero(piece))[np.cumsum(piece) - 1]
-    kind = np.where(full, 0, np.where((shared & (kinds > wide_from))[which], 2, np.where((shared & (kinds > 1))[which], 1, 3)))
+    kind = np.where(full, 0, np.where(known | (shared & (kinds > wide_from))[which], 2, np.where((shared & (kinds > 1))[which], 1, 3)))
     keep = np.flatnonzero(kind < 3)
     code = part[keep].astype("i8") * 4 + kind[keep]
     by = np.argsort(code, kind="stable")
@@ -440,7 +459,7 @@ def _buckets(fn: Callable[[list], list[tuple]], schema: pa.Schema) -> Callable:
 
 _SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 _TOLD = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-_SLICE = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("ids", pa.binary()), ("shas", pa.string()), ("lengths", pa.binary()), ("z", pa.binary())])
+_SLICE = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("ids", pa.binary()), ("shas", pa.string()), ("lengths", pa.binary()), ("z", pa.binary()), ("crowd", pa.list_(pa.struct([("anchor", pa.int64()), ("n", pa.int64())])))])
 _SENT_SQL, _TOLD_SQL = "bucket int, part int, blob binary", "part int, kind int, blob binary"
 
 
@@ -463,12 +482,13 @@ class Repeats:
             size = self.digests.where(f"{_SIZE} >= {WINDOW}").agg(F.sum(_SIZE)).first()[0]
             size = size or 0
             self.n = n = max(1, -(-size // (part_bytes or min(PART_BYTES[1], max(PART_BYTES[0], size // 4096)))))
-            self._write_slices(slice_bytes)
+            self._write_slices(slice_bytes, min(CROWD, wide + 1))
             self.slices = self.spark.table(self.name)
+            self.wide_anchors = wide_anchors = self._wide(wide)
             texts = self.slices.select("part", "number", "ids", "lengths", "z").groupBy("part")
 
             def hashes(t: pa.Table) -> list[tuple]:
-                return send_hashes(_opened(t), t["part"][0].as_py(), n)
+                return send_hashes(_opened(t), t["part"][0].as_py(), n, wide_anchors.value)
 
             def pieces(t: pa.Table, told: pa.Table) -> list[tuple]:
                 asked = _asked(told)
@@ -501,7 +521,13 @@ class Repeats:
 
         return rows.mapInArrow(run, schema)
 
-    def _write_slices(self, slice_bytes: int) -> None:
+    def _wide(self, wide: int) -> Broadcast:
+        """The anchors with the most pieces, over ``wide``, at most ``KNOWN`` of them: half a megabyte."""
+        some = self.slices.select(F.explode("crowd").alias("c")).groupBy("c.anchor").agg(F.sum("c.n").alias("n")).where(F.col("n") > wide)
+        rows = some.orderBy(F.desc("n"), "anchor").limit(KNOWN).collect()
+        return self.spark.sparkContext.broadcast(np.array([r["anchor"] for r in rows], "i8").view("u8"))
+
+    def _write_slices(self, slice_bytes: int, crowd: int) -> None:
         """Every different text of a window or more, with its smallest id, in slices: a table bucketed by ``part``.
 
         Copies of a text are dealt to the parts by their ids, too, and only the one with the smallest id is met by its row of ``least`` there.
@@ -533,11 +559,12 @@ class Repeats:
                 if want.get(sha) == i:
                     here[sha] = k
             z, opened = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-            rows, texts, number = [], [], t["part"][0].as_py()
+            rows, texts, number, pieces = [], [], t["part"][0].as_py(), []
 
             def done() -> None:
                 ids, shas, data = zip(*texts, strict=True)
-                rows.append((number, len(rows), _pack(np.array(ids, "i8")), "".join(shas), _pack(np.array([*map(len, data)], "u4")), z.compress(b"".join(data))))
+                pieces.append(Pieces(np.frombuffer(b"".join(data), "u1"), np.array([*map(len, data)])))
+                rows.append((number, len(rows), _pack(np.array(ids, "i8")), "".join(shas), _pack(np.array([*map(len, data)], "u4")), z.compress(b"".join(data)), []))
                 texts.clear()
 
             size = 0
@@ -549,9 +576,11 @@ class Repeats:
                     size = 0
             if texts:
                 done()
+            if rows:
+                rows[-1] = (*rows[-1][:-1], crowded(pieces, crowd))
             return rows
 
-        made = texts.groupBy("part").cogroup(least.select(part, "sha", "id").groupBy("part")).applyInArrow(_grouped(cut, _SLICE), "part int, number int, ids binary, shas string, lengths binary, z binary")
+        made = texts.groupBy("part").cogroup(least.select(part, "sha", "id").groupBy("part")).applyInArrow(_grouped(cut, _SLICE), "part int, number int, ids binary, shas string, lengths binary, z binary, crowd array<struct<anchor: bigint, n: bigint>>")
         made.write.bucketBy(n, "part").format("parquet").option("path", self.path).saveAsTable(self.name)
 
     def kept(self, with_text: bool = False) -> DataFrame:

@@ -196,6 +196,21 @@ def test_repeats_across_blocks_slices_and_parts():
     assert first.tolist() == [seen.setdefault(x, k) for k, x in enumerate(pieces)]
 
 
+def test_repeats_of_one_anchor(spark):
+    """A passage that is in every document, each time with other bytes round it: its anchor's pieces are dealt by the piece and compared by windows."""
+    random.seed(11)
+    fill = lambda n: "".join(random.choices("qwrtzpsdfghjk", k=n))
+    low = min((fill(16) for _ in range(3000)), key=lambda t: _anchor_hash(t.encode()))  # the anchor of all windows that have it
+    rows = [(i, fill(30) + low + fill(30)) for i in range(300)]
+    rows += [(300 + i, fill(5) + rows[i][1] + fill(5)) for i in range(0, 300, 3)]
+    docs = spark.createDataFrame(random.sample(rows, len(rows)), "doc_id long, text string")
+    plan = repeats.Repeats(docs, wide=100, part_bytes=8000)
+    assert len(plan.wide_anchors.value) >= 1 and plan.shared.where("kind = 2").count() > 0
+    plan.close()
+    for how in ({"wide": 100, "part_bytes": 8000}, {}):
+        assert sorted((tuple(r) for r in repeats.repeated_passages(docs, **how).collect()), key=str) == brute_repeats(rows)
+
+
 def _anchor_hash(data):
     h = sum((int(b) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(data)) % (1 << 64)
     return (h ^ h >> 32) * 0xBF58476D1CE4E5B9 % (1 << 64)
