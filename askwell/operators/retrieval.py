@@ -99,6 +99,30 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return ranked(scores).where(F.col("pos") < k)
 
 
+def _in_blocks(asked: DataFrame, columns: Sequence[str]) -> Iterator[tuple[list, ...]]:
+    """Queries in blocks of ``QUERY_BLOCK``, a list for each column; one partition of them at a time is at the driver."""
+    block: list = []
+    for r in asked.orderBy("qid").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            yield tuple([r[c] for r in block] for c in columns)
+            block = []
+    if block:
+        yield tuple([r[c] for r in block] for c in columns)
+
+
+def _similarities(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
+    """Of each row's vector, the second column, and each query's, to six digits."""
+    return np.round(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) @ matrix.T, 6)
+
+
+def _union(parts: Sequence[DataFrame], empty: DataFrame) -> DataFrame:
+    out = None
+    for p in parts:
+        out = p if out is None else out.union(p)
+    return empty if out is None else out
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     """``(qid, id, sim, pos)``: the k vectors ``(id, v)`` nearest to each query ``(qid, v)`` by inner product, ties by id.
 
@@ -108,42 +132,77 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFram
     spark = vectors.sparkSession
     ids, qids = vectors.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
     rows = vectors.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
-    asked = queries.where("qid is not null and v is not null").select("qid", F.col("v").cast("array<double>").alias("v")).orderBy("qid")
-    out, block = None, []
+    asked = queries.where("qid is not null and v is not null").select("qid", F.col("v").cast("array<double>").alias("v"))
 
-    def against(block: list) -> DataFrame:
-        names, matrix = [r["qid"] for r in block], spark.sparkContext.broadcast(np.array([r["v"] for r in block]))
+    def against(names: list, vs: list) -> DataFrame:
+        matrix = spark.sparkContext.broadcast(np.array(vs))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
                 own = np.array(b.column(0).to_pylist())
-                v = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                sims = np.round(v @ matrix.value.T, 6)
                 order = np.argsort(own, kind="stable")
-                q, i, x = [], [], []
-                for j, name in enumerate(names):
-                    best = order[np.argsort(-sims[order, j], kind="stable")[:k]]
-                    q += [name] * len(best)
-                    i += own[best].tolist()
-                    x += sims[best, j].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(x)], ["qid", "id", "sim"])
+                sims = _similarities(b, matrix.value)[order]
+                best = np.argsort(-sims, axis=0, kind="stable")[:k]  # of each query, in a column
+                near = np.take_along_axis(sims, best, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([q for q in names for _ in range(len(best))]), pa.array(own[order][best.T.ravel()].tolist()), pa.array(near.T.ravel())], ["qid", "id", "sim"])
 
         return rows.mapInArrow(run, f"qid {qids}, id {ids}, sim double")
 
-    for r in asked.toLocalIterator():  # one partition of the queries at a time
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part = against(block)
-            out, block = part if out is None else out.union(part), []
-    if block or out is None:
-        part = against(block) if block else rows.limit(0).selectExpr(f"cast(null as {qids}) as qid", "id", "0D as sim")
-        out = part if out is None else out.union(part)
+    parts = [against(*block) for block in _in_blocks(asked, ("qid", "v"))]
+    out = _union(parts, rows.limit(0).selectExpr(f"cast(null as {qids}) as qid", "id", "0D as sim"))
     order = W.partitionBy("qid").orderBy(F.col("sim").desc(), "id")
     return out.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k)
 
 
+def target_ranks(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(qid, pos)``: among all vectors ``(id, v, label)``, in order of similarity, then id, the place of the first that has the label that a query
+    ``(qid, v, want)`` wants and isn't the query itself; null where there is none.
+
+    Two passes over the vectors, in blocks of queries: the nearest target, then how many vectors come before it. A batch sends a row a query.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
+    asked = queries.where("qid is not null and v is not null").select(F.col("qid").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("v"), F.col("want").cast("long").alias("want"))
+
+    def nearest(names: list, vs: list, wants: list) -> DataFrame:
+        held = spark.sparkContext.broadcast((np.array(names), np.array(vs), np.array([np.nan if w is None else w for w in wants], float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, matrix, want = held.value
+            for b in batches:
+                if b.num_rows:
+                    order = np.argsort(b.column(0).to_numpy(), kind="stable")
+                    own, label = b.column(0).to_numpy()[order], np.array([np.nan if x is None else x for x in b.column(2).to_pylist()], float)[order]
+                    sims = np.where((label[:, None] == want) & (own[:, None] != qids), _similarities(b, matrix)[order], -np.inf)
+                    at = sims.argmax(0)
+                    near = sims[at, np.arange(len(qids))]
+                    ok = near > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[ok]), pa.array(near[ok]), pa.array(own[at[ok]])], ["qid", "sim", "id"])
+
+        return rows.mapInArrow(run, "qid long, sim double, id long")
+
+    def before(names: list, vs: list, sims: list, ids: list) -> DataFrame:
+        held = spark.sparkContext.broadcast((np.array(names), np.array(vs), np.array(sims), np.array(ids)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, matrix, sim, first = held.value
+            for b in batches:
+                if b.num_rows:
+                    own, near = b.column(0).to_numpy()[:, None], _similarities(b, matrix)
+                    n = ((near > sim) | (near == sim) & (own < first)).sum(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(n.astype("i8"))], ["qid", "n"])
+
+        return rows.mapInArrow(run, "qid long, n long")
+
+    found = _union([nearest(*block) for block in _in_blocks(asked, ("qid", "v", "want"))], rows.limit(0).selectExpr("id as qid", "0D as sim", "id"))
+    best = found.groupBy("qid").agg(F.max(F.struct("sim", (-F.col("id")).alias("i"))).alias("m")).select("qid", "m.sim", (-F.col("m.i")).alias("id"))
+    counted = _union([before(*block) for block in _in_blocks(asked.join(best, "qid"), ("qid", "v", "sim", "id"))], rows.limit(0).selectExpr("id as qid", "0L as n"))
+    places = counted.groupBy("qid").agg(F.sum("n").alias("pos"))
+    return asked.select("qid").join(places, "qid", "left")
+
+
 def fused(rankings: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Reciprocal-rank fusion of rankings with ``keys``, ``index`` and ``pos``: ``(keys, index, rrf, pos)``."""
     every = None
@@ -156,6 +215,6 @@ def fused(rankings: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def recall_at(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5, 10, 20, 50), group: Sequence[str] = ()) -> DataFrame:
-    """Share of targets at a ``pos`` below each k, and the median position of those that have one (a null ``pos`` was not found)."""
+    """Share of targets at a ``pos`` below each k, and the median position; a null ``pos``, where there is no target, counts in the shares alone."""
     cols = [F.round(F.avg(F.coalesce(F.col("pos") < k, F.lit(False)).cast("double")), 6).alias(f"recall_{k}") for k in ks]
     return ranks.groupBy(*group).agg(F.count("*").alias("n"), *cols, F.median("pos").cast("double").alias("median_pos"))

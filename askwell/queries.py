@@ -245,14 +245,14 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fused([a, b], ["qid"]).withColumn("rrf", F.round("rrf", 6))
 
 
-@query(f"""{_DENSE}, f AS (SELECT qid, min(pos) AS pos FROM r WHERE label = want AND id <> qid GROUP BY qid), g AS (SELECT e.vec_id, f.pos FROM embeddings e LEFT JOIN f ON f.qid = e.vec_id WHERE e.vec_id % 100 = 0)
+@query(f"""{_DENSE.split("r AS (")[0]}r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) - 1)::BIGINT AS pos FROM d),
+f AS (SELECT qid, min(pos) AS pos FROM r WHERE label = want AND id <> qid GROUP BY qid), g AS (SELECT e.vec_id, f.pos FROM embeddings e LEFT JOIN f ON f.qid = e.vec_id WHERE e.vec_id % 100 = 0)
 SELECT count(*)::BIGINT AS n, {', '.join(f'round(avg(coalesce(pos < {k}, false)::INT::DOUBLE), 6) AS recall_{k}' for k in (1, 3, 5, 10, 20, 50))}, median(pos)::DOUBLE AS median_pos FROM g""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's target is the nearest other vector of its label, wherever it ranks among all vectors."""
     e = _t(spark, sf_dir, "embeddings")
-    r = _dense(spark, sf_dir).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("want"))
-    first = r.join(q, "qid").where("label = want and id <> qid").groupBy("qid").agg(F.min("pos").alias("pos"))
-    return R.recall_at(q.join(first, "qid", "left"))
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return R.recall_at(R.target_ranks(v, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"), F.col("label").alias("want"))))
 
 
 # -- F: scoring and projections
@@ -732,6 +732,8 @@ t AS (SELECT quantile_cont(sim, 0.05) AS t FROM d WHERE gold) SELECT vec_id, gol
 def dense_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").first()
+    if q is None:  # nothing to compare with
+        return e.limit(0).select("vec_id", F.lit(False).alias("gold"), F.lit(0.0).alias("sim"), F.lit(0.0).alias("gated"))
     v = ", ".join(f"{float(x)!r}D" for x in q["embedding"])
     rows = e.withColumn("_q", F.expr(f"array({v})")).select("vec_id", (F.col("label") == q["label"]).alias("gold"), F.round(dot("embedding", "_q"), 6).alias("sim"), F.lit(1.0).alias("score"))
     return I.dense_gate(rows).select("vec_id", "gold", "sim", "gated")

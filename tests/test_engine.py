@@ -317,6 +317,26 @@ def test_rrf(spark):
     assert [got[i][0] for i in range(3)] == pytest.approx([0.033060, 0.032522, 0.032796], abs=1e-6)
 
 
+@pytest.mark.parametrize("block", (1024, 3))
+def test_dense_ranks(spark, monkeypatch, block):
+    """Against all pairs, in several blocks of queries and partitions; ties go by id."""
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    random.seed(4)
+    rows = [(i, [float(random.randint(-2, 2)) for _ in range(3)], random.choice([0, 1, None]) if i else 7) for i in range(60)]
+    v = spark.createDataFrame([*rows, (99, None, 1), (None, [1.0, 1.0, 1.0], 1)], "id long, v array<double>, label int").repartition(5)
+    q = spark.createDataFrame([(i, x, y) for i, x, y in rows if i % 6 == 0], "qid long, v array<double>, want int")
+    near, place = {}, {}
+    for qid, x, want in ((i, x, y) for i, x, y in rows if i % 6 == 0):
+        order = sorted(rows, key=lambda r: (-sum(a * b for a, b in zip(r[1], x, strict=True)), r[0]))
+        near[qid] = [r[0] for r in order[:7]]
+        place[qid] = next((k for k, r in enumerate(order) if r[2] is not None and r[2] == want and r[0] != qid), None)
+    got = {}
+    for r in R.dense_top_k(v.select("id", "v"), q.select("qid", "v"), 7).orderBy("qid", "pos").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == near and {r["qid"]: r["pos"] for r in R.target_ranks(v, q).collect()} == place and place[0] is None
+    assert R.dense_top_k(v.select("id", "v"), q.limit(0).select("qid", "v")).count() == 0 and R.target_ranks(v, q.limit(0)).count() == 0
+
+
 def test_builders(spark):
     a = spark.sql("select array('a', 'b', 'c') as a")
     place = lambda w: a.select(J.place(F.col("a"), F.lit("N"), w).alias("x")).first()["x"]
