@@ -67,7 +67,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = word_ids(path), TaskContext.get().partitionId(), {}
-        for b in slices(batches, column=2):
+        for b in slices(batches, 200, 2, 1 << 23):
             ids, begins = enc.encode_many(b.column(2), end_id)
             n, cum = np.diff(begins), []
             for q, m in zip(b.column(1).to_pylist(), n.tolist(), strict=True):

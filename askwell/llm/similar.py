@@ -225,7 +225,7 @@ def _between_groups(crowds: DataFrame, groups: DataFrame, similarity: float) ->
                 doc, n, pos, bits, group = (c[s:e] for c in cols)
                 if group.min() == group.max():
                     continue
-                step = max(1, 2_000_000 // len(doc))
+                step = max(1, 500_000 // len(doc))
                 for at in range(0, len(doc), step):
                     own, all_ = slice(at, at + step), slice(at, None)
                     ok = group[own, None] != group[None, all_]

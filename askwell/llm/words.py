@@ -2,9 +2,9 @@
 
 ``WordIds`` gives the ids that the tokenizers library gives. A chunk of text is lower-cased and cut into parts as the vocabulary's pattern
 cuts it, by the classes of its bytes; each part of at most ``KEYED`` bytes is looked up, as a pair of integers that hold all its bytes, in a table of the
-parts that were met before; and the new ones are merged together, the merge of lowest rank of every part in each round. Longer parts, and whole
-white-space-separated pieces with other characters than ASCII and Latin letters up to U+012F, go through the library, as do whole texts with a special
-token. The library's normaliser and pattern never look across white space. A vocabulary with another normaliser or pattern goes through the
+parts that were met before; and the new ones are merged together, the merge of lowest rank of every part in each round. Parts of more than ``LONG``
+bytes, and whole white-space-separated pieces with other characters than ASCII and Latin letters up to U+012F, go through the library, as do whole texts
+with a special token; it is loaded when it is needed. The library's normaliser and pattern never look across white space. A vocabulary with another normaliser or pattern goes through the
 library altogether.
 """
 
@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
-#: Parts of as many bytes at most have a key.
-KEYED = 16
+#: Parts of as many bytes at most have a key; of as many, are merged here.
+KEYED, LONG = 16, 256
+#: Parts that are merged together.
+MERGED = 2048
 #: Bytes of text that are cut at once; longer texts are split at white space.
 CHUNK = 1 << 18
 
@@ -130,6 +133,10 @@ class _Merges:
 
     def __call__(self, parts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts (an array of bytes with a row each, and their sizes), one part after another, and how many each has."""
+        some = [self._merged(parts[k : k + MERGED], size[k : k + MERGED]) for k in range(0, len(parts), MERGED)]
+        return np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
+
+    def _merged(self, parts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width = parts.shape
         place = np.arange(width)
         symbols = np.where(place < size[:, None] - 1, self.inner[parts], np.where(place == size[:, None] - 1, self.last[parts], -1)).astype("i4")
@@ -161,11 +168,7 @@ class WordIds:
     """Ids of texts, with those of the parts met lately kept in tables of bounded size."""
 
     def __init__(self, path: str, bits: int = 20):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         model, cut = made["model"], made.get("pre_tokenizer") or {}
@@ -182,6 +185,15 @@ class WordIds:
             self.merges, self.table = _Merges(model), _Table(bits)
         self._clear()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def _clear(self) -> None:
         if self.known:
             self.table.clear()
@@ -217,7 +229,7 @@ class WordIds:
         ids = np.concatenate(got)
         if end is not None:
             out = np.full(len(ids) + len(texts), end, "i4")
-            out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts)] = ids
+            out[np.arange(len(ids), dtype="i4") + np.repeat(np.arange(len(texts), dtype="i4"), counts)] = ids
             ids, counts = out, counts + 1
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
@@ -251,7 +263,7 @@ class WordIds:
         key = first[start] & _MASKS[np.minimum(size, 8)], first[np.minimum(start + 8, len(first) - 1)] & _MASKS[np.clip(size - 8, 0, 8)]
         if slow.size:
             key[0][slow] = key[1][slow] = 0  # never asked for
-        if not self.table.room(len(start)) or len(self.rare) > 1 << 16 or self.used > 1 << 23:
+        if not self.table.room(len(start)) or len(self.rare) > 1 << 15 or self.used > 1 << 22:
             self._clear()
         number = self.table.find(*key)
         new = np.flatnonzero((number < 0) & (size <= KEYED) & ~odd)
@@ -259,17 +271,27 @@ class WordIds:
             self._learn(low, start, size, new, key)
             number[new] = self.table.find(key[0][new], key[1][new])
         at, n = self.start[number], self.size[number]
-        for k in slow.tolist():
-            piece = (data if odd[k] else low)[start[k] : stop[k]].tobytes()
-            if piece not in self.rare:
-                ids = self._by_library(piece)
-                self.rare[piece] = self._kept(ids), len(ids)
-            at[k], n[k] = self.rare[piece]
+        if slow.size:
+            pieces = [(data if odd[k] else low)[start[k] : stop[k]].tobytes() for k in slow.tolist()]
+            self._learn_rare({p: bool(odd[k]) for k, p in zip(slow.tolist(), pieces, strict=True) if p not in self.rare})
+            at[slow], n[slow] = np.array([self.rare[p] for p in pieces]).T
         before = np.concatenate([[0], np.cumsum(n)])
-        ids = self.pool[np.repeat(at - before[:-1], n) + np.arange(before[-1])]
+        ids = self.pool[np.repeat((at - before[:-1]).astype("i4"), n) + np.arange(before[-1], dtype="i4")]
         begins = np.cumsum([0, *(len(s) + 1 for s in segments)])
         return ids, np.diff(before[np.searchsorted(start, begins)])
 
+    def _learn_rare(self, pieces: dict[bytes, bool]) -> None:
+        """Pieces without a key, by whether they are odd."""
+        long = [p for p, odd in pieces.items() if not odd and len(p) <= LONG]
+        if long:
+            width = max(map(len, long))
+            ids, n = self.merges(np.frombuffer(b"".join(p.ljust(width, b"\0") for p in long), "u1").reshape(-1, width), np.array([*map(len, long)]))
+            first = self._kept(ids) + np.cumsum(n) - n
+            self.rare.update(zip(long, zip(first.tolist(), n.tolist(), strict=True), strict=True))
+        for p in pieces.keys() - self.rare.keys():
+            ids = self._by_library(p)
+            self.rare[p] = self._kept(ids), len(ids)
+
     def _learn(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, new: np.ndarray, key: tuple[np.ndarray, np.ndarray]) -> None:
         order = new[np.lexsort((key[1][new], key[0][new]))]
         a, b = key[0][order], key[1][order]

@@ -61,7 +61,7 @@ def test_bpe_of_long_texts():
 
 def test_word_ids_are_the_library(monkeypatch):
     library = tokenizers.Tokenizer.from_file(packing.default_vocabulary())
-    many = [None, *texts(), *word_texts(), "=" * 100, "é" * 40, "a" * 17 + " " + "b" * 16, "'"]
+    many = [None, *texts(), *word_texts(), "=" * 100, "=" * 300, "é" * 40, "é" * 140 + " " + "Ab" * 60, "a" * 17 + " " + "b" * 16, "'"]
     for chunk, bits in ((words.CHUNK, 20), (300, 12)):  # the second table is cleared time and again
         monkeypatch.setattr(words, "CHUNK", chunk)
         own = words.WordIds(packing.default_vocabulary(), bits)
