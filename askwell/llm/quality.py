@@ -5,7 +5,7 @@ many lines it has, how long they are, how many are alike. Each has a logistic mo
 that it is most sure of, at most ``PER_ROUND`` of each class and only beyond ``SURE``, and they join the *other* view's training rows.
 
 Then each view is judged on labelled rows held out from its model, which is fitted as the final one is, with the rows it was given: a
-view keeps these only if they don't make its loss there worse. On the held-out logits the views are calibrated, and a logistic
+view keeps these only if they don't make its calibrated loss there worse. On the held-out logits the views are calibrated, and a logistic
 model with weights that aren't negative combines them; it is fitted on logits whose calibration has not seen the row's fold.
 
 The models are fitted on at most ``LABELLED`` labelled rows of each class (smallest hashes of the id). Mean and scale of the text
@@ -143,20 +143,27 @@ def co_train(
         for k in (0, 1):
             for i, label, fx, fm in surest(k, model(k), [*taken[1 - k]]):
                 taken[1 - k][i] = label, fm if k == 0 else base.spread(fx[None])[0]
-    held = []
+
+    def calibrated_out(h: np.ndarray) -> np.ndarray:
+        """Held-out logits, each calibrated without its fold."""
+        z = np.zeros(len(y))
+        for f in range(FOLDS):
+            slope, constant = calibration(h[fold != f], y[fold != f])
+            z[fold == f] = slope * h[fold == f] + constant
+        return z
+
+    held, z = [], np.zeros((len(y), 2))
     for k in (0, 1):
-        z, given = held_out(k), taken[k]
-        taken[k] = {}
-        if given and log_loss(z, y) <= log_loss(before := held_out(k), y):
-            taken[k] = given
-        elif given:
-            z = before
-        held.append(z)
-    z = np.zeros((len(y), 2))
-    for f in range(FOLDS):  # calibrated without the fold
-        for k in (0, 1):
-            a, b = calibration(held[k][fold != f], y[fold != f])
-            z[fold == f, k] = a * held[k][fold == f] + b
+        h, given = held_out(k), taken[k]
+        z[:, k] = calibrated_out(h)
+        if given:
+            taken[k] = {}
+            before = held_out(k)
+            if log_loss(z[:, k], y) <= log_loss(alone := calibrated_out(before), y):
+                taken[k] = given
+            else:
+                h, z[:, k] = before, alone
+        held.append(h)
     ways = [calibration(h, y) for h in held]
     return Views(mean, scale, model(0), model(1), (ways[0], ways[1]), combination(z, y), (len(taken[0]), len(taken[1])))
 

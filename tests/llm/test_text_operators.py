@@ -407,33 +407,30 @@ def test_quality_on_unlabelled(spark):
 
 
 def test_the_exchange_helps_the_held_out_rows(spark):
-    """Either view tells the classes apart, each by its own; the labels are few. Chances after the exchange, against those without it."""
+    """Few labels tell the text view enough, but not the metadata view, which has 40 sources to learn: it learns them from the text view's rows."""
     random.seed(3)
     plain = ["".join(random.choices("aeioulnrst", k=random.randint(3, 9))) for _ in range(400)]
     docs, labels = [], []
     for i in range(3000):
-        good = i % 2 == 0
-        w = random.choices(plain, k=random.randint(30, 90))
-        if not good:
-            for k in random.sample(range(len(w)), len(w) // 6):
-                w[k] += random.choice(["!!", "%%", "##"])
-        step = 12 if good != (random.random() < 0.1) else 3
-        docs.append((i, "\n".join(" ".join(w[k : k + step]) for k in range(0, len(w), step)), "en", f"src{random.choice([1, 2, 3]) + 3 * good}", 0))
-        if i < 60:
+        good, w = i % 2 == 0, random.choices(plain, k=random.randint(30, 90))
+        for k in random.sample(range(len(w)), 1 if good else len(w) // 6):
+            w[k] += random.choice(["!!", "%%", "##"])
+        source = 2 * random.randrange(20) + (good != (random.random() < 0.05))
+        docs.append((i, " ".join(w), "en", f"src{source}", 0))
+        if i < 80:
             labels.append((i, int(good)))
     docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame(labels, "doc_id long, quality int")
 
     def losses(views):
-        rows = quality.score_documents(docs.where("doc_id >= 60"), views).collect()
+        rows = quality.score_documents(docs.where("doc_id >= 80"), views).collect()
         y = np.array([r["doc_id"] % 2 == 0 for r in rows])
         p = np.clip([[r["p_text"], r["p_meta"], r["quality_score"]] for r in rows], 1e-6, 1 - 1e-6)
         return -np.mean(np.where(y[:, None], np.log(p), np.log(1 - p)), axis=0)
 
-    together = quality.fit(docs, labels)
-    alone = quality.fit(docs, labels, rounds=0)
-    assert alone.added == (0, 0) and max(together.added) > 100 and (together.combined[:-1] >= 0).all()
-    assert losses(together)[2] <= losses(alone)[2] + 1e-3 and losses(together)[2] < losses(together)[:2].max()
+    together, alone = quality.fit(docs, labels), quality.fit(docs, labels, rounds=0)
+    assert alone.added == (0, 0) and together.added[1] > 100 and (together.combined[:-1] >= 0).all()
+    assert losses(together)[1] < losses(alone)[1] - 0.05 and losses(together)[2] <= losses(alone)[2] + 0.01
 
 
 def test_quality_of_odd_tables(spark):
