@@ -44,9 +44,12 @@ from askwell.llm.common import map_batches, new_path, remove_path, removed, slic
 WINDOW = 50
 K = 16
 REACH = WINDOW - K
-#: Bytes of text in a slice, in a part (before copies are taken out; from the first to the second number, a 4096th of the table between them), and
-#: hashed at once.
+#: Bytes of text in a slice, in a part (before copies are taken out; from the first to the second number, a ``PARTS``-th of the table between them), and
+#: hashed at once. Every part writes to every bucket, and there are as many of these, so blobs go with the square of the parts' number.
 SLICE_BYTES, PART_BYTES, BLOCK = 1 << 20, (1 << 22, 1 << 24), 1 << 16
+PARTS = 256
+#: Bytes of pieces that a part sends to the buckets at once, and that a bucket compares at once, but for anchors with more.
+SENT_BYTES, COMPARED_BYTES = 1 << 24, 1 << 23
 WIDE = 20_000
 #: Different pieces of an anchor in one part that make it a candidate for being known as wide, and most anchors that are known.
 CROWD, KNOWN = 32, 1 << 16
@@ -284,9 +287,19 @@ def compare_hashes(blobs: list[tuple[int, bytes]], wide_from: int) -> list[tuple
     return [(int(code[s] >> 2), int(code[s] & 3), _pack(np.sort(ordinal[keep[s:e]]))) for s, e in zip(cuts, cuts[1:], strict=False)]
 
 
-def send_pieces(opened: Iterator[Slice], part: int, asked: dict[int, np.ndarray], n: int) -> list[tuple]:
-    """``(bucket, part, blob)``: the bytes of the asked pieces, or of their windows."""
-    rows = []
+def send_pieces(opened: Iterator[Slice], part: int, asked: dict[int, np.ndarray], n: int, most: int = SENT_BYTES) -> list[tuple]:
+    """``(bucket, part, blob)``: the bytes of the asked pieces, or of their windows; slices go together up to ``most`` bytes."""
+    rows: list[tuple] = []
+    held: list[list[np.ndarray]] = []
+
+    def send() -> None:
+        anchor, ids, ordinal, shift, size, place, data = _join(held)
+        start = np.cumsum(size) - size
+        for b, x in _dealt(anchor, n):
+            blob = _pack(_low_bytes(anchor[x], 5), ids[x], ordinal[x], shift[x].astype("u1"), size[x].astype("u1"), place[x].astype("u1"), data[_ranges(start[x], size[x])])
+            rows.append((b, part, blob))
+        held.clear()
+
     for s in opened:
         p = s.pieces
         k, again = s.own(asked[1])[0], s.own(asked[2])[0]
@@ -298,9 +311,11 @@ def send_pieces(opened: Iterator[Slice], part: int, asked: dict[int, np.ndarray]
             start, size, place = np.append(start, at), np.append(size, wide), np.append(place, np.full(len(at), NOWHERE))
             anchor = np.append(anchor, _hashed(s.data, at, wide))
         ordinal, shift = np.append(k, again), np.append(np.zeros(len(k), "i8"), off)
-        for b, x in _dealt(anchor, n):
-            blob = _pack(_low_bytes(anchor[x], 5), s.id[ordinal[x]], (ordinal[x] + s.base).astype("u4"), shift[x].astype("u1"), size[x].astype("u1"), place[x].astype("u1"), s.data[_ranges(start[x], size[x])])
-            rows.append((b, part, blob))
+        held.append([anchor, s.id[ordinal], (ordinal + s.base).astype("u4"), shift, size, place, s.data[_ranges(start, size)]])
+        if sum(len(h[-1]) for h in held) >= most:
+            send()
+    if held:
+        send()
     return rows
 
 
@@ -355,11 +370,8 @@ def _equal_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.
     return np.array([seen.setdefault(raw[s:e], k) for k, (s, e) in enumerate(zip(begin.tolist(), (begin + size).tolist(), strict=True))], "i8")
 
 
-def compare_pieces(blobs: list[tuple[int, bytes]], collection: int) -> list[tuple]:
-    """``(part, kind = 1, blob)``: the windows of each piece that are repeats, as bits."""
-    got = [[*x[:6], np.full(len(x[1]), p, "i4"), x[6]] for p, x in ((p, _unpack(z)) for p, z in blobs)]
-    low, doc, ordinal, shift, size, place, part, data = _join(got)
-    anchor, size, place = _from_low_bytes(low, 5), size.astype("i8"), place.astype("i8")
+def _repeats_of(data: np.ndarray, doc: np.ndarray, shift: np.ndarray, size: np.ndarray, place: np.ndarray, anchor: np.ndarray, collection: int) -> np.ndarray:
+    """Bits of each piece of ``data``: which of its windows are repeats."""
     begin = np.cumsum(size) - size
     first, last = worth_comparing(data, begin, size, place, anchor, doc)
     begin, size, shift = begin + first, last - first + WINDOW, shift + first
@@ -383,6 +395,23 @@ def compare_pieces(blobs: list[tuple[int, bytes]], collection: int) -> list[tupl
         x = order[s:e]
         bits[x] = repeated_windows(data[_ranges(begin[x], size[x])], size[x], doc[x]) << shift[x].astype("u8")
     bits[twin] = bits[rep] >> shift[rep].astype("u8") << shift[twin].astype("u8")
+    return bits
+
+
+def compare_pieces(blobs: list[tuple[int, bytes]], collection: int, most: int = COMPARED_BYTES) -> list[tuple]:
+    """``(part, kind = 1, blob)``: the windows of each piece that are repeats, as bits; whole anchors take turns of about ``most`` bytes."""
+    got = [[*x[:6], np.full(len(x[1]), p, "i4"), x[6]] for p, x in ((p, _unpack(z)) for p, z in blobs)]
+    low, doc, ordinal, shift, size, place, part, data = _join(got)
+    del got
+    anchor, size, place = _from_low_bytes(low, 5), size.astype("i8"), place.astype("i8")
+    begin = np.cumsum(size) - size
+    bits = np.zeros(len(size), "u8")
+    turns = max(1, -(-len(data) // most))
+    turn = _mix(anchor) % np.uint64(turns)
+    for t in range(turns):
+        x = np.flatnonzero(turn == np.uint64(t))
+        own = data if turns == 1 else data[_ranges(begin[x], size[x])]
+        bits[x] = _repeats_of(own, doc[x], shift[x], size[x], place[x], anchor[x], collection)
     hit = np.flatnonzero(bits)
     by = hit[np.argsort(part[hit], kind="stable")]
     cuts = np.append(np.flatnonzero(np.diff(part[by], prepend=-9)), len(by)).tolist()
@@ -471,6 +500,11 @@ def _asked(told: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.sort(np.concatenate(v)).astype("i8") for k, v in out.items()}
 
 
+def part_size(size: int) -> int:
+    """Bytes of a part of a table of ``size`` bytes."""
+    return min(PART_BYTES[1], max(PART_BYTES[0], size // PARTS))
+
+
 class Repeats:
     """The plan for one table with the columns ``doc_id`` and ``text``; ``close`` deletes what it has written."""
 
@@ -481,7 +515,7 @@ class Repeats:
             self.digests = self._written(self._digests(), "digests")
             size = self.digests.where(f"{_SIZE} >= {WINDOW}").agg(F.sum(_SIZE)).first()[0]
             size = size or 0
-            self.n = n = max(1, -(-size // (part_bytes or min(PART_BYTES[1], max(PART_BYTES[0], size // 4096)))))
+            self.n = n = max(1, -(-size // (part_bytes or part_size(size))))
             self._write_slices(slice_bytes, min(CROWD, wide + 1))
             self.slices = self.spark.table(self.name)
             self.wide_anchors = wide_anchors = self._wide(wide)

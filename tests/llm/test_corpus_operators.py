@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from askwell.llm import fingerprints, packing, repeats, similar, simhash
 from askwell.llm.collection import collection_lcp
@@ -225,6 +226,38 @@ def test_repeats_in_long_texts(spark):
     assert sorted((tuple(r) for r in repeats.repeated_passages(docs, slice_bytes=100_000, part_bytes=300_000).collect()), key=str) == brute_repeats(rows)
 
 
+def test_repeats_send_a_blob_a_bucket_whatever_the_slices(spark):
+    """Slices of a part go to a bucket together, up to a bound; what is compared doesn't depend on the bounds."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice([*"abcdefgh"], 5)) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    texts += [texts[k][20:200] + texts[k + 1][:150] for k in range(30)]
+
+    def opened(per):
+        base = 0
+        for at in range(0, len(texts), per):
+            some = [t.encode() for t in texts[at : at + per]]
+            row = {"z": zstandard.compress(b"".join(some)), "lengths": repeats._pack(np.array([*map(len, some)], "u4")), "ids": repeats._pack(np.arange(at, at + len(some)))}
+            yield repeats.Slice(row, base)
+            base += len(repeats.Pieces(np.frombuffer(b"".join(some), "u1"), np.array([*map(len, some)])).start)
+
+    def bits(rows, most):
+        buckets = {b: [(p, z) for c, p, z in rows if c == b] for b, *_ in rows}
+        told = [repeats._unpack(z) for blobs in buckets.values() for _, _, z in repeats.compare_pieces(blobs, 50, most)]
+        return sorted((o, m) for t in told for o, m in zip(*map(list, t), strict=True))
+
+    asked = {1: np.arange(sum(len(s.pieces.start) for s in opened(7))), 2: np.zeros(0, "i8")}
+    rows = repeats.send_pieces(opened(7), 0, asked, 5)
+    assert len(rows) == 5 and len(repeats.send_pieces(opened(7), 0, asked, 5, 1)) > 40
+    assert bits(rows, 1 << 30) == bits(rows, 2000) == bits(repeats.send_pieces(opened(7), 0, asked, 5, 1), 2000) != []
+
+
+def test_parts_of_large_tables():
+    """Blobs go with the square of the parts: at 10 GB of text (a table of 6 GB) there are some 600 parts and no task opens over 16 MB."""
+    for size, parts in ((850 << 20, 213), (10_000 << 20, 625)):
+        assert -(-size // repeats.part_size(size)) == parts and repeats.part_size(size) <= 1 << 24
+
+
 def test_without_repeats(spark):
     p = "the same passage of more than fifty bytes stands in both of them, word for word"
     docs = spark.createDataFrame([(1, p + " one", "a", 0), (2, "two " + p, "b", 0), (3, "short", "c", 0), (4, p + " one", "d", 0)], "doc_id long, text string, source string, n_chars int")
