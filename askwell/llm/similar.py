@@ -10,7 +10,10 @@ common, and of 64 one-bit min-hashes: at t = 0.8 they differ in 6.4 bits, and ``
 The rest is verified by the exact similarity of the two sets.
 
 A key with more than ``SMALL`` documents goes twice: first each is compared with the first and the one before it; then all with all that
-the links so far leave in different groups, since a link within a group joins nothing. No pair that could join two groups is left out.
+the links so far leave in different groups, since a link within a group joins nothing. A pair is compared under the first of its common keys
+only, and none of these pairs becomes a row: documents that are in one are named, their sets go to that key, and the task that compares them
+returns the links that join groups, fewer than there are groups. So rows grow with the keys' rows; the comparisons within a
+key still grow with the square of what its groups leave apart. No pair that could join two groups is left out.
 
 Defined results: null texts are empty ones; empty texts are equal; a null id is linked to nothing; rows of one id are one document, that with the
 smallest digest; an empty table has no links.
@@ -215,33 +218,111 @@ def _meet(rows: DataFrame, similarity: float) -> DataFrame:
     return map_batches(dealt, run, "key long, doc long, n int, pos int, bits long, other long")
 
 
-def _between_groups(crowds: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of documents of different groups under a crowded key, all with all."""
+_HELD = (*_ROW, "group", "before")
+_HELD_SQL = "key long, doc long, n int, pos int, bits long, group long, before binary"
+
+
+def _no_earlier(before: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have no shingle in common among those before the key."""
+    out = np.ones(len(x), bool)
+    size = np.array([*map(len, before)], "i8")
+    shingle = np.unique(np.concatenate(before), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    for at in range(0, len(x), 20_000):
+        sides = []
+        for rows in (x[at : at + 20_000], y[at : at + 20_000]):
+            n = size[rows]
+            where = np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sides.append(np.repeat(np.arange(len(rows)), n) * (len(shingle) + 1) + shingle[where])
+        both = np.concatenate(sides)
+        both.sort()
+        out[at + both[1:][both[1:] == both[:-1]] // (len(shingle) + 1)] = False
+    return out
+
+
+def _candidates(cols: list[np.ndarray], before: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows ``(doc, n, pos, bits, group)`` of one key that are of different groups, may be similar, and meet under no earlier key."""
+    _, n, pos, bits, group = cols
+    if group.min() == group.max():
+        return
+    step = max(1, 500_000 // len(n))
+    for at in range(0, len(n), step):
+        own = slice(at, at + step)
+        ok = group[own, None] != group[None, :]
+        ok &= np.arange(len(n))[own, None] < np.arange(len(n))[None, :]
+        ok &= _may_link([c[own, None] for c in (n, pos, bits)], [c[None, :] for c in (n, pos, bits)], similarity)
+        x, y = np.nonzero(ok)
+        x += at
+        if len(x):
+            first = _no_earlier(before, x, y)
+            yield x[first], y[first]
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, from rows sorted by key (the first column)."""
+    open_: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if open_ and open_[0].column(0)[0].as_py() != int(key[s]):
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            open_.append(b.slice(s, e - s))
+    if open_:
+        yield pa.Table.from_batches(open_)
+
+
+def _opened(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The numbers and the earlier shingles of a key's rows."""
+    return [t[k].to_numpy() for k in _HELD[1:6]], [np.frombuffer(v, "i8") for v in t["before"].to_pylist()]
+
+
+def _to_compare(crowds: DataFrame, groups: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of crowded keys that are in a pair of ``_candidates``; ``prefixes`` has a ``prefix`` for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, *cols in _by_key(batches):
-            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                doc, n, pos, bits, group = (c[s:e] for c in cols)
-                if group.min() == group.max():
-                    continue
-                step = max(1, 500_000 // len(doc))
-                for at in range(0, len(doc), step):
-                    own, all_ = slice(at, at + step), slice(at, None)
-                    ok = group[own, None] != group[None, all_]
-                    ok &= _may_link([c[own, None] for c in (n, pos, bits)], [c[None, all_] for c in (n, pos, bits)], similarity)
-                    x, y = np.nonzero(ok)
-                    x, y = doc[own][x], doc[all_][y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
-    grouped = crowds.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").select(*_ROW, F.coalesce("component", "doc").alias("group"))
-    return map_batches(grouped.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+        for t in _whole_keys(batches):
+            cols, before = _opened(t)
+            wanted = np.zeros(t.num_rows, bool)
+            for x, y in _candidates(cols, before, similarity):
+                wanted[x] = wanted[y] = True
+            if wanted.any():
+                yield from t.filter(pa.array(wanted)).to_batches()
 
+    grouped = crowds.join(groups.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("group", F.coalesce("component", "doc"))
+    apart = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    rows = grouped.join(apart, "key", "left_semi").join(prefixes, "doc").withColumn("before", F.expr("substring(prefix, 1, 8 * pos)")).select(*_HELD)
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, _HELD_SQL)
 
-def _verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose shingle sets have the similarity."""
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(chosen, "doc_id")
+
+def _between_groups(rows: DataFrame, docs: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of documents of different groups under a crowded key: all pairs of ``_candidates`` that no link found before puts in one group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_keys(batches):
+            cols, before = _opened(t)
+            doc, group, sets = cols[0], cols[4].copy(), t["hashes"]
+            found = []
+            for x, y in _candidates(cols, before, similarity):
+                for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                    if group[p] != group[q] and jaccard(np.frombuffer(sets[p].as_buffer(), "u8"), np.frombuffer(sets[q].as_buffer(), "u8")) >= similarity - _SLACK:
+                        found.append((max(doc[p], doc[q]), min(doc[p], doc[q])))
+                        group[group == group[q]] = group[p]
+            a, b = np.array(found, "i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    table = written(_sets(docs, rows.select(F.col("doc").alias("doc_id")).distinct().join(chosen, "doc_id")), "shingles")
+    with_sets = rows.join(table.withColumnRenamed("doc_id", "doc"), "doc").select(*_HELD, "hashes")
+    out = checkpointed(map_batches(with_sets.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct())
+    removed(table)
+    return out
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(doc_id, hashes)`` of the documents ``wanted(doc_id, digest)``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -250,13 +331,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, similarity:
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "hashes"])
             yield out.filter(pa.array(own, pa.bool_()))
 
+    return map_batches(_texts(docs).join(wanted, "doc_id"), sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have the similarity."""
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(chosen, "doc_id")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x, y = ([np.frombuffer(v.as_buffer(), "u8") for v in b.column(k)] for k in (2, 3))
             near = [jaccard(p, q) >= similarity - _SLACK for p, q in zip(x, y, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    table = written(map_batches(_texts(docs).join(wanted, "doc_id"), sets, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "shingles")
+    table = written(_sets(docs, wanted), "shingles")
     both = pairs.join(table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     out = checkpointed(map_batches(both, compare, "a long, b long"))
@@ -283,7 +372,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     links = _verified(found.union(_proposed(one.select("doc_id", "fp"))).distinct(), docs, firsts, similarity)
     crowds = met.where("other is null").select(*_ROW)
     if not crowds.isEmpty():
-        links = links.union(_verified(_between_groups(crowds, connected_components(links), similarity), docs, firsts, similarity))
+        rows = written(_to_compare(crowds, connected_components(links), one.select(F.col("doc_id").alias("doc"), "prefix").dropDuplicates(["doc"]), similarity), "crowds")
+        links = links.union(_between_groups(rows, docs, firsts, similarity))
+        removed(rows)
     out = connected_components(links.union(copies))
     removed(signatures, met)
     return out.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from askwell.llm import similar
@@ -85,6 +86,26 @@ def test_crowded_keys(spark):
     assert groups(spark, rows) == brute_groups(rows)
 
 
+def test_rows_between_groups_do_not_grow_with_the_square(spark, monkeypatch):
+    """Texts of 14 passages in two forms each: most share many, few are similar; pairs under crowded keys become no rows."""
+    random.seed(4)
+    forms = [(words(10), words(10)) for _ in range(14)]
+    rows = [(k, " ".join(w for form in forms for w in form[random.random() < 0.25])) for k in range(200)]
+    counted = []
+    for name in ("_to_compare", "_between_groups"):
+        made = getattr(similar, name)
+        monkeypatch.setattr(similar, name, lambda *a, made=made, **b: counted.append((out := made(*a, **b)).count()) or out)
+    assert groups(spark, rows) == brute_groups(rows)
+    compared, linked = counted
+    assert 0 < compared < 28 * len(rows) and 0 < linked < len(rows)
+
+
+def test_pairs_meet_under_their_first_common_key():
+    before = [np.array(v, "i8") for v in ([], [5, -7], [9, 5], [], [3])]
+    x, y = np.triu_indices(5, 1)
+    assert similar._no_earlier(before, x, y).tolist() == [not set(before[a]) & set(before[b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+
+
 def test_stage_on_the_smallest_table(spark):
     if not os.path.isdir(DATA):
         pytest.skip("needs the test tables")
